@@ -32,5 +32,5 @@ def surprise_threshold(
     counts = F.sequence(F.lit(1), F.lit(cap - 1))
     first = F.aggregate(counts, start, step, lambda acc: acc["k"])
     return F.when(lam <= 0, floor).otherwise(
-        F.coalesce(F.greatest(first, F.lit(floor)), F.lit(cap))
+        F.greatest(F.coalesce(first, F.lit(cap)), F.lit(floor))
     )

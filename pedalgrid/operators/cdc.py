@@ -14,6 +14,7 @@ from pedalgrid.functions.geo import haversine
 from pedalgrid.functions.ordered import sliced_lag, time_slices
 from pedalgrid.functions.picking import latest_per
 from pedalgrid.functions.vehicles import differs
+from pedalgrid.session import shuffle_width
 
 EARTH_METERS = EARTH_RADIUS_KM * 1000
 
@@ -172,7 +173,7 @@ def cdc_threshold(
     own = F.when(F.col("observed_at") >= F.col("first"), F.col("slice")).otherwise(F.col("open"))
     runs = fresh.join(starts, ["bike_id", "slice"]).select(*VEHICLE, own.alias("run"))
     return (
-        runs.repartition("bike_id", "run")
+        runs.repartition(shuffle_width(vehicles.sparkSession), "bike_id", "run")
         .sortWithinPartitions("bike_id", "run", "observed_at")
         .mapInPandas(
             lambda batches: _kept_after_anchor(batches, move_m, range_m), vehicles.schema

@@ -25,13 +25,13 @@ from pedalgrid.functions.ordered import slice_bounds, slice_of, sliced_row_numbe
 from pedalgrid.operators.deltas import latest_station_info
 from pedalgrid.operators.demand import with_demand
 from pedalgrid.operators.forecast import split_point
-from pedalgrid.session import cut_lineage
+from pedalgrid.session import cut_lineage, shuffle_width
 
 MIN_EXPECTED = 0.05
 MIN_SHORT = 0.5
 MIN_SURPLUS = 3
 REACH_KM = (SHIFT_MINUTES - HANDLING_MINUTES) / 60 * VAN_SPEED_KMH
-SEARCH_KM = (0.5, 2.0, 8.0)
+SEARCH_KM = (1.0, 4.0)
 
 
 def decision_rows(grid: DataFrame, demand: DataFrame) -> DataFrame:
@@ -259,7 +259,8 @@ def greedy_assign(
             .select("bucket", "station_id", "short", "donor_id", "stock", "minutes")
         )
         made = (
-            pairs.groupBy("bucket")
+            pairs.repartition(shuffle_width(spark), "bucket")  # few bytes, much Python: stay wide
+            .groupBy("bucket")
             .cogroup(moves.groupBy("bucket"))
             .applyInPandas(_assign_epoch(fleets), MOVES)
         )
