@@ -50,8 +50,9 @@ def move_histogram(grid: DataFrame, deltas: DataFrame) -> DataFrame:
         (imbalance() > 1).alias("unbalanced"),
     )
     rated = F.col("out_ok").isNotNull()
+    both = before.join(moves.hint("merge"), ["station_id", "bucket"], "left")
     return (
-        with_local_clock(before.join(moves, ["station_id", "bucket"], "left"))
+        with_local_clock(both)
         .groupBy(*CELL, "event_class", "carried_forward", "unbalanced", "d_bikes")
         .agg(
             F.count("*").alias("cells"),
@@ -171,12 +172,17 @@ def calibrate_vans(
     deltas: DataFrame,
     max_rounds: int = CALIBRATION_ROUNDS,
     alpha: float = SURPRISE_ALPHA,
+    histogram: DataFrame | None = None,
 ) -> Calibration:
-    """Alternate rates and labels until no label changes or the number of vans repeats."""
-    histogram = cut_lineage(move_histogram(grid, deltas), "moves")
+    """Alternate rates and labels until no label changes or the number of vans repeats.
+
+    Pass the stored ``histogram`` of the two tables if there is one.
+    """
+    if histogram is None:
+        histogram = cut_lineage(move_histogram(grid, deltas), "moves")
     report, vans_before, converged = [], None, False
     for turn in range(1, max_rounds + 1):
-        rates = cut_lineage(flow_rates(histogram), "rates")
+        rates = flow_rates(histogram)
         thresholds = cut_lineage(cell_thresholds(rates, alpha), "thresholds")
         moved = histogram.filter(F.col("d_bikes").isNotNull())
         judged = cut_lineage(_relabelled(moved, thresholds, F.col("unbalanced")), "judged")

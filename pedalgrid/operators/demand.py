@@ -34,14 +34,18 @@ def exposure(grid: DataFrame) -> DataFrame:
 
 
 def rider_departures(exposed: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Bikes taken by riders in each bucket; van moves and artifacts count as none."""
+    """Bikes taken by riders in each bucket; van moves and artifacts count as none.
+
+    Both tables are as long as the grid, so they are merged where they lie: a file that
+    packs well must not pass for a small one and be broadcast.
+    """
 
     def taken(change: str) -> Column:
         riders = (F.col("event_class") == RIDER_CHURN) & (F.col(change) < 0)
         return F.when(riders, -F.col(change)).otherwise(0)
 
     moves = deltas.select("station_id", "bucket", "event_class", "d_ebikes", "d_classic")
-    return exposed.join(moves, ["station_id", "bucket"], "left").select(
+    return exposed.join(moves.hint("merge"), ["station_id", "bucket"], "left").select(
         *exposed.columns, taken("d_ebikes").alias("ebike_dep"), taken("d_classic").alias("classic_dep")
     )
 

@@ -88,8 +88,10 @@ def _segments(status: DataFrame, covered: DataFrame, minutes: int) -> DataFrame:
         shift(F.col("hi"), minutes),
     )
     steps = latest_per(
-        log.withColumn("effective", begin), ["station_id", "lo", "hi", "effective"], "observed_at"
-    )
+        log.withColumn("effective", begin).drop("lo", "hi"),
+        ["station_id", "effective"],
+        "observed_at",
+    ).withColumns({"lo": lo, "hi": hi})
     by_station = W.partitionBy("station_id").orderBy("effective")
     runs = steps.withColumns(
         {

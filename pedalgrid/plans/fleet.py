@@ -95,7 +95,7 @@ class Fleet:
 
     @cached_property
     def calibration(self) -> calibrate.Calibration:
-        return calibrate.calibrate_vans(self.grid, self.deltas)
+        return calibrate.calibrate_vans(self.grid, self.deltas, histogram=self.moves)
 
     @cached_property
     def cells(self) -> DataFrame:

@@ -420,7 +420,7 @@ def label_churn(f: Fleet) -> DataFrame:
 
 @query
 def calibrate_vans(f: Fleet) -> DataFrame:
-    return f.calibration.rounds
+    return calibrate.calibrate_vans(f.grid, f.deltas).rounds
 
 
 @query

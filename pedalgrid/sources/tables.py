@@ -107,7 +107,7 @@ def update_from(
     new = updates.select(
         *keys, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in cols)
     )
-    joined = target.join(new, list(keys), "left")
+    joined = target.join(new.hint("merge"), list(keys), "left")
     value = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in cols}
     return joined.withColumns(value).select(*target.columns)
 
