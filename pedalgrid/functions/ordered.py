@@ -2,7 +2,8 @@
 
 A window over one hot key runs in one task. Here an ordered key is cut into value
 ranges of about equal row counts, the window runs inside (key, range), and what
-crosses a range border is carried by a small per-range summary.
+crosses a range border is carried by a small per-range summary. The summary is spread by (key,
+range) like the rows, so joining it back never gathers a key.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pedalgrid.session import cut_lineage, shuffle_width
+from pedalgrid.session import cut_lineage, shared_dir, shuffle_width
 
 MAX_SLICES = 2048
 
@@ -50,6 +51,10 @@ def time_slices(df: DataFrame, time_col: str, slices: int | None = None) -> Colu
     return slice_of(us, slice_bounds(df, us, slices))
 
 
+def _spread(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return summary.repartition(shuffle_width(summary.sparkSession), *keys, "_slice")
+
+
 def sliced_row_number(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,7 +75,7 @@ def sliced_row_number(
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     return (
         rows.withColumn("_rn", F.row_number().over(inside))
-        .join(starts, [*keys, "_slice"])
+        .join(_spread(starts, keys), [*keys, "_slice"])
         .withColumn(name, F.col("_start") + F.col("_rn"))
         .drop("_slice", "_start", "_rn")
     )
@@ -91,16 +96,17 @@ def sliced_lag(
     cut = time_slices(df, time_col) if slice_col is None else slice_col
     rows = df.withColumn("_slice", cut)
     state = F.struct(*cols)
+    last = F.struct(*(F.col(f"_last_{c}").alias(c) for c in cols))
     inside = W.partitionBy(*keys, "_slice").orderBy(time_col)
     across = W.partitionBy(*keys).orderBy("_slice")
     carried = (
         rows.groupBy(*keys, "_slice")
-        .agg(F.max_by(state, F.col(time_col)).alias("_last"))
-        .select(*keys, "_slice", F.lag("_last").over(across).alias("_carried"))
+        .agg(*(F.max_by(F.col(c), F.col(time_col)).alias(f"_last_{c}") for c in cols))
+        .select(*keys, "_slice", F.lag(last).over(across).alias("_carried"))
     )
     return (
         rows.withColumn("_inside", F.lag(state).over(inside))
-        .join(carried, [*keys, "_slice"])
+        .join(_spread(carried, keys), [*keys, "_slice"])
         .withColumn(name, F.coalesce("_inside", "_carried"))
         .drop("_slice", "_inside", "_carried")
     )
@@ -133,7 +139,7 @@ def running_totals(
         *(F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_start_{m}") for m in measures),
     )
     out = rows.select("*", *(F.sum(m).over(inside).alias(f"_in_{m}") for m in measures))
-    out = out.join(starts, [*keys, "_slice"])
+    out = out.join(_spread(starts, keys), [*keys, "_slice"])
     return out.select(
         *df.columns, *((F.col(f"_start_{m}") + F.col(f"_in_{m}")).alias(f"cum_{m}") for m in measures)
     )
@@ -148,6 +154,7 @@ def value_ranks(df: DataFrame, value: str, name: str, descending: bool = False)
 
 def global_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
     """Number all rows from 0 in ``order``: range sort, then an offset per partition."""
+    shared_dir(df.sparkSession)
     ordered = df.orderBy(*order).checkpoint()
     where = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumns(
         {

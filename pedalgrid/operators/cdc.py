@@ -14,7 +14,7 @@ from pedalgrid.functions.geo import haversine
 from pedalgrid.functions.ordered import sliced_lag, time_slices
 from pedalgrid.functions.picking import latest_per
 from pedalgrid.functions.vehicles import differs
-from pedalgrid.session import shuffle_width
+from pedalgrid.session import cut_lineage, shuffle_width
 
 EARTH_METERS = EARTH_RADIUS_KM * 1000
 
@@ -157,10 +157,11 @@ def cdc_threshold(
         | (F.abs(p["range_m"] - F.col("range_m")) >= 2 * range_m)
         | (jump >= 2 * move_m + 0.001)
     )
-    fresh = (
+    fresh = cut_lineage(
         steps.withColumns({"certain": certain, "slice": cut})
         .filter(~p.eqNullSafe(F.struct(*fields)))
-        .drop("prev")
+        .drop("prev"),
+        "fresh",
     )
     earlier = W.partitionBy("bike_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     starts = fresh.groupBy("bike_id", "slice").agg(
@@ -170,6 +171,7 @@ def cdc_threshold(
         "open",
         F.last(F.when(F.col("first").isNotNull(), F.col("slice")), ignorenulls=True).over(earlier),
     )
+    starts = starts.repartition(shuffle_width(vehicles.sparkSession), "bike_id", "slice")
     own = F.when(F.col("observed_at") >= F.col("first"), F.col("slice")).otherwise(F.col("open"))
     runs = fresh.join(starts, ["bike_id", "slice"]).select(*VEHICLE, own.alias("run"))
     return (

@@ -62,9 +62,12 @@ def decision_epochs(rows: DataFrame, every_minutes: int = EPOCH_MINUTES) -> Data
 def deficits_donors(
     rows: DataFrame, epochs: DataFrame, window_minutes: int = DISPATCH_WINDOW_MINUTES
 ) -> DataFrame:
-    """Stations short of the coming demand, and stations with stock to give, per epoch."""
+    """Stations short of the coming demand, and stations with stock to give, per epoch.
+
+    ``epochs`` has one row per half hour of the later part, so it is small by nature.
+    """
     expected = F.col("demand") * (window_minutes / 60.0)
-    here = rows.join(epochs.select("bucket"), "bucket", "left_semi")
+    here = rows.join(F.broadcast(epochs.select("bucket")), "bucket", "left_semi")
     sized = here.withColumn("expected", expected).filter(F.col("expected") > MIN_EXPECTED)
     short = F.col("expected") - F.col("ebikes")
     surplus = F.col("ebikes") - F.col("expected")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -125,3 +128,16 @@ def boosted_model(
     ).fit(one.filter(~F.col("is_test")))
     scored = model.transform(one.filter("is_test"))
     return scored.select(*keep, vector_to_array("probability")[1].alias("m1"))
+
+
+def boosted_models(
+    rows: DataFrame, rounds: int = BOOSTING_ROUNDS, min_positives: int = MIN_POSITIVES
+) -> DataFrame:
+    """One model per horizon that has enough positives, fitted side by side."""
+    tested = rows.filter("is_test").groupBy("horizon").agg(F.sum("starved_future").alias("hits"))
+    horizons = [r.horizon for r in tested.filter(F.col("hits") >= min_positives).collect()]
+    if not horizons:
+        raise ValueError("no horizon has enough positives in the test period")
+    with ThreadPool(len(horizons)) as pool:
+        fitted = pool.map(lambda h: boosted_model(rows, h, rounds), sorted(horizons))
+    return reduce(DataFrame.unionByName, fitted)

@@ -20,6 +20,7 @@ from pedalgrid.functions.timeutil import (
     seconds_between,
     shift,
 )
+from pedalgrid.session import shuffle_width
 
 AGE_BINS = (
     ("same bucket", 0, 300),
@@ -73,6 +74,11 @@ def station_spine(status: DataFrame) -> DataFrame:
     return status.select("station_id").distinct()
 
 
+def _wide(rows: DataFrame) -> DataFrame:
+    """Stations over all tasks, also where few bytes are about to become many rows."""
+    return rows.repartition(shuffle_width(rows.sparkSession), "station_id")
+
+
 def _segments(status: DataFrame, covered: DataFrame, minutes: int) -> DataFrame:
     """Per station, the unbroken run of buckets for which one log row is the latest.
 
@@ -93,7 +99,7 @@ def _segments(status: DataFrame, covered: DataFrame, minutes: int) -> DataFrame:
         "observed_at",
     ).withColumns({"lo": lo, "hi": hi})
     by_station = W.partitionBy("station_id").orderBy("effective")
-    runs = steps.withColumns(
+    runs = _wide(steps).withColumns(
         {
             "first_bucket": F.when(
                 F.row_number().over(by_station) == 1, F.col("lo")
@@ -115,7 +121,7 @@ def grid_spine(status: DataFrame, covered: DataFrame, minutes: int = BUCKET_MINU
     stations = station_spine(status).withColumns(
         {"lo": span.select("lo").scalar(), "hi": span.select("hi").scalar()}
     )
-    dense = stations.filter(F.col("lo").isNotNull()).select(
+    dense = _wide(stations.filter(F.col("lo").isNotNull())).select(
         "station_id", F.explode(bucket_range(F.col("lo"), F.col("hi"), minutes)).alias("bucket")
     )
     return dense.join(covered, "bucket", "left_semi").select("bucket", "station_id")

@@ -37,7 +37,7 @@ from pedalgrid.streaming import jobs, keyed
 QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {}
 
 MIDDLE = "2024-01-16"
-MICRO_BATCH_ROWS = 20_000_000
+MICRO_BATCH_ROWS = 5_000_000
 
 
 def query(fn: Callable[[Fleet], DataFrame]) -> Callable[[Fleet], DataFrame]:
