@@ -60,7 +60,7 @@ def test_boosted_trees_beat_chance(spark):
         "horizon int, bucket timestamp, station_id string, ebikes int, bikes int, docks int, hour int, "
         "weekend int, demand double, flow_30m int, flow_60m int, starved_future int, is_test boolean"
     )
-    rare = [(120, *r[1:10], int(i == 900), r[11]) for i, r in enumerate(rows)]
+    rare = [(120, *r[1:11], int(i == 900), r[12]) for i, r in enumerate(rows)]
     scored = forecast.boosted_models(spark.createDataFrame(rows + rare, schema), rounds=3)
     got = forecast.forecast_skill(scored, "m1").collect()
     assert [(r.horizon, r.test_rows, r.lift > 2) for r in got] == [(60, 400, True)]
