@@ -26,13 +26,11 @@ from pedalgrid.session import shared_dir
 FEATURES = ["ebikes", "bikes", "docks", "hour", "weekend", "demand", "flow_30m", "flow_60m"]
 
 
-def forecast_features(
-    grid: DataFrame, demand: DataFrame, horizons=HORIZONS_MINUTES
-) -> DataFrame:
-    """One row per (horizon, bucket, station) with past flows and the later outcome.
+def forecast_rows(grid: DataFrame, demand: DataFrame, horizons=HORIZONS_MINUTES) -> DataFrame:
+    """One row per (bucket, station): past flows, and ``later`` with the outcome per horizon.
 
     Steps back and ahead count serving rows of confident cells, not minutes. All
-    horizons share one window, then fan out.
+    horizons share one window. Rows without an hour of past are left out.
     """
     w = W.partitionBy("station_id").orderBy("bucket")
     ebikes = F.col("num_ebikes_available")
@@ -43,10 +41,11 @@ def forecast_features(
 
     def outcome(minutes: int):
         steps = minutes // BUCKET_MINUTES
-        return F.struct(
-            F.lit(minutes).alias("horizon"),
-            F.lead(ebikes, steps).over(w).alias("ebikes"),
-            F.lead("is_serving", steps).over(w).alias("serving"),
+        stock = F.lead(ebikes, steps).over(w)
+        starved = (stock == 0) & F.lead("is_serving", steps).over(w)
+        return F.when(
+            stock.isNotNull(),
+            F.struct(F.lit(minutes).alias("horizon"), F.when(starved, 1).otherwise(0).alias("starved")),
         )
 
     rows = usable.select(
@@ -62,17 +61,27 @@ def forecast_features(
         flow(12).alias("flow_60m"),
         F.array(*(outcome(h) for h in horizons)).alias("later"),
     )
-    fanned = rows.filter(F.col("flow_60m").isNotNull()).withColumn("later", F.explode("later"))
-    starved = (F.col("later.ebikes") == 0) & F.col("later.serving")
-    return fanned.filter(F.col("later.ebikes").isNotNull()).select(
-        "later.horizon",
-        "bucket",
-        "station_id",
-        *(F.coalesce(c, F.lit(0)).alias(c) if c.startswith("flow") else c for c in FEATURES),
-        F.when(starved, 1).otherwise(0).alias("starved_future"),
+    return rows.filter(F.col("flow_60m").isNotNull()).withColumn(
+        "flow_30m", F.coalesce("flow_30m", F.lit(0))
     )
 
 
+def by_horizon(rows: DataFrame) -> DataFrame:
+    """Fan out to one row per (horizon, bucket, station); a horizon without outcome has none."""
+    others = [c for c in rows.columns if c != "later"]
+    fanned = rows.select(*others, F.explode("later").alias("later"))
+    return fanned.filter(F.col("later").isNotNull()).select(
+        "later.horizon", *others, F.col("later.starved").alias("starved_future")
+    )
+
+
+def forecast_features(
+    grid: DataFrame, demand: DataFrame, horizons=HORIZONS_MINUTES
+) -> DataFrame:
+    """One row per (horizon, bucket, station) with past flows and the later outcome."""
+    return by_horizon(forecast_rows(grid, demand, horizons))
+
+
 def split_point(grid: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
     """The instant that splits the grid's span into an earlier and a later part."""
     span = grid.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))

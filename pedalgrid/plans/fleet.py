@@ -123,9 +123,14 @@ class Fleet:
         return health.station_health(self.grid, self.demand)
 
     @cached_property
+    def outlook(self) -> DataFrame:
+        rows = forecast.forecast_rows(self.grid, self.demand)
+        return cut_lineage(forecast.chrono_split(rows, self.grid), "outlook")
+
+    @property
     def features(self) -> DataFrame:
-        rows = forecast.forecast_features(self.grid, self.demand)
-        return cut_lineage(forecast.chrono_split(rows, self.grid), "features")
+        """Fanned out on reading: five horizons share one stored row."""
+        return forecast.by_horizon(self.outlook)
 
     @cached_property
     def sized(self) -> DataFrame:
