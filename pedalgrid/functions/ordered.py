@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pedalgrid.session import cut_lineage, shared_dir, shuffle_width
+from pedalgrid.session import cut_lineage, shuffle_width
 
 MAX_SLICES = 2048
 
@@ -153,10 +153,12 @@ def value_ranks(df: DataFrame, value: str, name: str, descending: bool = False)
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
-    """Number all rows from 0 in ``order``: range sort, then an offset per partition."""
-    shared_dir(df.sparkSession)
-    ordered = df.orderBy(*order).checkpoint()
-    where = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumns(
+    """Number all rows from 0 in ``order``: range sort, then an offset per partition.
+
+    Partition and place are stored with the rows, so they cannot change under a retry.
+    """
+    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    where = cut_lineage(placed, "ordered").withColumns(
         {
             "_part": F.shiftrightunsigned("_at", 33),
             "_pos": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)),
@@ -169,7 +171,7 @@ def global_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> Data
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     return (
-        where.join(starts, "_part")
+        where.join(F.broadcast(starts), "_part")  # one row per partition
         .withColumn(name, F.col("_start") + F.col("_pos"))
         .drop("_at", "_part", "_pos", "_start")
     )

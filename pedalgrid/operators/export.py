@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -294,7 +296,7 @@ def bucketed_events(vans: DataFrame, buckets: DataFrame, pulse: int = PULSE_FRAM
 def export_document(
     stations: DataFrame, series: DataFrame, frames: DataFrame, vans: DataFrame
 ) -> DataFrame:
-    """The display document as JSON lines: one per station, frame and van event.
+    """The display document as JSON lines: one per zone, station, frame and van event.
 
     ``frames.write.text`` of the ``doc`` column gives files that load line by line, so no
     task ever holds the whole document.
@@ -323,4 +325,7 @@ def export_document(
         F.col("frame").cast("bigint").alias("seq"),
         F.to_json(F.array(F.col("frame").cast("int"), F.col("idx").cast("int"), "d_bikes")).alias("doc"),
     )
-    return station.unionByName(frame).unionByName(van)
+    names = [(i, json.dumps(name)) for i, name in enumerate(ZONE_NAMES)]
+    zone = stations.sparkSession.createDataFrame(names, "seq bigint, doc string")
+    zone = zone.select(F.lit("zone").alias("part"), "seq", "doc")
+    return zone.unionByName(station).unionByName(frame).unionByName(van)

@@ -62,7 +62,7 @@ def forecast_rows(grid: DataFrame, demand: DataFrame, horizons=HORIZONS_MINUTES)
         F.array(*(outcome(h) for h in horizons)).alias("later"),
     )
     return rows.filter(F.col("flow_60m").isNotNull()).withColumn(
-        "flow_30m", F.coalesce("flow_30m", F.lit(0))
+        "flow_30m", F.coalesce("flow_30m", F.lit(0).cast("smallint"))
     )
 
 

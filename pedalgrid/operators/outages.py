@@ -38,7 +38,7 @@ def outage_islands(flags: DataFrame) -> DataFrame:
     All three windows are satisfied by one shuffle by station.
     """
     every = W.partitionBy("station_id").orderBy("bucket")
-    rows = flags.withColumn("rn", F.row_number().over(every))
+    rows = flags.withColumn("rn", F.row_number().over(every).cast("bigint"))
     for name, state in (("grp_starve", "starved"), ("grp_sat", "saturated")):
         same = W.partitionBy("station_id", state).orderBy("bucket")
         rows = rows.withColumn(name, F.col("rn") - F.row_number().over(same))

@@ -31,7 +31,7 @@ from pedalgrid.sources import events as ev
 
 class Fleet:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = configure(spark)
+        self.spark = spark
         self.sf_dir = sf_dir
         self.events = ev.read_events(spark, sf_dir)
 
@@ -180,7 +180,7 @@ _fleets: dict[tuple[str, str], Fleet] = {}
 
 def fleet(spark: SparkSession, sf_dir: str) -> Fleet:
     """The stages for one folder in this session; a new session builds its own."""
-    key = (spark.sparkContext.applicationId, str(sf_dir))
+    key = (configure(spark).sparkContext.applicationId, str(sf_dir))
     if key not in _fleets:
         _fleets[key] = Fleet(spark, str(sf_dir))
     return _fleets[key]

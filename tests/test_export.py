@@ -83,7 +83,7 @@ def test_document_lines_parse(spark):
         export.van_nearest_frame(deltas, buckets, stations),
     )
     lines = [(r.part, r.seq, json.loads(r.doc)) for r in doc.orderBy("part", "seq").collect()]
-    assert [p for p, _, _ in lines] == ["frame"] * 2 + ["station"] * 2 + ["van"] * 3
+    assert [p for p, _, _ in lines] == ["frame"] * 2 + ["station"] * 2 + ["van"] * 3 + ["zone"] * 3
     assert lines[0][2]["frame"] == "09" and lines[0][2]["series"]["t"] == "2024-03-04T12:00:00+00:00"
     assert lines[2][2] == {"n": "A 2024-02-01", "la": 37.75, "lo": -122.41, "c": 15, "z": 0}
     assert lines[4][2] == [0, 0, -6]

@@ -88,28 +88,29 @@ def minutes(a, b):
 
 
 def greedy_by_hand(rows, n_vans):
-    moves = []
+    """Every choice looked up among all (van, ride, donor) combinations."""
+    log = []
     for t in sorted({r[0] for r in rows}):
-        deficits = sorted((r for r in rows if r[0] == t and r[2] == "deficit"), key=lambda r: (-r[3], r[1]))
-        donors = sorted((r for r in rows if r[0] == t and r[2] == "donor"), key=lambda r: (-r[3], r[1]))
-        pool = {d[1]: d[3] for d in donors}
-        budget, cap = [60.0] * n_vans, [20] * n_vans
-        for s in deficits:
-            for v in range(n_vans):
-                if cap[v] < 1 or budget[v] <= 6:
-                    continue
-                options = [(minutes(s, d), i, d) for i, d in enumerate(donors) if pool[d[1]] >= 1]
-                options = [o for o in options if o[0] <= budget[v]]
-                if not options:
-                    continue
-                m, _, d = min(options)
-                take = int(min(math.ceil(s[3]), pool[d[1]], cap[v]))
-                pool[d[1]] -= take
-                cap[v] -= take
-                budget[v] -= m
-                moves.append((minute_of(t), n_vans, v, s[1], d[1], take))
-                break
-    return moves
+        epoch = [r for r in rows if r[0] == t]
+        left = {r[1]: r[3] for r in epoch if r[2] == "donor"}
+        shift = {van: 60.0 for van in range(n_vans)}
+        space = {van: 20 for van in range(n_vans)}
+        for want in sorted((r for r in epoch if r[2] == "deficit"), key=lambda r: (-r[3], r[1])):
+            chances = [
+                (van, minutes(want, d), -d[3], d[1])
+                for van in range(n_vans)
+                for d in epoch
+                if d[2] == "donor" and left[d[1]] >= 1 and space[van] >= 1 and shift[van] > 6
+            ]
+            chances = [c for c in chances if c[1] <= shift[c[0]]]
+            if chances:
+                van, ride, _, donor = min(chances)
+                load = int(min(math.ceil(want[3]), left[donor], space[van]))
+                left[donor] -= load
+                space[van] -= load
+                shift[van] -= ride
+                log.append((minute_of(t), n_vans, van, want[1], donor, load))
+    return log
 
 
 @pytest.mark.parametrize("seed,n,spots,chunk", [(1, 24, 24, 3), (2, 60, 6, 4), (3, 40, 40, 64)])
