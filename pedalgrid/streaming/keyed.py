@@ -59,21 +59,30 @@ def cdc_stream(
 def vehicle_stream(
     rows: DataFrame, move_m: float = MOVE_METERS, range_m: int = RANGE_METERS
 ) -> DataFrame:
-    """Vehicle rows far enough from the last kept row of the vehicle, across micro-batches."""
+    """Vehicle rows far enough from the last kept row of the vehicle, across micro-batches.
+
+    A row delivered again, or one older than what was seen, changes nothing.
+    """
     anchor_fields = ["lat", "lon", "range_m", "is_disabled", "is_reserved"]
-    state_type = "lat double, lon double, range_m int, is_disabled int, is_reserved int"
+    state_type = (
+        "at timestamp, lat double, lon double, range_m int, is_disabled int, is_reserved int"
+    )
 
     def capture(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor = (
-            SimpleNamespace(**dict(zip(anchor_fields, state.get))) if state.exists else None
-        )
+        seen_at, anchor = None, None
+        if state.exists:
+            at, *last = state.get
+            seen_at, anchor = pd.Timestamp(at), SimpleNamespace(**dict(zip(anchor_fields, last)))
         frame = _in_time(batches, "observed_at")
         keep = []
         for row in frame.itertuples(index=False):
-            keep.append(differs(anchor, row, move_m, range_m))
+            late = seen_at is not None and row.observed_at <= seen_at
+            keep.append(not late and differs(anchor, row, move_m, range_m))
             anchor = row if keep[-1] else anchor
+            seen_at = seen_at if late else row.observed_at
         state.update(
             (
+                seen_at.to_pydatetime(),
                 float(anchor.lat),
                 float(anchor.lon),
                 int(anchor.range_m),

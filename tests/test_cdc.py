@@ -109,7 +109,7 @@ def test_threshold_batch_and_stream_equal_the_loop(spark, seed, share):
     pick = lambda d: sorted((r.bike_id, minute_of(r.observed_at)) for r in d.collect())
     assert pick(cdc.cdc_threshold(df)) == want
     cut = F.col("observed_at") < F.lit(at(700))
-    parts = [df.filter(cut), df.filter(~cut)]
+    parts = [df.filter(cut), df.filter(~cut).unionByName(df.filter(cut).limit(100))]  # some come twice
     assert pick(feed(spark, VEHICLES, keyed.vehicle_stream, parts, "t-veh")) == want
 
 

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from helpers import at, minute_of, poll_frame, status_frame
 from pyspark.sql import functions as F
 
@@ -118,3 +121,26 @@ def test_hot_station_does_not_widen_the_grid(spark):
     assert segments.filter("station_id = 'hot'").count() == 7
     got = cells(grid.grid_status(status_frame(spark, rows), covered))
     assert got[("hot", 10)].num_bikes_available == 1000 % 9
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grid_equals_looking_every_cell_up(spark, seed):
+    rnd = random.Random(seed)
+    polls = sorted({round(rnd.uniform(0, 240), 2) for _ in range(14)})
+    log = sorted(
+        {(rnd.choice("AAAAAB"), round(rnd.uniform(-60, 280) * 4) / 4) for _ in range(120)} | {("C", 300.0)}
+    )
+    status = status_frame(spark, [(s, m, i, i // 2, 9) for i, (s, m) in enumerate(log)])
+    covered = grid.bucket_coverage(poll_frame(spark, polls))
+    got = {k: r.num_bikes_available for k, r in cells(grid.grid_status(status, covered)).items()}
+
+    first, last = int(polls[0] // 5) * 5, polls[-1]
+    buckets = [b for b in range(first, 300, 5) if b <= last and any(abs(p - b) <= 15 for p in polls)]
+    want = {}
+    for b in buckets:
+        for s in "ABC":
+            before = [(m, i) for i, (k, m) in enumerate(log) if k == s and m <= b]
+            want[(s, float(b))] = max(before)[1] if before else None
+    assert got == want
+    spine = grid.grid_spine(status, covered).collect()
+    assert sorted((r.station_id, minute_of(r.bucket)) for r in spine) == sorted(want)
