@@ -92,4 +92,3 @@ STATE_FIELDS = (
     "is_renting",
     "is_returning",
 )
-INFO_FIELDS = ("name", "short_name", "lat", "lon", "region_id", "capacity", "address")

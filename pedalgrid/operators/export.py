@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pedalgrid.constants import (
-    BUCKET_MINUTES,
     EBIKE_CAP,
     EXPORT_DAYS,
     FRAME_STRIDE,

@@ -30,7 +30,6 @@ from pedalgrid.operators import (
 )
 from pedalgrid.plans.fleet import Fleet, fleet, plain, rounded
 from pedalgrid.session import cut_lineage, fresh_path
-from pedalgrid.sources import events as ev
 from pedalgrid.sources import files, tables
 from pedalgrid.streaming import jobs, keyed
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
-import hashlib
 import math
 from collections import Counter
 

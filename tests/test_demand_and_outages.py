@@ -1,6 +1,5 @@
 import pytest
-from helpers import at, demand_frame, grid_frame
-from pyspark.sql import functions as F
+from helpers import demand_frame, grid_frame
 
 from pedalgrid.operators import deltas, demand, health, outages
 

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from helpers import at, demand_frame, grid_frame, minute_of
+from helpers import demand_frame, grid_frame, minute_of
 from pyspark.sql import functions as F
 
 from pedalgrid.operators import export

@@ -110,7 +110,8 @@ def test_serving_is_three_valued(spark):
         "bare": (False, True),
     }
     assert got[("bare", 0)].classic_available is None
-    ages = {r.age_bin: r.cells for r in grid.fill_age_histogram(grid.grid_status(status, grid.bucket_coverage(poll_frame(spark, [0, 10])))).collect()}
+    longer = grid.grid_status(status, grid.bucket_coverage(poll_frame(spark, [0, 10])))
+    ages = {r.age_bin: r.cells for r in grid.fill_age_histogram(longer).collect()}
     assert ages == {"same bucket": 6, "5-15 min": 12, "15-60 min": 0, "> 1 hour": 0}
 
 
