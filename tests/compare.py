@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -18,6 +19,8 @@ TABLES = (
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
+        if not os.path.exists(f"{sf_dir}/{t}.parquet"):
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
 

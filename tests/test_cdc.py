@@ -1,5 +1,6 @@
 """Change capture in batch and as a stream, against plain loops."""
 
+import json
 import random
 from types import SimpleNamespace
 
@@ -11,6 +12,7 @@ from pedalgrid.constants import STATE_FIELDS
 from pedalgrid.functions.vehicles import differs
 from pedalgrid.operators import cdc
 from pedalgrid.session import fresh_path
+from pedalgrid.sources import files
 from pedalgrid.streaming import jobs, keyed
 
 SERIES = "station_id string, polled_at timestamp, " + ", ".join(f"{c} smallint" for c in STATE_FIELDS)
@@ -145,3 +147,24 @@ def test_stream_insert_ignore_and_upsert(spark):
         write(spark.createDataFrame([("a", at(5), 7), ("b", at(0), 9)], schema), 1)
     got = spark.read.parquet(f"{state}/v1").collect()
     assert sorted((r.k, r.v) for r in got) == [("a", 7), ("b", 2)]
+
+
+def snapshot(seconds, **bikes):
+    stations = [
+        {"station_id": s, "last_reported": 0, **dict.fromkeys(STATE_FIELDS, 1), "num_bikes_available": b}
+        for s, b in bikes.items()
+    ]
+    return json.dumps({"last_updated": seconds, "data": {"stations": stations}})
+
+
+def test_snapshot_files_to_change_log(spark, tmp_path):
+    out, log = fresh_path(spark, "t-snap-out"), fresh_path(spark, "t-snap-log")
+    base = 1_700_000_000
+    polls = [dict(a=3, b=4), dict(a=3, b=5), dict(b=5, c=1), dict(a=2, b=5, c=1)]
+    for i, bikes in enumerate(polls):  # each poll lands, then the job runs once
+        (tmp_path / f"poll{i}.json").write_text(snapshot(base + 120 * i, **bikes) + "\n")
+        rows = files.stream_snapshot_json(spark, str(tmp_path))
+        got = jobs.run_available(keyed.cdc_stream(rows, time_col="feed_last_updated"), "t-snap", out, log)
+    kept = sorted((r.station_id, r.num_bikes_available) for r in got.collect())
+    assert kept == [("a", 2), ("a", 3), ("b", 4), ("b", 5), ("c", 1)]
+    assert got.filter("last_reported IS NOT NULL").count() == 0
