@@ -151,7 +151,9 @@ def notice_spans(rows: DataFrame) -> DataFrame:
             "_grams",
             F.transform(F.sequence(F.lit(0), F.col("_n") - K), lambda i: gram(F.col("_words"), i)),
         )
-        .select("k1", "k2", F.posexplode("_grams").alias("pos", "gram"))
+        # The outer form keeps Spark from testing the array in a filter of its own, into which it
+        # would copy the splitting of the text, once per k-gram.
+        .select("k1", "k2", F.posexplode_outer("_grams").alias("pos", "gram"))
     )
     hits = grams.join(F.broadcast(template_grams(rows.sparkSession)), "gram")
     diagonals = hits.groupBy(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedalgrid.llm import license_scan, line_dedup, quality_rules, warc_captures
+from pedalgrid.llm import language_id, license_scan, line_dedup, quality_rules, secret_scan, warc_captures
 from pedalgrid.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_captures.capture_digests(table(spark, sf_dir, "pages"))
 
@@ -26,7 +34,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
-QUERIES = [op1_line_dedup, op5_warc_captures, op7_quality_rules, op9_license_scan]
+QUERIES = [op1_line_dedup, op3_language_id, op4_secret_scan, op5_warc_captures, op7_quality_rules, op9_license_scan]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
