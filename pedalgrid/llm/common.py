@@ -161,3 +161,26 @@ def text_groups(texts: list[str], size: int = 1 << 20):
 def sorted_unique(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle: at most 2 MB.
+FILTER_BITS = 1 << 23
+
+
+def asked_for(rows: DataFrame, wanted: DataFrame) -> tuple[Column, DataFrame]:
+    """A test that every row whose (k1, k2) is in ``wanted`` passes, and few others do.
+
+    Returns the test and ``rows`` with what it needs. The keys set bits of a table of fixed size, which is
+    broadcast; with very many keys the test passes all rows, and the join behind it decides.
+    """
+    place = F.col("k1").bitwiseAND(F.lit(FILTER_BITS - 1))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast((k1 & {FILTER_BITS - 1}) & 63 as int))")
+    words = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    tested = rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left").drop("_word")
+    return F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)), tested
+
+
+def join_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Inner join on (k1, k2) that shuffles few rows besides those in ``wanted``."""
+    test, tested = asked_for(rows, wanted)
+    return tested.filter(test).drop("_bits").join(wanted, ["k1", "k2"])

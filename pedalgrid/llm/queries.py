@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedalgrid.llm import language_id, license_scan, line_dedup, quality_rules, secret_scan, warc_captures
+from pedalgrid.llm import bpe_codec, decontaminate, language_id, license_scan, line_dedup, quality_rules, secret_scan, warc_captures
 from pedalgrid.llm.common import table
 
 
@@ -34,7 +34,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
-QUERIES = [op1_line_dedup, op3_language_id, op4_secret_scan, op5_warc_captures, op7_quality_rules, op9_license_scan]
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode(table(spark, sf_dir, "documents"), output="digests")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("k1", "k2")
+
+
+QUERIES = [op1_line_dedup, op3_language_id, op4_secret_scan, op5_warc_captures, op7_quality_rules, op8_bpe_codec, op9_license_scan, op10_decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op10_decontaminate": decontaminate.SQL}
