@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedalgrid.llm import bpe_codec, decontaminate, language_id, license_scan, line_dedup, quality_rules, secret_scan, warc_captures
+from pedalgrid.llm import (
+    bpe_codec,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_dedup,
+    quality_rules,
+    secret_scan,
+    warc_captures,
+)
 from pedalgrid.llm.common import table
 
 
@@ -26,6 +36,11 @@ def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_captures.capture_digests(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("k1", "k2")
 
 
-QUERIES = [op1_line_dedup, op3_language_id, op4_secret_scan, op5_warc_captures, op7_quality_rules, op8_bpe_codec, op9_license_scan, op10_decontaminate]
+QUERIES = [op1_line_dedup, op3_language_id, op4_secret_scan, op5_warc_captures, op6_jaccard_join, op7_quality_rules, op8_bpe_codec, op9_license_scan, op10_decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -51,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op6_jaccard_join": jaccard_join.SQL, "op10_decontaminate": decontaminate.SQL}
