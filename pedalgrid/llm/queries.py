@@ -14,6 +14,7 @@ from pedalgrid.llm import (
     license_scan,
     line_dedup,
     quality_rules,
+    repeat_spans,
     secret_scan,
     warc_captures,
 )
@@ -24,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("k1", "k2")
 
 
-QUERIES = [op1_line_dedup, op3_language_id, op4_secret_scan, op5_warc_captures, op6_jaccard_join, op7_quality_rules, op8_bpe_codec, op9_license_scan, op10_decontaminate]
+QUERIES = [
+    op1_line_dedup,
+    op2_repeat_spans,
+    op3_language_id,
+    op4_secret_scan,
+    op5_warc_captures,
+    op6_jaccard_join,
+    op7_quality_rules,
+    op8_bpe_codec,
+    op9_license_scan,
+    op10_decontaminate,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
