@@ -19,12 +19,16 @@ from pedalgrid.session import cut_lineage, shuffle_width
 MAX_SLICES = 2048
 
 
-def slice_bounds(df: DataFrame, col: Column, slices: int | None = None) -> list:
+def slice_bounds(
+    df: DataFrame, col: Column, slices: int | None = None, limit: int | None = MAX_SLICES
+) -> list:
     """Ascending cut points that split ``col`` into ranges of about equal size.
 
-    The driver gets at most MAX_SLICES numbers, whatever the size of ``df``.
+    The driver gets at most ``limit`` numbers, whatever the size of ``df``; None leaves the
+    number of ``slices`` to the caller.
     """
-    n = min(slices or shuffle_width(df.sparkSession), MAX_SLICES)
+    n = slices or shuffle_width(df.sparkSession)
+    n = n if limit is None else min(n, limit)
     if n < 2:
         return []
     shares = [i / n for i in range(1, n)]
@@ -33,17 +37,28 @@ def slice_bounds(df: DataFrame, col: Column, slices: int | None = None) -> list:
 
 
 def slice_of(col: Column, bounds: Sequence) -> Column:
-    """How many of ``bounds`` are <= ``col``, by binary search in generated code."""
+    """How many of ``bounds`` are <= ``col`` (all of them for NULL).
+
+    A binary search over one constant array: the expression does not grow with the number of
+    bounds, so it compiles for any width.
+    """
     if not bounds:
         return F.lit(0)
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds))
+    cuts = F.array(*(F.lit(b) for b in bounds))
+    searched = F.struct(col.alias("x"), F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(s: Column, _step: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        done = s["lo"] >= s["hi"]
+        above = F.coalesce(F.get(cuts, mid) <= s["x"], F.lit(True))
+        return F.struct(
+            s["x"].alias("x"),
+            F.when(done | ~above, s["lo"]).otherwise(mid + 1).alias("lo"),
+            F.when(done | above, s["hi"]).otherwise(mid).alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, searched, halve, lambda s: s["lo"])
 
 
 def time_slices(df: DataFrame, time_col: str, slices: int | None = None) -> Column:

@@ -1,11 +1,7 @@
-"""Which moves a few vans would have made at each decision epoch."""
+"""Which stations lack e-bikes at each decision epoch, which could give some, and how near they are."""
 
 from __future__ import annotations
 
-import math
-from itertools import groupby
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,10 +10,8 @@ from pedalgrid.constants import (
     BUCKET_MINUTES,
     DISPATCH_WINDOW_MINUTES,
     EPOCH_MINUTES,
-    FLEET_SIZES,
     HANDLING_MINUTES,
     SHIFT_MINUTES,
-    VAN_CAPACITY,
     VAN_SPEED_KMH,
 )
 from pedalgrid.functions.geo import haversine, sphere_cell, touching_cells
@@ -153,169 +147,3 @@ def nearest_donor(located: DataFrame, reach_km: float = REACH_KM) -> DataFrame:
         "km",
         minutes_for(F.col("km")).alias("minutes"),
     )
-
-
-MOVES = (
-    "bucket timestamp, n_vans int, move int, van int, station_id string, donor_id string, "
-    "bikes int, minutes double, prevented boolean"
-)
-
-
-def _drive(n_vans: int, done: pd.DataFrame, wants: list, moves: list) -> None:
-    """Serve the deficits in order with one fleet, after the moves it has already made."""
-    budget, room = [SHIFT_MINUTES] * n_vans, [VAN_CAPACITY] * n_vans
-    given: dict[str, int] = {}
-    before = sorted(zip(done.move, done.van, done.donor_id, done.bikes, done.minutes))
-    for _, van, donor, bikes, minutes in before:
-        budget[van] -= minutes
-        room[van] -= bikes
-        given[donor] = given.get(donor, 0) + bikes
-    made = len(done)
-    for station, short, options in wants:
-        for van in range(n_vans):
-            if room[van] < 1 or budget[van] <= HANDLING_MINUTES:
-                continue
-            pick = next(
-                (o for o in options if o[2] - given.get(o[0], 0) >= 1 and o[1] <= budget[van]), None
-            )
-            if pick is None:
-                continue
-            donor, minutes, stock = pick
-            bikes = int(min(math.ceil(short), stock - given.get(donor, 0), room[van]))
-            given[donor] = given.get(donor, 0) + bikes
-            room[van] -= bikes
-            budget[van] -= minutes
-            moves.append((n_vans, made, van, station, donor, bikes, minutes, bikes >= short))
-            made += 1
-            break
-
-
-def _assign_epoch(fleets):
-    def assign(key: tuple, pairs: pd.DataFrame, done: pd.DataFrame) -> pd.DataFrame:
-        worst_first = sorted(
-            zip(-pairs.short, pairs.station_id, pairs.minutes, -pairs.stock, pairs.donor_id)
-        )
-        wants = [
-            (station, -less, [(donor, minutes, -stock) for _, _, minutes, stock, donor in near])
-            for (less, station), near in groupby(worst_first, key=lambda r: r[:2])
-        ]
-        moves: list[tuple] = []
-        for n in fleets:
-            _drive(n, done[done.n_vans == n], wants, moves)
-        names = ["n_vans", "move", "van", "station_id", "donor_id", "bikes", "minutes", "prevented"]
-        out = pd.DataFrame(moves, columns=names)
-        out.insert(0, "bucket", key[0])
-        return out
-
-    return assign
-
-
-def greedy_assign(
-    located: DataFrame,
-    nearest: DataFrame,
-    fleets=FLEET_SIZES,
-    chunk: int = 64,
-) -> DataFrame:
-    """Moves of each fleet in each epoch: worst deficit first, first van that can, closest donor.
-
-    Epochs are independent, and one epoch is worked off in chunks of deficits so that no
-    task holds more than ``chunk`` of them. A chunk needs few donors per deficit: a fleet can
-    empty at most as many donors as it can move bikes. Deficits no van can reach any more are
-    left out; an epoch ends when its vans or its deficits are used up.
-    """
-    fleets = tuple(n for n in fleets if n > 0)
-    donors_needed = max(fleets) * VAN_CAPACITY + 1
-    donors = cut_lineage(
-        located.filter((F.col("kind") == "donor") & (F.col("size") >= 1)).select(
-            "bucket", "lat", "lon", F.col("station_id").alias("donor_id"), F.col("size").alias("stock")
-        ),
-        "donors",
-    )
-    deficits = cut_lineage(
-        located.filter(F.col("kind") == "deficit")
-        .select("bucket", "station_id", "lat", "lon")
-        .join(nearest.select("bucket", "station_id", "short", "minutes"), ["bucket", "station_id"])
-        .withColumnRenamed("minutes", "least_minutes"),
-        "deficits",
-    )
-    spark = located.sparkSession
-    moves = spark.createDataFrame([], MOVES)
-    left = deficits
-    worst_first = W.partitionBy("bucket").orderBy(F.desc("short"), "station_id")
-    closest = W.partitionBy("bucket", "station_id").orderBy("minutes", F.desc("stock"), "donor_id")
-    at_spot = W.partitionBy("bucket", "lat", "lon").orderBy(F.desc("stock"), "donor_id")
-    useful = donors.withColumn("i", F.row_number().over(at_spot)).filter(
-        F.col("i") <= donors_needed
-    )
-    useful = cut_lineage(useful.drop("i"), "useful")
-    while not left.isEmpty():
-        now = cut_lineage(
-            left.withColumn("i", F.row_number().over(worst_first)).filter(F.col("i") <= chunk),
-            "chunk",
-        )
-        pairs = (
-            _within(now.select("bucket", "station_id", "short", "lat", "lon"), useful, REACH_KM)
-            .withColumn("minutes", minutes_for(F.col("km")))
-            .filter(F.col("minutes") <= SHIFT_MINUTES)
-            .withColumn("i", F.row_number().over(closest))
-            .filter(F.col("i") <= donors_needed)
-            .select("bucket", "station_id", "short", "donor_id", "stock", "minutes")
-        )
-        made = (
-            pairs.repartition(shuffle_width(spark), "bucket")  # few bytes, much Python: stay wide
-            .groupBy("bucket")
-            .cogroup(moves.groupBy("bucket"))
-            .applyInPandas(_assign_epoch(fleets), MOVES)
-        )
-        moves = cut_lineage(moves.unionByName(made), "moves")
-        left = cut_lineage(_still_open(left, now, moves, fleets), "left")
-    return moves
-
-
-def _still_open(left: DataFrame, now: DataFrame, moves: DataFrame, fleets) -> DataFrame:
-    """Deficits after the chunk that some van could still reach."""
-    slack = 1e-6
-    used = moves.groupBy("bucket", "n_vans", "van").agg(
-        (SHIFT_MINUTES - F.sum("minutes")).alias("budget"),
-        (VAN_CAPACITY - F.sum("bikes")).alias("room"),
-    )
-    alive = (F.col("room") >= 1) & (F.col("budget") > HANDLING_MINUTES - slack)
-    by_fleet = used.groupBy("bucket", "n_vans").agg(
-        F.when(F.count("*") < F.col("n_vans"), F.lit(SHIFT_MINUTES))
-        .otherwise(F.max(F.when(alive, F.col("budget"))))
-        .alias("budget")
-    )
-    by_epoch = by_fleet.groupBy("bucket").agg(
-        F.when(F.count("*") < len(fleets), F.lit(SHIFT_MINUTES))
-        .otherwise(F.max("budget"))
-        .alias("budget")
-    )
-    rest = left.join(now.select("bucket", "station_id"), ["bucket", "station_id"], "left_anti")
-    moved = moves.select("bucket").distinct().withColumn("moved", F.lit(True))
-    return (
-        rest.join(by_epoch, "bucket", "left")
-        .join(moved, "bucket", "left")
-        .filter(
-            F.col("moved").isNull() | (F.col("least_minutes") <= F.col("budget") + slack)
-        )
-        .select(*left.columns)
-    )
-
-
-def dispatch_totals(moves: DataFrame, fleets=FLEET_SIZES) -> DataFrame:
-    """Moves, bikes and fully covered shortfalls by fleet size; fleets without moves stay."""
-    sums = moves.groupBy("n_vans").agg(
-        F.count("*").alias("moves"),
-        F.sum("bikes").alias("bikes"),
-        F.count_if("prevented").alias("prevented"),
-    )
-    asked = moves.sparkSession.range(1).select(
-        F.explode(F.array(*(F.lit(n) for n in fleets))).alias("n_vans")
-    )
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("moves", "bikes", "prevented")}
-    return (
-        asked.join(sums, "n_vans", "left")
-        .withColumns(zero)
-        .withColumn("bikes_per_prevention", F.try_divide("bikes", "prevented"))
-        .orderBy("n_vans")
-    )

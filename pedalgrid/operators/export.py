@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -187,31 +187,26 @@ def fleet_series(cells: DataFrame) -> DataFrame:
     )
 
 
-def _frame_chunks(cells: DataFrame, stations: DataFrame, chunk: int) -> DataFrame:
-    """Per frame and run of ``chunk`` stations: the code strings and the e-bike counts."""
-    known = cells.filter(F.col("idx").isNotNull())
-    sized = known.withColumns(
-        {
-            "part": F.floor(F.col("idx") / chunk),
-            "pos": (F.col("idx") % chunk).cast("int"),
-            "stations": stations.agg(F.count("*").alias("n")).scalar(),
-        }
+def _frame_chunks(cells: DataFrame, frames: DataFrame, n: Column, chunk: int) -> DataFrame:
+    """Per frame and run of ``chunk`` stations: the code strings and the e-bike counts.
+
+    Every station has a place in every frame, whether or not it was seen.
+    """
+    known = cells.filter(F.col("idx").isNotNull()).select(
+        "frame", F.col("idx").cast("bigint").alias("idx"), *CODES, F.least("e", F.lit(EBIKE_CAP)).alias("e")
     )
-    value = F.struct(*CODES, F.least("e", F.lit(EBIKE_CAP)).alias("e"))
-    packed = sized.groupBy("frame", "part", "stations").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", value.alias("v")))).alias("at")
+    every = frames.withColumn("_n", n).filter(F.col("_n") > 0)
+    places = every.select("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("idx"))
+    full = places.join(known, ["frame", "idx"], "left")
+    value = F.struct("idx", *(F.coalesce(c, F.lit(ABSENT)).alias(c) for c in CODES), F.coalesce("e", F.lit(0)).alias("e"))
+    packed = full.groupBy("frame", F.floor(F.col("idx") / chunk).alias("part")).agg(
+        F.array_sort(F.collect_list(value)).alias("at")
     )
-    places = F.sequence(F.lit(0), F.least(F.lit(chunk), F.col("stations") - F.col("part") * chunk).cast("int") - 1)
-    packed = packed.withColumn("places", places)
-
-    def text(code: str) -> Column:
-        return F.array_join(
-            F.transform("places", lambda i: F.coalesce(F.element_at("at", i)[code], F.lit(ABSENT))), ""
-        ).alias(code)
-
-    counts = F.transform("places", lambda i: F.coalesce(F.element_at("at", i)["e"], F.lit(0)))
     return packed.select(
-        "frame", "part", "stations", *(text(c) for c in CODES), counts.alias("ebikes")
+        "frame",
+        "part",
+        *(F.array_join(F.col(f"at.{c}"), "").alias(c) for c in CODES),
+        F.col("at.e").alias("ebikes"),
     )
 
 
@@ -219,34 +214,20 @@ def frame_rows(cells: DataFrame, stations: DataFrame, chunk: int = CHUNK) -> Dat
     """One row per frame: a character per station and kind, and the capped e-bike counts.
 
     Codes are joined to strings per ``chunk`` stations first, so what meets in one task is
-    a few long strings rather than a row per station.
+    a few long strings rather than a row per station. A frame in which no station with a
+    position was seen has all its places absent.
     """
-    parts = _frame_chunks(cells, stations, chunk)
-    whole = parts.groupBy("frame", "stations").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("part", F.struct(*CODES, "ebikes").alias("v")))
-        ).alias("at")
-    )
-    whole = whole.withColumn(
-        "places", F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("stations") - 1) / chunk))
+    frames = cells.select("frame").distinct()
+    parts = _frame_chunks(cells, frames, stations.agg(F.count("*")).scalar(), chunk)
+    whole = parts.groupBy("frame").agg(
+        F.array_sort(F.collect_list(F.struct("part", *CODES, "ebikes"))).alias("at")
     )
-
-    def width(i: Column) -> Column:
-        return F.least(F.lit(chunk), F.col("stations") - i * chunk).cast("int")
-
-    def text(code: str) -> Column:
-        part = lambda i: F.coalesce(F.element_at("at", i)[code], F.repeat(F.lit(ABSENT), width(i)))
-        return F.array_join(F.transform("places", part), "").alias(code)
-
-    counts = F.flatten(
-        F.transform(
-            "places",
-            lambda i: F.coalesce(
-                F.element_at("at", i)["ebikes"], F.array_repeat(F.lit(0), width(i))
-            ),
-        )
+    joined = frames.join(whole, "frame", "left")
+    return joined.select(
+        "frame",
+        *(F.coalesce(F.array_join(F.col(f"at.{c}"), ""), F.lit("")).alias(c) for c in CODES),
+        F.coalesce(F.flatten("at.ebikes"), F.array().cast("array<int>")).alias("ebikes"),
     )
-    return whole.select("frame", *(text(c) for c in CODES), counts.alias("ebikes"))
 
 
 def van_nearest_frame(deltas: DataFrame, buckets: DataFrame, stations: DataFrame) -> DataFrame:
@@ -297,8 +278,7 @@ def export_document(
 ) -> DataFrame:
     """The display document as JSON lines: one per zone, station, frame and van event.
 
-    ``frames.write.text`` of the ``doc`` column gives files that load line by line, so no
-    task ever holds the whole document.
+    :func:`write_document` gives files that load line by line, so no task ever holds the whole.
     """
     station = stations.select(
         F.lit("station").alias("part"),
@@ -328,3 +308,15 @@ def export_document(
     zone = stations.sparkSession.createDataFrame(names, "seq bigint, doc string")
     zone = zone.select(F.lit("zone").alias("part"), "seq", "doc")
     return zone.unionByName(station).unionByName(frame).unionByName(van)
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """Store the document as JSON lines, one folder per part."""
+    line = F.to_json(F.struct("seq", "doc")).alias("line")
+    document.select("part", line).write.partitionBy("part").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.schema("value string, part string").text(path)
+    line = F.from_json("value", "seq bigint, doc string").alias("l")
+    return lines.select("part", line).select("part", "l.seq", "l.doc")

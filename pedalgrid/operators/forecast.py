@@ -119,9 +119,17 @@ def forecast_skill(
     )
 
 
-def onset_skill(scored: DataFrame, score: str = "b0", min_positives: int = 1) -> DataFrame:
-    """The same where the station still has e-bikes: an empty one staying empty is no forecast."""
-    return forecast_skill(scored.filter(F.col("ebikes") > 0), score, min_positives)
+def onset_skill(
+    scored: DataFrame, score: str = "b0", min_positives: int = MIN_POSITIVES
+) -> DataFrame:
+    """The same where the station still has e-bikes: an empty one staying empty is no forecast.
+
+    A horizon counts if all its test rows hold enough positives.
+    """
+    hits = scored.filter("is_test").groupBy("horizon").agg(F.sum("starved_future").alias("hits"))
+    counted = hits.filter(F.col("hits") >= min_positives).select("horizon")
+    onset = forecast_skill(scored.filter(F.col("ebikes") > 0), score, 1)
+    return onset.join(F.broadcast(counted), "horizon", "left_semi")  # a row per horizon
 
 
 def boosted_model(

@@ -22,6 +22,7 @@ from pedalgrid.functions.timeutil import (
 )
 from pedalgrid.session import shuffle_width
 
+# The age bins and their names.
 AGE_BINS = (
     ("same bucket", 0, 300),
     ("5-15 min", 300, 900),
@@ -196,11 +197,18 @@ def fill_age_histogram(grid: DataFrame, bins=AGE_BINS) -> DataFrame:
 
 
 def grid_summary(grid: DataFrame) -> DataFrame:
-    return grid.agg(
+    """Counted per station first; the list of distinct buckets is bounded by time."""
+    per_station = grid.groupBy("station_id").agg(
         F.count("*").alias("cells"),
-        F.count_distinct("bucket").alias("buckets"),
-        F.count_distinct("station_id").alias("stations"),
-        F.count_if(F.col("num_bikes_available").isNull()).alias("null_state"),
-        F.date_format(F.min("bucket"), "yyyy-MM-dd HH:mm").alias("first_bucket"),
-        F.date_format(F.max("bucket"), "yyyy-MM-dd HH:mm").alias("last_bucket"),
+        F.count_if(F.col("num_bikes_available").isNull()).alias("unknown"),
+        F.min("bucket").alias("first"),
+        F.max("bucket").alias("last"),
     )
+    buckets = grid.select("bucket").distinct().agg(F.count("bucket")).scalar()
+    return per_station.agg(
+        F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"),
+        F.count("station_id").alias("stations"),
+        F.coalesce(F.sum("unknown"), F.lit(0)).alias("null_state"),
+        F.date_format(F.min("first"), "yyyy-MM-dd HH:mm").alias("first_bucket"),
+        F.date_format(F.max("last"), "yyyy-MM-dd HH:mm").alias("last_bucket"),
+    ).select("cells", buckets.alias("buckets"), "stations", "null_state", "first_bucket", "last_bucket")

@@ -35,14 +35,17 @@ def outage_flags(grid: DataFrame, demand: DataFrame) -> DataFrame:
 def outage_islands(flags: DataFrame) -> DataFrame:
     """Number unbroken runs of the same state: equal ``grp`` within a station and state.
 
-    All three windows are satisfied by one shuffle by station.
+    The number is how many rows in another state came before. It stays while a state lasts,
+    and one pass in time order counts it for both kinds.
     """
-    every = W.partitionBy("station_id").orderBy("bucket")
-    rows = flags.withColumn("rn", F.row_number().over(every).cast("bigint"))
+    so_far = W.partitionBy("station_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = flags.withColumn("rn", F.count("*").over(so_far))
     for name, state in (("grp_starve", "starved"), ("grp_sat", "saturated")):
-        same = W.partitionBy("station_id", state).orderBy("bucket")
-        rows = rows.withColumn(name, F.col("rn") - F.row_number().over(same))
-    return rows
+        on = F.count_if(F.col(state)).over(so_far)
+        unknown = F.count_if(F.col(state).isNull()).over(so_far)
+        alike = F.when(F.col(state), on).when(F.col(state).isNull(), unknown)
+        seen = seen.withColumn(name, F.col("rn") - alike.otherwise(F.col("rn") - on - unknown))
+    return seen
 
 
 def outage_runs(islands: DataFrame) -> DataFrame:

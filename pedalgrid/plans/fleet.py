@@ -25,7 +25,7 @@ from pedalgrid.operators import (
     outages,
     validate,
 )
-from pedalgrid.session import configure, cut_lineage, store_bucketed
+from pedalgrid.session import clean_up, configure, cut_lineage, store_bucketed
 from pedalgrid.sources import events as ev
 
 
@@ -97,10 +97,15 @@ class Fleet:
     def calibration(self) -> calibrate.Calibration:
         return calibrate.calibrate_vans(self.grid, self.deltas, histogram=self.moves)
 
+    @cached_property
+    def calibrated(self) -> DataFrame:
+        """The deltas under their final labels: what demand and everything after it reads."""
+        return store_bucketed(self.calibration.deltas, "calibrated", "station_id", "bucket")
+
     @cached_property
     def cells(self) -> DataFrame:
         return cut_lineage(
-            demand.demand_cells(demand.demand_observations(self.grid, self.deltas)), "cells"
+            demand.demand_cells(demand.demand_observations(self.grid, self.calibrated)), "cells"
         )
 
     @cached_property
@@ -146,10 +151,6 @@ class Fleet:
     def nearest(self) -> DataFrame:
         return cut_lineage(dispatch.nearest_donor(self.located), "nearest")
 
-    @cached_property
-    def dispatched(self) -> DataFrame:
-        return dispatch.greedy_assign(self.located, self.nearest)
-
     @cached_property
     def stations(self) -> DataFrame:
         return cut_lineage(export.station_list(self.info), "stations")
@@ -166,7 +167,7 @@ class Fleet:
 
     @property
     def vans(self) -> DataFrame:
-        return export.van_nearest_frame(self.deltas, self.window, self.stations)
+        return export.van_nearest_frame(self.calibrated, self.window, self.stations)
 
     @cached_property
     def compared(self) -> DataFrame:
@@ -191,6 +192,14 @@ def forget(spark: SparkSession, sf_dir: str) -> None:
     _fleets.pop((spark.sparkContext.applicationId, str(sf_dir)), None)
 
 
+def close(spark: SparkSession) -> int:
+    """Forget all stages of this session and remove their tables and folders."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _fleets if k[0] == app]:
+        del _fleets[key]
+    return clean_up(spark)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Instants as UTC clock time, which any reader takes for the same value."""
     instants = {

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from pedalgrid.constants import LOCAL_ZONE, STATE_FIELDS, VAN_MIN_BIKES
 from pedalgrid.functions import timeutil
 from pedalgrid.functions.geo import haversine
-from pedalgrid.functions.ordered import slice_bounds, slice_of
 from pedalgrid.functions.poisson import surprise_threshold
 from pedalgrid.operators import (
     audit,
@@ -91,9 +89,8 @@ def scan_trips_csv(f: Fleet) -> DataFrame:
 @query
 def load_month_once(f: Fleet) -> DataFrame:
     path = fresh_path(f.spark, "trips-by-month")
-    months = [r[0] for r in f.trips.select("source_month").distinct().collect()]  # a few months
-    for month in [*months, *months]:  # the second round finds every month in place
-        tables.load_month_once(f.trips.filter(F.col("source_month") == month), path, month)
+    for _ in range(2):  # the second load finds every month in place
+        tables.load_months(f.trips, path)
     return (
         tables.read_months(f.spark, path)
         .groupBy("source_month")
@@ -104,16 +101,12 @@ def load_month_once(f: Fleet) -> DataFrame:
 @query
 def scan_snapshot_json(f: Fleet) -> DataFrame:
     path = fresh_path(f.spark, "snapshots")
-    f.status.select(
-        F.unix_seconds("observed_at").alias("last_updated"),
-        F.struct(
-            F.array(
-                F.struct(
-                    "station_id", F.unix_seconds("last_reported").alias("last_reported"), *STATE_FIELDS
-                )
-            ).alias("stations")
-        ).alias("data"),
-    ).write.json(path)
+    station = F.struct(
+        "station_id", F.unix_seconds("last_reported").alias("last_reported"), *STATE_FIELDS
+    )
+    f.status.groupBy(
+        F.unix_seconds(F.date_trunc("hour", "observed_at")).alias("last_updated")
+    ).agg(F.struct(F.collect_list(station).alias("stations")).alias("data")).write.json(path)
     return files.scan_snapshot_json(f.spark, path)
 
 
@@ -204,14 +197,23 @@ def mirror_reconcile(f: Fleet) -> DataFrame:
 
 @query
 def retention_delete(f: Fleet) -> DataFrame:
-    kept = tables.retention_delete(f.status, f.status, "observed_at", apply=True)
+    path = fresh_path(f.spark, "log-by-day")
+    tables.write_days(f.status, path, "observed_at")
+    lost = F.to_date("observed_at") == "2024-01-05"
+    try:
+        tables.retention_run(f.spark, path, f.status.filter(~lost), "observed_at")
+    except tables.NotMirrored:  # a day the mirror lacks: nothing was deleted
+        kept = tables.retention_run(f.spark, path, f.status, "observed_at")
     return kept.select("station_id", "observed_at", "num_bikes_available")
 
 
 @query
 def export_document(f: Fleet) -> DataFrame:
     frames = export.frame_rows(f.frame_cells, f.stations)
-    return export.export_document(f.stations, export.fleet_series(f.frame_cells), frames, f.vans)
+    document = export.export_document(f.stations, export.fleet_series(f.frame_cells), frames, f.vans)
+    path = fresh_path(f.spark, "document")
+    export.write_document(document, path)
+    return export.read_document(f.spark, path)
 
 
 # change data capture and streaming
@@ -232,24 +234,17 @@ def cdc_incremental(f: Fleet) -> DataFrame:
     return cdc.cdc_incremental(snapshot, known)
 
 
-def _in_slices(f: Fleet, rows: DataFrame, time_col: str, label: str, capture) -> DataFrame:
-    """Feed ``rows`` to a streaming job in time order, a bounded slice per restart."""
-    rows = cut_lineage(rows, f"{label}-rows")
-    us = F.unix_micros(time_col)
-    steps = max(3, math.ceil(rows.count() / MICRO_BATCH_ROWS))
-    bounds = slice_bounds(rows, us, steps)
-    feed, out, progress = (fresh_path(f.spark, f"{label}-{p}") for p in ("feed", "out", "log"))
-    result = None
-    for i in range(len(bounds) + 1):
-        rows.filter(slice_of(us, bounds) == i).write.mode("append").parquet(feed)
-        stream = f.spark.readStream.schema(rows.schema).parquet(feed)
-        result = jobs.run_available(capture(stream), label, out, progress)
-    return result
+def _in_time_order(f: Fleet, rows: DataFrame, time_col: str, label: str, capture) -> DataFrame:
+    """Run a streaming job over ``rows`` in time order, a bounded slice per micro-batch."""
+    feed = fresh_path(f.spark, f"{label}-feed")
+    jobs.feed_in_order(rows, time_col, feed, MICRO_BATCH_ROWS)
+    stream = f.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return jobs.run_available(capture(stream.parquet(feed)), label)
 
 
 @query
 def cdc_stream(f: Fleet) -> DataFrame:
-    return _in_slices(f, f.series.select(*KEPT), "polled_at", "cdc", keyed.cdc_stream)
+    return _in_time_order(f, f.series.select(*KEPT), "polled_at", "cdc", keyed.cdc_stream)
 
 
 @query
@@ -259,7 +254,7 @@ def cdc_threshold(f: Fleet) -> DataFrame:
 
 @query
 def cdc_threshold_stream(f: Fleet) -> DataFrame:
-    return _in_slices(f, f.vehicles, "observed_at", "vehicles", keyed.vehicle_stream)
+    return _in_time_order(f, f.vehicles, "observed_at", "vehicles", keyed.vehicle_stream)
 
 
 @query
@@ -282,7 +277,28 @@ def tumbling_grid_stream(f: Fleet) -> DataFrame:
     path = fresh_path(f.spark, "observations")
     f.status.select("station_id", "observed_at").write.parquet(path)
     stream = f.spark.readStream.schema("station_id string, observed_at timestamp").parquet(path)
-    return jobs.run_available(jobs.tumbling_counts(stream, "observed_at"), "tumbling")
+    counts = jobs.tumbling_counts(stream, "observed_at")
+    return jobs.run_upserting(counts, "tumbling", ["bucket"], "observations")
+
+
+@query
+def insert_ignore_stream(f: Fleet) -> DataFrame:
+    """Every row delivered twice; the first copy of a key stays."""
+    path = fresh_path(f.spark, "twice")
+    rows = f.status.select("station_id", "observed_at", "num_bikes_available")
+    rows.unionAll(rows).write.parquet(path)
+    stream = f.spark.readStream.schema(rows.schema).parquet(path)
+    firsts = jobs.first_only(stream, ["station_id", "observed_at"], "observed_at")
+    return jobs.run_available(firsts, "firsts")
+
+
+@query
+def upsert_latest_stream(f: Fleet) -> DataFrame:
+    rows = f.status.select("station_id", "observed_at", "num_bikes_available")
+    feed = fresh_path(f.spark, "upsert-feed")
+    jobs.feed_in_order(rows, "observed_at", feed, MICRO_BATCH_ROWS)
+    stream = f.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return jobs.run_upserting(stream.parquet(feed), "upsert", ["station_id"], "observed_at", "append")
 
 
 # grid
@@ -419,12 +435,13 @@ def label_churn(f: Fleet) -> DataFrame:
 
 @query
 def calibrate_vans(f: Fleet) -> DataFrame:
-    return calibrate.calibrate_vans(f.grid, f.deltas).rounds
+    done = calibrate.calibrate_vans(f.grid, f.deltas, histogram=f.moves)
+    return done.rounds.withColumn("converged", F.lit(done.converged))
 
 
 @query
 def calibrated_deltas(f: Fleet) -> DataFrame:
-    return f.calibration.deltas.select("bucket", "station_id", "d_bikes", "event_class")
+    return f.calibrated.select("bucket", "station_id", "d_bikes", "event_class")
 
 
 @query
@@ -457,14 +474,14 @@ def exposure(f: Fleet) -> DataFrame:
 
 @query
 def rider_departures(f: Fleet) -> DataFrame:
-    return demand.rider_departures(demand.exposure(f.grid), f.deltas).select(
+    return demand.rider_departures(demand.exposure(f.grid), f.calibrated).select(
         "station_id", "bucket", "ebike_dep", "classic_dep"
     )
 
 
 @query
 def demand_cells(f: Fleet) -> DataFrame:
-    return demand.demand_cells(demand.demand_observations(f.grid, f.deltas))
+    return demand.demand_cells(demand.demand_observations(f.grid, f.calibrated))
 
 
 @query
@@ -474,7 +491,7 @@ def station_prior(f: Fleet) -> DataFrame:
 
 @query
 def demand_baseline(f: Fleet) -> DataFrame:
-    cells = demand.demand_cells(demand.demand_observations(f.grid, f.deltas))
+    cells = demand.demand_cells(demand.demand_observations(f.grid, f.calibrated))
     return demand.demand_baseline(cells)
 
 
@@ -594,10 +611,12 @@ def onset_skill(f: Fleet) -> DataFrame:
 
 @query
 def boosted_model(f: Fleet) -> DataFrame:
-    scored = cut_lineage(forecast.boosted_model(f.features, horizon=60), "boosted")
-    return forecast.forecast_skill(scored, "m1").unionByName(
-        forecast.onset_skill(scored, "m1")
+    """All horizons. The trees' own scores depend on the engine; what they were scored on does not."""
+    scored = cut_lineage(forecast.boosted_models(f.features), "boosted")
+    both = forecast.forecast_skill(scored, "m1").withColumn("onset", F.lit(False)).unionByName(
+        forecast.onset_skill(scored, "m1").withColumn("onset", F.lit(True))
     )
+    return both.select("horizon", "onset", "test_rows", "base_rate")
 
 
 # dispatch
@@ -634,16 +653,6 @@ def nearest_donor(f: Fleet) -> DataFrame:
     return dispatch.nearest_donor(f.located)
 
 
-@query
-def greedy_assign(f: Fleet) -> DataFrame:
-    return dispatch.greedy_assign(f.located, f.nearest)
-
-
-@query
-def dispatch_totals(f: Fleet) -> DataFrame:
-    return dispatch.dispatch_totals(f.dispatched)
-
-
 # export frames
 
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_made_paths: dict[str, list[str]] = {}
+_made_tables: dict[str, list[str]] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -39,7 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark).rstrip('/')}/pedalgrid/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/pedalgrid/{label}-{uuid.uuid4().hex}"
+    _made_paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Drop the tables and folders this session has made for intermediate results.
+
+    DataFrames built on them cannot be read afterwards. Returns how many were removed.
+    """
+    app = spark.sparkContext.applicationId
+    tables, paths = _made_tables.pop(app, []), _made_paths.pop(app, [])
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for path in paths:
+        remove_path(spark, path)
+    return len(tables) + len(paths)
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -69,4 +93,5 @@ def store_bucketed(df: DataFrame, label: str, key: str, *sort: str) -> DataFrame
         .option("path", fresh_path(spark, label))
         .saveAsTable(table)
     )
+    _made_tables.setdefault(spark.sparkContext.applicationId, []).append(table)
     return spark.table(table)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pedalgrid.constants import KEEP_DAYS
 from pedalgrid.functions.picking import first_per, latest_per
+from pedalgrid.session import fresh_path, remove_path
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -28,17 +29,32 @@ def replace_dimension(df: DataFrame, path: str) -> DataFrame:
     return materialize(df, path)
 
 
-def load_month_once(rows: DataFrame, path: str, month: str) -> int:
-    """Add one month's rows under ``source_month=<month>`` unless that month is there already.
+def load_months(rows: DataFrame, path: str) -> int:
+    """Add the months of ``rows`` that the table at ``path`` does not hold yet, in one write.
 
-    Returns the months written (0 or 1). A month is one directory, replaced as a whole, so
-    a load that died half-way can simply run again.
+    A month is one directory ``source_month=<month>`` that appears as a whole when the write commits,
+    so a load that died can run again. Returns the number of months added.
     """
     spark = rows.sparkSession
-    if _exists(spark, f"{path}/source_month={month}/_SUCCESS"):
-        return 0
-    rows.drop("source_month").write.mode("overwrite").parquet(f"{path}/source_month={month}")
-    return 1
+    new = rows
+    if _exists(spark, path):
+        there = read_months(spark, path).select("source_month").distinct()
+        new = rows.join(F.broadcast(there), "source_month", "left_anti")  # a row per month
+    count = new.select("source_month").distinct().count()
+    if count:
+        parts = new.repartition("source_month", F.pmod(F.hash(*new.columns), F.lit(8)))
+        (
+            parts.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("source_month")
+            .parquet(path)
+        )
+    return count
+
+
+def load_month_once(rows: DataFrame, path: str, month: str) -> int:
+    """The same for the rows of one month; returns the months written (0 or 1)."""
+    return load_months(rows.withColumn("source_month", F.lit(month)), path)
 
 
 def read_months(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +71,8 @@ def mirror_incremental(
 ) -> DataFrame:
     """Append the source rows newer than everything mirrored so far; all of them at first.
 
-    The high-water mark is a literal in the filter, so it is pushed into the source scan.
+    The high-water mark is a literal in the filter, so it is pushed into the source scan. It travels
+    as a number: a local time would be ambiguous in the hour a clock repeats.
     Rows that arrive late with an older time are lost, unless an overlap window is asked
     for: then rows of that window are compared by ``keys`` and the unknown ones added.
     Returns the mirror as it is then.
@@ -64,9 +81,9 @@ def mirror_incremental(
     fresh = source
     if _exists(spark, path):
         mirror = spark.read.schema(source.schema).parquet(path)
-        high = mirror.agg(F.max(time_col).alias("t")).first()["t"]
+        high = mirror.agg(F.max(F.unix_micros(time_col)).alias("t")).first()["t"]
         if high is not None:
-            mark = F.lit(high)
+            mark = F.timestamp_micros(F.lit(high))
             if overlap_minutes and keys:
                 mark = mark - F.expr(f"interval {overlap_minutes} minutes")
                 known = mirror.filter(F.col(time_col) > mark).select(*keys)
@@ -88,9 +105,15 @@ def insert_ignore(
 def upsert_latest(
     target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str
 ) -> DataFrame:
-    """Keyed state after the incoming rows: the newest row of every key."""
-    both = target.unionByName(incoming.select(*target.columns))
-    return latest_per(both, keys, order).select(*target.columns)
+    """Keyed state after the incoming rows: the newest row of every key.
+
+    Of rows with an equal time an incoming one wins (it is a correction); among several of those the
+    greatest by its other columns, so the result does not depend on where rows lie.
+    """
+    rest = [c for c in target.columns if c not in keys and c != order]
+    side = lambda df, n: df.select(*target.columns, F.lit(n).alias("_side"))
+    both = side(target, 0).unionByName(side(incoming, 1))
+    return latest_per(both, keys, F.struct(order, "_side", *rest)).select(*target.columns)
 
 
 def daily_snapshot_once(target: DataFrame, snapshot: DataFrame, day: str) -> DataFrame:
@@ -160,3 +183,47 @@ def retention_delete(
     if not checked.filter(~F.col("ok")).isEmpty():
         raise ValueError("some days are not fully mirrored; nothing was deleted")
     return source.filter(F.col(time_col) >= _cutoff(source, time_col, keep_days))
+
+
+class NotMirrored(ValueError):
+    """A retention run would lose rows that the mirror does not hold."""
+
+
+def write_days(log: DataFrame, path: str, time_col: str) -> DataFrame:
+    """Store a log with one directory per UTC day."""
+    dated = log.withColumn("day", F.to_date(time_col))
+    dated.repartition("day", F.pmod(F.xxhash64(time_col), F.lit(8))).write.partitionBy("day").parquet(path)
+    return read_days(log.sparkSession, path)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def retention_run(
+    spark: SparkSession, path: str, mirror: DataFrame, time_col: str, keep_days: int = KEEP_DAYS
+) -> DataFrame:
+    """Delete what is older than ``keep_days`` from a log stored by day; returns what is left.
+
+    The guard comes first: one day that the mirror does not hold in full, and nothing is deleted. Days
+    wholly before the cutoff go as directories, the cutoff's own day is written anew.
+    """
+    log = read_days(spark, path)
+    if not mirror_reconcile(log, mirror, time_col, keep_days).filter(~F.col("ok")).isEmpty():
+        raise NotMirrored("some days are not fully mirrored; nothing was deleted")
+    newest = log.agg(F.max(F.unix_micros(time_col)).alias("t")).first()["t"]
+    if newest is None:
+        return log
+    cutoff = F.timestamp_micros(F.lit(newest - keep_days * 86_400_000_000))
+    days = log.select("day").distinct().filter(F.col("day") <= F.to_date(cutoff))
+    for day in sorted(str(r["day"]) for r in days.collect()):  # directories of the deleted span
+        whole = spark.range(1).select(F.date_add(F.lit(day).cast("date"), 1).cast("timestamp") <= cutoff).first()[0]
+        target = f"{path}/day={day}"
+        if whole:
+            remove_path(spark, target)
+        else:
+            kept = log.filter((F.col("day") == day) & (F.col(time_col) >= cutoff)).drop("day")
+            beside = fresh_path(spark, "cutoff-day")
+            kept.write.parquet(beside)
+            spark.read.schema(kept.schema).parquet(beside).write.mode("overwrite").parquet(target)
+    return read_days(spark, path)

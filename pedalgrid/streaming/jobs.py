@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedalgrid.constants import BUCKET_MINUTES
+from pedalgrid.functions.ordered import slice_bounds, slice_of
 from pedalgrid.functions.picking import latest_per
-from pedalgrid.session import fresh_path
+from pedalgrid.session import fresh_path, remove_path, shuffle_width
+
+
+def feed_in_order(rows: DataFrame, time_col: str, path: str, batch_rows: int) -> None:
+    """Write ``rows`` as files whose order of arrival is their order in time.
+
+    The rows are written once, partitioned into slices of about ``batch_rows``; each slice is one
+    directory there and is appended to ``path`` as one file. With ``maxFilesPerTrigger`` 1 a
+    micro-batch is a slice, however many there are.
+    """
+    spark = rows.sparkSession
+    us = F.unix_micros(time_col)
+    steps = max(3, math.ceil(rows.count() / batch_rows))
+    bounds = slice_bounds(rows, us, steps, limit=None)
+    cut = fresh_path(spark, "feed-slices")
+    sliced = rows.withColumn("_slice", slice_of(us, bounds))
+    dealt = sliced.repartition(shuffle_width(spark), "_slice", F.pmod(us, F.lit(16)))
+    dealt.write.partitionBy("_slice").parquet(cut)
+    stored = spark.read.schema(sliced.schema).parquet(cut)
+    for i in range(len(bounds) + 1):
+        stored.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    remove_path(spark, cut)
 
 
 def run_available(stream: DataFrame, label: str, out: str | None = None, progress: str | None = None):
@@ -32,10 +55,36 @@ def run_available(stream: DataFrame, label: str, out: str | None = None, progres
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_upserting(stream: DataFrame, label: str, keys: Sequence[str], order: str, mode: str = "update"):
+    """Process what is there into a keyed table, stop; returns the newest row of every key.
+
+    In update mode every change of an aggregate arrives, also of windows the watermark has not
+    passed when the input ends: nothing is held back.
+    """
+    spark = stream.sparkSession
+    folder = fresh_path(spark, label)
+    query = (
+        stream.writeStream.foreachBatch(upsert_sink(folder, keys, order))
+        .option("checkpointLocation", fresh_path(spark, f"{label}-progress"))
+        .outputMode(mode)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    last = query.lastProgress
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/v{last['batchId']}")
+
+
 def tumbling_counts(
     rows: DataFrame, time_col: str, lateness: str = "10 minutes", minutes: int = BUCKET_MINUTES
 ) -> DataFrame:
-    """Observations per bucket; a bucket is final once the watermark passes its end."""
+    """Observations per bucket.
+
+    In append mode a bucket is emitted once the watermark passes its end, the last ones never; use
+    update mode and an upsert (:func:`run_upserting`) where the input can end.
+    """
     window = F.window(time_col, f"{minutes} minutes")
     return (
         rows.withWatermark(time_col, lateness)
@@ -57,7 +106,7 @@ def upsert_sink(folder: str, keys: Sequence[str], order: str):
 
     Each micro-batch writes its own version from the one before, so running a batch again
     gives the same version again. The state of the stream is the version with the
-    greatest number.
+    greatest number; of the earlier ones only the last is kept.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -67,5 +116,6 @@ def upsert_sink(folder: str, keys: Sequence[str], order: str):
             rows = spark.read.schema(batch.schema).parquet(f"{folder}/v{batch_id - 1}").unionByName(batch)
         newest = latest_per(rows, list(keys), order).select(*batch.columns)
         newest.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
+        remove_path(spark, f"{folder}/v{batch_id - 2}")
 
     return write

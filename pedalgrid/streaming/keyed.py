@@ -36,20 +36,20 @@ def cdc_stream(
     state_type = ", ".join(["at timestamp", *(f"{f} int" for f in fields)])
 
     def capture(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen_at, last = (None, None)
+        frame = _in_time(batches, time_col)
+        again = frame[time_col].duplicated()
         if state.exists:
             seen_at, *last = state.get
-            seen_at, last = pd.Timestamp(seen_at), tuple(last)
-        frame = _in_time(batches, time_col)
-        keep = []
-        for at, *values in frame[[time_col, *fields]].itertuples(index=False, name=None):
-            now = tuple(_plain(v) for v in values)
-            late = seen_at is not None and at <= seen_at
-            keep.append(not late and now != last)
-            if not late:
-                seen_at, last = at, now
-        state.update((seen_at.to_pydatetime(), *last))
-        yield frame.loc[keep]
+            again |= frame[time_col] <= pd.Timestamp(seen_at)
+        frame = frame[~again]
+        now = frame[fields].astype("Int64")
+        before = now.shift()
+        changed = ~((now == before).fillna(False) | (now.isna() & before.isna())).all(axis=1)
+        if len(now):
+            first = tuple(_plain(v) for v in now.iloc[0])
+            changed.iloc[0] = not state.exists or first != tuple(last)
+            state.update((frame[time_col].iloc[-1].to_pydatetime(), *(_plain(v) for v in now.iloc[-1])))
+        yield frame[changed]
 
     return rows.groupBy(key).applyInPandasWithState(
         capture, rows.schema, state_type, "append", GroupStateTimeout.NoTimeout

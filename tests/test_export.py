@@ -5,6 +5,7 @@ from helpers import demand_frame, grid_frame, minute_of
 from pyspark.sql import functions as F
 
 from pedalgrid.operators import export
+from pedalgrid.session import fresh_path
 
 INFO = (
     "station_id string, fetched_on date, name string, short_name string, lat double, lon double, "
@@ -87,3 +88,21 @@ def test_document_lines_parse(spark):
     assert lines[0][2]["frame"] == "09" and lines[0][2]["series"]["t"] == "2024-03-04T12:00:00+00:00"
     assert lines[2][2] == {"n": "A 2024-02-01", "la": 37.75, "lo": -122.41, "c": 15, "z": 0}
     assert lines[4][2] == [0, 0, -6]
+
+
+def test_frame_of_unplaced_stations_stays(spark):
+    grid = grid_frame(spark, [("A", 0, 5, 1, 5, True), ("X", 2, 5, 1, 5, True)])
+    stations = export.station_list(info(spark, ["A", "B"]))
+    buckets = export.window_buckets(grid, stride=1)
+    cells = export.frame_cells(grid, demand_frame(spark, ["A"]), buckets, stations)
+    rows = {r.frame: (r.state, r.ebikes) for r in export.frame_rows(cells, stations).collect()}
+    assert rows[1] == ("99", [0, 0]) and rows[0][0][1] == "9"
+    doc = export.export_document(
+        stations, export.fleet_series(cells), export.frame_rows(cells, stations),
+        export.van_nearest_frame(grid.select("bucket", "station_id", F.lit(0).alias("d_bikes"), F.lit("idle").alias("event_class")), buckets, stations),
+    )
+    assert doc.filter("part = 'frame'").count() == 2
+    path = fresh_path(spark, "t-document")
+    export.write_document(doc, path)
+    back = export.read_document(spark, path)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, doc.collect()))

@@ -87,46 +87,6 @@ def minutes(a, b):
     return meters(a[5], a[6], b[5], b[6]) / 1000 / 18 * 60 + 6
 
 
-def greedy_by_hand(rows, n_vans):
-    """Every choice looked up among all (van, ride, donor) combinations."""
-    log = []
-    for t in sorted({r[0] for r in rows}):
-        epoch = [r for r in rows if r[0] == t]
-        left = {r[1]: r[3] for r in epoch if r[2] == "donor"}
-        shift = {van: 60.0 for van in range(n_vans)}
-        space = {van: 20 for van in range(n_vans)}
-        for want in sorted((r for r in epoch if r[2] == "deficit"), key=lambda r: (-r[3], r[1])):
-            chances = [
-                (van, minutes(want, d), -d[3], d[1])
-                for van in range(n_vans)
-                for d in epoch
-                if d[2] == "donor" and left[d[1]] >= 1 and space[van] >= 1 and shift[van] > 6
-            ]
-            chances = [c for c in chances if c[1] <= shift[c[0]]]
-            if chances:
-                van, ride, _, donor = min(chances)
-                load = int(min(math.ceil(want[3]), left[donor], space[van]))
-                left[donor] -= load
-                space[van] -= load
-                shift[van] -= ride
-                log.append((minute_of(t), n_vans, van, want[1], donor, load))
-    return log
-
-
-@pytest.mark.parametrize("seed,n,spots,chunk", [(1, 24, 24, 3), (2, 60, 6, 4), (3, 40, 40, 64)])
-def test_assignment_equals_the_loop_whatever_the_chunk(spark, seed, n, spots, chunk):
-    rows, located = city(spark, seed, n, spots)
-    nearest = dispatch.nearest_donor(located)
-    got = dispatch.greedy_assign(located, nearest, fleets=(0, 1, 3), chunk=chunk)
-    ours = sorted(
-        (minute_of(r.bucket), r.n_vans, r.van, r.station_id, r.donor_id, r.bikes) for r in got.collect()
-    )
-    assert ours == sorted(greedy_by_hand(rows, 1) + greedy_by_hand(rows, 3))
-    totals = {r.n_vans: r for r in dispatch.dispatch_totals(got, (0, 1, 3)).collect()}
-    assert totals[0].moves == 0 and totals[0].bikes_per_prevention is None
-    assert totals[3].moves >= totals[1].moves > 0
-
-
 def test_nearest_donor_equals_all_pairs(spark):
     rows, located = city(spark, 9, 50, 30)
     got = {(minute_of(r.bucket), r.station_id): r.donor_id for r in dispatch.nearest_donor(located).collect()}

@@ -1,5 +1,6 @@
 """Sliced computations equal plain windows, also when one key holds most rows."""
 
+import bisect
 import random
 
 import pytest
@@ -87,3 +88,15 @@ def test_value_ranks_with_ties(rows):
 def test_global_index(rows):
     got = global_index(rows.select("m"), ["m"]).orderBy("m").collect()
     assert [r.idx for r in got] == list(range(900))
+
+
+def test_many_slices_compile(spark):
+    """As many cut points as a large cluster has partitions: no oversized code, same places."""
+    rows = spark.range(5000).select((F.col("id") * 7919 % 100_003).alias("m"))
+    bounds = sorted({(i * 48) % 100_003 for i in range(1, 2048)})
+    got = rows.select("m", slice_of(F.col("m"), bounds).alias("s"), slice_of(F.lit(None).cast("long"), bounds).alias("n"))
+    assert all(r.s == bisect.bisect_right(bounds, r.m) and r.n == len(bounds) for r in got.collect())
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(
+        got._jdf.queryExecution().executedPlan()
+    )
+    assert all(len(code.apply(i)._2()) < 64_000 for i in range(code.size()))

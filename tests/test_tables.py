@@ -1,5 +1,8 @@
 """Running a maintenance step again changes nothing."""
 
+import time
+from datetime import timedelta
+
 import pytest
 from helpers import at, minute_of
 from pyspark.sql import functions as F
@@ -52,6 +55,48 @@ def test_insert_ignore_and_upsert_are_idempotent(spark):
     assert plain(tables.upsert_latest(state, newer, ["k"], "t")) == plain(state)
 
 
+def test_upsert_takes_the_correction(spark):
+    target, fixed = log(spark, [("a", 5, 1)]), log(spark, [("a", 5, 0)])
+    assert plain(tables.upsert_latest(target, fixed, ["k"], "t")) == [("a", 5.0, 0)]
+
+
+def test_months_are_loaded_in_one_write(spark):
+    path = fresh_path(spark, "t-many-months")
+    rows = log(spark, [("a", 0, 1), ("b", 1, 2)]).withColumn("source_month", F.concat(F.lit("20240"), F.col("v")))
+    assert [tables.load_months(rows, path) for _ in range(2)] == [2, 0]
+    more = rows.unionByName(log(spark, [("c", 2, 3)]).withColumn("source_month", F.lit("202403")))
+    assert tables.load_months(more, path) == 1
+    assert tables.read_months(spark, path).count() == 3
+
+
+def test_mark_does_not_pass_a_repeated_hour(spark, monkeypatch):
+    """09:00 to 09:30 UTC is the hour that the driver's clock shows twice."""
+    monkeypatch.setenv("TZ", "America/Los_Angeles")
+    time.tzset()
+    try:
+        at_utc = F.timestamp_micros(F.lit(1730624400_000_000) + F.col("id") * 600_000_000)
+        rows = spark.range(4).select(F.col("id").cast("string").alias("k"), at_utc.alias("t"))
+        path = fresh_path(spark, "t-dst")
+        assert [tables.mirror_incremental(rows, path, "t").count() for _ in range(3)] == [4, 4, 4]
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_retention_run_changes_the_table(spark):
+    path = fresh_path(spark, "t-days")
+    source = log(spark, [("a", d * 1440 + h * 360, 4 * d + h) for d in range(20) for h in range(4)])
+    tables.write_days(source, path, "t")
+    with pytest.raises(tables.NotMirrored):
+        tables.retention_run(spark, path, source.filter("v <> 9"), "t", 14)
+    assert tables.read_days(spark, path).count() == 80
+    kept = tables.retention_run(spark, path, source, "t", 14)
+    newest = source.agg(F.max("t")).first()[0]
+    want = [r.v for r in source.collect() if r.t >= newest - timedelta(days=14)]
+    assert sorted(r.v for r in kept.collect()) == sorted(want)
+    assert tables.retention_run(spark, path, source, "t", 14).count() == len(want)
+
+
 def test_daily_snapshot(spark):
     dim = spark.createDataFrame([("a", "x")], "k string, name string").withColumn("fetched_on", F.lit("2024-01-01").cast("date"))
     now = spark.createDataFrame([("a", "y"), ("b", "z")], "k string, name string")
