@@ -216,3 +216,49 @@ def license_scan(docs: DataFrame) -> DataFrame:
             F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_coverage", F.lit(0.0))).alias("score"),
         )
     )
+
+
+def _sql() -> str:
+    """The same in SQL, k-grams as lists of words."""
+    positions = ", ".join(
+        f"('{label}/{n}', '{label}', {i}, {len(w) - K + 1}, {w[i : i + K]})"
+        for label, texts in TEMPLATES.items()
+        for n, w in enumerate(re.findall("[0-9a-z]+", t.lower()) for t in texts)
+        for i in range(len(w) - K + 1)
+    )
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
+    return f"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+phrases(p, label) AS (VALUES {phrases}),
+places AS (
+  SELECT doc_id, i - 1 AS i, label
+  FROM texts, LATERAL unnest(range(1, len(w) + 1)) AS u(i) JOIN phrases ON w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+    list_sort(list(DISTINCT label)) AS base_labels FROM places GROUP BY doc_id),
+positions(template, label, tpos, n_grams, gram) AS (VALUES {positions}),
+hits AS (
+  SELECT doc_id, template, label, n_grams, tpos, i - 1 AS pos, i - 1 - tpos AS diagonal
+  FROM texts, LATERAL unnest(range(1, len(w) - {K - 2})) AS u(i) JOIN positions ON w[i:i + {K - 1}] = gram),
+merged AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal
+      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span
+  FROM (SELECT *, CAST(coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template
+      ORDER BY diagonal, pos) > {GAP}, TRUE) AS INTEGER) AS apart FROM hits)),
+spans AS (
+  SELECT doc_id, label, count(DISTINCT tpos) AS seen, n_grams, max(pos) - min(pos) + 1 AS wide
+  FROM merged GROUP BY doc_id, template, label, n_grams, span),
+found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(seen / n_grams) AS coverage FROM spans
+  WHERE seen >= CAST('{COVERED}' AS DOUBLE) * n_grams AND seen >= CAST('{DENSE}' AS DOUBLE) * wide GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END AS score
+FROM texts LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+SQL = _sql()

@@ -38,8 +38,6 @@ RULES = {
     "repeat_word_share": [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45],
 }
 
-_LONG = 63
-
 
 def _repeated_windows(words: str, n: str) -> Column:
     """Sorted array of (hash, position) in one long each: high bits hash, low bits position."""
@@ -235,3 +233,60 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_verdicts(docs, labels).select("doc_id", *COUNTS, "kept")
+
+
+def _sql() -> str:
+    """The same in SQL, the binomial sums by logarithms of factorials. It takes all labelled rows as
+    holdout, so it stands for up to HOLDOUT of them per stratum and MAX_STRATA languages."""
+    grid = ", ".join(f"('{r}', CAST('{c}' AS DOUBLE))" for r, cs in RULES.items() for c in cs)
+    loss = f"CAST('{MAX_LOSS / len(RULES)}' AS DOUBLE)"
+    tests = sum(map(len, RULES.values()))
+    return f"""
+WITH texts AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, i, w[i:i + 2] AS g FROM texts, LATERAL unnest(range(1, greatest(len(w) - 1, 1))) AS u(i)),
+again AS (SELECT doc_id, g FROM places GROUP BY ALL HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words
+  FROM places SEMI JOIN again USING (doc_id, g), unnest([0, 1, 2]) AS v(j) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM texts LEFT JOIN covered USING (doc_id)),
+judged AS (
+  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+measured AS (
+  SELECT doc_id, coalesce(lang, '{POOLED}') AS stratum, base_failed, rule, value
+  FROM (SELECT *, unnest([
+      {{'rule': 'symbols_per_word', 'value': n_symbols / greatest(n_words, 1)}},
+      {{'rule': 'chars_per_word', 'value': word_chars / greatest(n_words, 1)}},
+      {{'rule': 'dup_line_share', 'value': n_dup_lines / greatest(len(lines), 1)}},
+      {{'rule': 'repeat_word_share', 'value': n_repeat_words / greatest(n_words, 1)}}], recursive := true) FROM judged)),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+tests AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k
+  FROM measured SEMI JOIN good USING (doc_id) JOIN (VALUES {grid}) AS c(rule, cutoff) USING (rule)
+  WHERE NOT base_failed GROUP BY ALL),
+risks AS (
+  SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+      + i * ln({loss}) + (n - i) * ln(1 - {loss})))) AS risk,
+    {ERROR} / {tests} / (SELECT count(DISTINCT stratum) FROM tests) AS level
+  FROM tests WHERE k < n * {loss}),
+chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM risks WHERE risk <= level GROUP BY ALL),
+own AS (SELECT DISTINCT stratum FROM chosen),
+failed AS (
+  SELECT DISTINCT doc_id FROM measured m JOIN chosen c
+    ON c.rule = m.rule AND c.stratum = CASE WHEN m.stratum IN (FROM own) THEN m.stratum ELSE '{POOLED}' END
+  WHERE value > cutoff)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (FROM failed) AS kept
+FROM judged
+"""
+
+
+SQL = _sql()

@@ -82,4 +82,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op6_jaccard_join": jaccard_join.SQL, "op10_decontaminate": decontaminate.SQL}
+    """Language models, automata and token ids are beyond SQL."""
+    return {
+        "op1_line_dedup": line_dedup.SQL,
+        "op2_repeat_spans": repeat_spans.SQL,
+        "op5_warc_captures": warc_captures.SQL,
+        "op6_jaccard_join": jaccard_join.SQL,
+        "op7_quality_rules": quality_rules.SQL,
+        "op9_license_scan": license_scan.SQL,
+        "op10_decontaminate": decontaminate.SQL,
+    }

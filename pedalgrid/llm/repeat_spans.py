@@ -370,3 +370,32 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     return without_repeats(docs, digest=True).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256")
     )
+
+
+#: All strings of the whole table by their hash.
+SQL = f"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (
+  SELECT doc_id, b, len(h) // 2 - {LENGTH - 1} AS n, substr(h, 2 * b + 1, {2 * (512 + LENGTH)}) AS part
+  FROM raw, LATERAL unnest(range(0, greatest(len(h) // 2 - {LENGTH - 1}, 0), 512)) AS u(b)),
+strings AS (
+  SELECT doc_id, i, md5(substr(part, 2 * (i - b) + 1, {2 * LENGTH})) AS s
+  FROM parts, LATERAL unnest(range(b, least(b + 512, n))) AS u(i)),
+twice AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM strings SEMI JOIN twice USING (s)),
+numbered AS (
+  SELECT doc_id, i, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, CAST(coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH}, TRUE) AS INTEGER)
+      AS apart FROM hits)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM (
+    SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, len(h) // 2, NULL FROM raw)),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY a, upto) AS k
+  FROM pieces JOIN raw USING (doc_id) GROUP BY doc_id),
+totals AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM raw JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
+"""

@@ -226,3 +226,18 @@ def capture_digests(pages: DataFrame) -> DataFrame:
         F.col("response.record_type").alias("record_type"),
         number("refers-to-page-id", kind).alias("refers_to"),
     )
+
+
+#: Base 32 in blocks of five hex digits, four digits each.
+SQL = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first_id FROM payloads GROUP BY h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM payloads JOIN firsts USING (h)
+"""
