@@ -19,7 +19,7 @@ from pedalgrid.functions.ordered import slice_bounds, slice_of, sliced_row_numbe
 from pedalgrid.operators.deltas import latest_station_info
 from pedalgrid.operators.demand import with_demand
 from pedalgrid.operators.forecast import split_point
-from pedalgrid.session import cut_lineage, shuffle_width
+from pedalgrid.session import cut_lineage, recent, shuffle_width
 
 MIN_EXPECTED = 0.05
 MIN_SHORT = 0.5
@@ -30,7 +30,7 @@ SEARCH_KM = (1.0, 4.0)
 
 def decision_rows(grid: DataFrame, demand: DataFrame) -> DataFrame:
     """Serving stations with a confident demand in the later part of the grid."""
-    later = grid.filter(F.col("bucket") >= split_point(grid).scalar())
+    later = recent(grid, "bucket", split_point(grid).scalar())
     rows = with_demand(later, demand).filter(F.col("is_serving") & ~F.col("low_confidence"))
     return rows.select(
         "bucket",

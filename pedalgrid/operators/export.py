@@ -19,6 +19,7 @@ from pedalgrid.constants import (
 from pedalgrid.functions.ordered import global_index
 from pedalgrid.operators.deltas import is_van, latest_station_info
 from pedalgrid.operators.demand import with_demand
+from pedalgrid.session import recent
 
 # Zone numbers, their regions and borders, and the one-character state codes.
 ZONE_NAMES = ("San Francisco", "East Bay", "San Jose")
@@ -68,7 +69,7 @@ def window_buckets(grid: DataFrame, days: int = EXPORT_DAYS, stride: int = FRAME
     ).scalar()
     position = F.row_number().over(W.orderBy("bucket")) - 1
     return (
-        known.filter(F.col("bucket") >= since)
+        recent(known, "bucket", since)
         .select("bucket")
         .distinct()
         .withColumn("position", position)
@@ -132,9 +133,9 @@ def frame_cells(
     """
     frames = export_window(buckets)
     since = frames.agg(F.min("bucket")).scalar()
-    recent = grid.filter(F.col("bucket") >= since).join(F.broadcast(frames), "bucket")
+    shown = recent(grid, "bucket", since).join(F.broadcast(frames), "bucket")
     rows = (
-        with_demand(recent, demand, "left")
+        with_demand(shown, demand, "left")
         .join(stations.select("station_id", "idx"), "station_id", "left")
         .withColumns(
             {

@@ -70,7 +70,7 @@ class Fleet:
     @cached_property
     def grid(self) -> DataFrame:
         return store_bucketed(
-            grid.grid_status(self.status, self.covered), "grid", "station_id", "bucket"
+            grid.grid_status(self.status, self.covered), "grid", "station_id", "bucket", month_of="bucket"
         )
 
     @cached_property

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Partition column of tables stored by month.
+MONTH = "_month"
 
 _own_dirs: dict[str, str] = {}
 _made_paths: dict[str, list[str]] = {}
@@ -80,18 +84,27 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def store_bucketed(df: DataFrame, label: str, key: str, *sort: str) -> DataFrame:
+def store_bucketed(
+    df: DataFrame, label: str, key: str, *sort: str, month_of: str | None = None
+) -> DataFrame:
     """Like :func:`cut_lineage`, but bucketed by ``key`` for shuffle-free joins and windows.
 
-    Use it only where no key can dominate (the dense grid: one row per key and bucket).
+    Use it only where no key can dominate (the dense grid: one row per key and bucket). With
+    ``month_of`` the files also lie in folders by month of that column, in a column MONTH, which
+    :func:`recent` uses to leave out the folders before a time.
     """
     spark = df.sparkSession
     table = f"pedalgrid_{label}_{uuid.uuid4().hex}"
-    (
-        df.write.bucketBy(shuffle_width(spark), key)
-        .sortBy(key, *sort)
-        .option("path", fresh_path(spark, label))
-        .saveAsTable(table)
-    )
+    writer = df.withColumn(MONTH, F.trunc(month_of, "month")) if month_of else df
+    writer = writer.write.bucketBy(shuffle_width(spark), key).sortBy(key, *sort)
+    if month_of:
+        writer = writer.partitionBy(MONTH)
+    writer.option("path", fresh_path(spark, label)).saveAsTable(table)
     _made_tables.setdefault(spark.sparkContext.applicationId, []).append(table)
     return spark.table(table)
+
+
+def recent(df: DataFrame, time_col: str, since: Column) -> DataFrame:
+    """Rows from ``since`` on; of a table stored by month only its folders from then on are read."""
+    rows = df.filter(F.col(time_col) >= since)
+    return rows.filter(F.col(MONTH) >= F.trunc(since, "month")) if MONTH in df.columns else rows

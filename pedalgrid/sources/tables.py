@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from pedalgrid.constants import KEEP_DAYS
 from pedalgrid.functions.picking import first_per, latest_per
@@ -74,24 +75,28 @@ def mirror_incremental(
     The high-water mark is a literal in the filter, so it is pushed into the source scan. It travels
     as a number: a local time would be ambiguous in the hour a clock repeats.
     Rows that arrive late with an older time are lost, unless an overlap window is asked
-    for: then rows of that window are compared by ``keys`` and the unknown ones added.
+    for: then rows of that window are compared by ``keys`` and the unknown ones added. The mirror
+    has a folder per UTC day; a row without time is not mirrored again.
     Returns the mirror as it is then.
     """
     spark = source.sparkSession
     fresh = source
     if _exists(spark, path):
-        mirror = spark.read.schema(source.schema).parquet(path)
-        high = mirror.agg(F.max(F.unix_micros(time_col)).alias("t")).first()["t"]
+        mirror = spark.read.parquet(path)
+        newest_day = mirror.agg(F.max("day")).scalar()  # a folder per day: one of them is read
+        newest = mirror.filter(F.col("day") == newest_day)
+        high = newest.agg(F.max(F.unix_micros(time_col)).alias("t")).first()["t"]
         if high is not None:
             mark = F.timestamp_micros(F.lit(high))
             if overlap_minutes and keys:
                 mark = mark - F.expr(f"interval {overlap_minutes} minutes")
-                known = mirror.filter(F.col(time_col) > mark).select(*keys)
-                fresh = source.filter(F.col(time_col) > mark).join(known, list(keys), "left_anti")
+                recent = mirror.filter((F.col("day") >= F.to_date(mark)) & (F.col(time_col) > mark))
+                fresh = source.filter(F.col(time_col) > mark).join(recent.select(*keys), list(keys), "left_anti")
             else:
                 fresh = source.filter(F.col(time_col) > mark)
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(source.schema).parquet(path)
+    fresh.withColumn("day", F.to_date(time_col)).write.mode("append").partitionBy("day").parquet(path)
+    whole = StructType([*source.schema.fields, StructField("day", DateType())])
+    return spark.read.schema(whole).parquet(path).drop("day")
 
 
 def insert_ignore(
