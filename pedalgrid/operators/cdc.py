@@ -143,7 +143,8 @@ def cdc_threshold(
     But some rows are kept whatever came before: a changed flag, or a jump of twice a
     tolerance from the row just before. A vehicle's history is cut into runs that begin at
     such rows, about one per time range, and the runs are worked off independently.
-    Repeats of the row before are never kept and go first.
+    Repeats of the row before are never kept and go first. The limit: a vehicle that drifts slowly for
+    its whole history has no such row and is one run in one task, as the rule is sequential.
     """
     cut = time_slices(vehicles, "observed_at")
     fields = ["lat", "lon", "range_m", "is_disabled", "is_reserved"]

@@ -14,19 +14,25 @@ from pedalgrid.functions.timeutil import seconds_between
 
 
 def freshness_check(
-    chain: Sequence[tuple[str, DataFrame, str]],
+    chain: Sequence[tuple[str, DataFrame | None, str]],
     tolerance_minutes: int = FRESHNESS_TOLERANCE_MINUTES,
 ) -> DataFrame:
     """For tables in order of derivation: newest instant, lag behind the table before, verdict.
 
-    An empty table is missing, and the next one is then judged on its own.
+    An empty or absent table (None) is missing, and the next one is then judged on its own.
+    At least one table must be there.
     """
+    spark = next(df for _, df, _ in chain if df is not None).sparkSession
+
+    def latest(df: DataFrame | None, col: str) -> DataFrame:
+        if df is None:
+            return spark.range(1).select(F.lit(None).cast("timestamp").alias("latest"))
+        return df.agg(F.max(col).alias("latest"))
+
     newest = reduce(
         DataFrame.unionByName,
         [
-            df.agg(F.max(col).alias("latest")).select(
-                F.lit(i).alias("step"), F.lit(name).alias("table"), "latest"
-            )
+            latest(df, col).select(F.lit(i).alias("step"), F.lit(name).alias("table"), "latest")
             for i, (name, df, col) in enumerate(chain)
         ],
     )

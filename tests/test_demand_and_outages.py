@@ -2,6 +2,7 @@ import pytest
 from helpers import demand_frame, grid_frame
 
 from pedalgrid.operators import deltas, demand, health, outages
+from pedalgrid.plans.fleet import fleet
 
 
 def test_exposure_is_three_valued(spark):
@@ -89,3 +90,17 @@ def test_health_compares_stock_with_demand(spark):
         (True, False, True), (True, True, False), (False, False, False)]
     shares = health.health_shares(health.station_health(grid, demand_frame(spark, ["A"], 2.0))).first()
     assert shares.cells == 3 and shares.healthy_old == pytest.approx(2 / 3)
+
+
+def test_demand_reads_the_calibrated_labels(spark):
+    """Not the labels of the fixed threshold, from which it would differ."""
+    f = fleet(spark, "/root/testdata/sf0.01")
+
+    def seen(cells):
+        return cells.selectExpr("sum(ebike_obs)", "sum(classic_obs)").first()
+
+    def of(labels):
+        return seen(demand.demand_cells(demand.demand_observations(f.grid, labels)))
+
+    assert seen(f.cells) == of(f.calibrated) != of(f.deltas)
+    assert f.demand.selectExpr("sum(ebike_observed_total)").first()[0] == 7467

@@ -61,9 +61,25 @@ def test_boosted_trees_beat_chance(spark):
         "weekend int, demand double, flow_30m int, flow_60m int, starved_future int, is_test boolean"
     )
     rare = [(120, *r[1:11], int(i == 900), r[12]) for i, r in enumerate(rows)]
-    scored = forecast.boosted_models(spark.createDataFrame(rows + rare, schema), rounds=3)
+    table = spark.createDataFrame(rows + rare, schema).cache()
+    scored = forecast.boosted_models(table, rounds=3)
     got = forecast.forecast_skill(scored, "m1").collect()
     assert [(r.horizon, r.test_rows, r.lift > 2) for r in got] == [(60, 400, True)]
+    again = forecast.boosted_models(table, rounds=3)
+    assert sorted(r.m1 for r in again.collect()) == sorted(r.m1 for r in scored.collect())
+    assert [r.horizon for r in forecast.onset_skill(scored, "m1").collect()] == [60]
+
+
+def test_onset_counts_all_test_rows(spark):
+    """60 positives in the test period, one of them with stock: the horizon counts."""
+    rows = [(15, at(i), "A", int(i == 0), 1, True, -float(i)) for i in range(60)]
+    rows += [(15, at(60 + i), "A", 3, 0, True, -100.0) for i in range(20)]
+    rows += [(30, at(i), "A", 1, int(i < 40), True, 0.0) for i in range(80)]
+    scored = spark.createDataFrame(
+        rows, "horizon int, bucket timestamp, station_id string, ebikes int, starved_future int, is_test boolean, b0 double"
+    )
+    got = forecast.onset_skill(scored).collect()
+    assert [(r.horizon, r.test_rows) for r in got] == [(15, 21)]
 
 
 SIZED = "bucket timestamp, station_id string, kind string, size double, expected double, lat double, lon double"

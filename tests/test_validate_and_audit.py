@@ -57,3 +57,11 @@ def test_missing_table_resets_the_chain(spark):
         ("ok", 0.0), ("STALE", 100.0), ("MISSING", None), ("ok", 0.0), ("ok", -1.0)]
     lag = freshness.source_lag(table(500), table(400), "t").first()
     assert round(lag.hours_behind, 6) == 1.666667 and lag.stale
+
+
+def test_absent_table_is_missing(spark):
+    from pedalgrid.operators.freshness import freshness_check
+
+    there = spark.range(1).selectExpr("timestamp'2024-01-01 00:00:00' AS t")
+    got = freshness_check([("a", there, "t"), ("b", None, "t"), ("c", there, "t")]).collect()
+    assert [r.state for r in got] == ["ok", "MISSING", "ok"]
