@@ -12,7 +12,7 @@ count sketch over all tokens, of fixed size, which is all that is sent to the ta
 3. Long posting lists: a few rounds link their nodes to one leader per list, which contracts
    groups of near copies without comparing all their pairs.
 4. Exact rest: all pairs of a posting list that are still in different components, counted, filtered
-   by size and l, and verified on whole sets. Lists with one component left emit nothing; a list's
+   by size and by what the rest of the sets can still share, and verified on whole sets. Lists with one component left emit nothing; a list's
    largest component is never paired with itself. No list is capped.
 
 Defined results: a text without words has an empty set, is linked with nothing and is its own
@@ -28,6 +28,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,38 +215,63 @@ def fits(n: str, m: str) -> Column:
     return F.least(n, m) * q >= F.greatest(n, m) * p
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole sets are similar enough."""
+def enough_shared(n1: str, l1: str, n2: str, l2: str) -> Column:
+    """How many prefix tokens two sets must share at least.
+
+    Beside l: let the prefix of one set end first in the global order. All tokens up to there lie in both
+    prefixes, so beyond the c shared ones at most the rest of that set can be common, and the
+    similarity asks for p / (p + q) of both sizes.
+    """
+    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+
+    def rest(n: str, least: str) -> Column:
+        return F.ceil(F.col(n) * p / q) - F.col(least)
+
+    overlap = F.ceil((F.col(n1) + F.col(n2)) * p / (p + q))
+    return F.greatest(F.least(l1, l2), overlap - F.greatest(rest(n1, l1), rest(n2, l2)))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole sets are similar enough. ``texts`` from :func:`node_texts`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, q = SIMILARITY.numerator, SIMILARITY.denominator
-        for f in batches:
-            keep = np.zeros(len(f), bool)
-            for i, (x, y) in enumerate(zip(f["x"], f["y"], strict=True)):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((u, v))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = q * shared >= p * (len(u) + len(v) - shared)
-            yield f[keep][["a", "b"]]
-
-    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        plain = zstandard.ZstdDecompressor()
+
+        def sets(packed) -> list[np.ndarray]:
+            return list(_sets([plain.decompress(x).decode("utf-8", "surrogatepass") for x in packed]))
+
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                f = whole.iloc[at : at + 512]
+                hubs = f.drop_duplicates("b")
+                second = dict(zip(hubs["b"], sets(hubs["y"]), strict=True))
+                keep = np.zeros(len(f), bool)
+                for i, (u, b) in enumerate(zip(sets(f["x"]), f["b"], strict=True)):
+                    both = np.concatenate((u, second[b]))
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    keep[i] = q * shared >= p * (len(both) - shared)
+                yield f[keep][["a", "b"]]
+
+    first = texts.select(F.col("node").alias("a"), F.col("packed").alias("x"))
+    second = texts.select(F.col("node").alias("b"), F.col("packed").alias("y"))
     return pairs.select("a", "b").join(first, "a").join(second, "b").mapInPandas(run, "a long, b long")
 
 
-def stored_sets(rows: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens as bytes) of ``nodes``; one text per node is read."""
+def node_texts(rows: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, packed): one compressed text per node, a third of the size of its hashes."""
     one = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            sets = _sets(b["text"].tolist())
-            yield pd.DataFrame({"node": b["node"].to_numpy(), "tokens": [s.tobytes() for s in sets]})
+            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in b["text"]]
+            yield pd.DataFrame({"node": b["node"].to_numpy(), "packed": packed})
 
     wanted = one.select("k.k1", "k.k2", "node")
     found = join_wanted(rows.select("k1", "k2", "text"), wanted).select("node", "text")
-    return found.mapInPandas(run, "node long, tokens binary").dropDuplicates(["node"])
+    return found.mapInPandas(run, "node long, packed binary").dropDuplicates(["node"])
 
 
 def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -265,11 +291,14 @@ def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """For each node of the lists its most frequent leader of another component: one per list and size."""
     sized = lists.withColumn("band", F.floor(F.log(4 / 3, F.col("n")) + F.lit(turn / 4)))
     leaders = sized.groupBy("token", "band").agg(
-        F.min_by(F.struct("node", "comp", "n"), F.xxhash64(F.lit(turn), "comp", "node")).alias("lead")
+        F.min_by(F.struct("node", "comp", "n", "l"), F.xxhash64(F.lit(turn), "comp", "node")).alias("lead")
     )
     met = sized.join(leaders, ["token", "band"]).filter((F.col("comp") != F.col("lead.comp")) & fits("n", "lead.n"))
-    counts = met.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("c"))
-    return counts.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    enough = enough_shared("n", "l", "lead.n", "lead.l")
+    counts = met.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(
+        F.count("*").alias("c"), F.first(enough).alias("enough")
+    )
+    return counts.filter("c >= enough").groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
 def rest_pairs(lists: DataFrame) -> DataFrame:
@@ -281,10 +310,10 @@ def rest_pairs(lists: DataFrame) -> DataFrame:
     left = others.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "l", "comp")))
     right = inside.unionByName(others).select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "l", "comp")))
     met = left.join(right, "token").filter((F.col("comp1") != F.col("comp2")) & fits("n1", "n2"))
-    both = met.select("token", F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), F.least("l1", "l2").alias("l"))
+    both = met.select("token", F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), enough_shared("n1", "l1", "n2", "l2").alias("enough"))
     # a pair of two others meets from both sides
     return (
-        both.groupBy("a", "b").agg(F.count_distinct("token").alias("c"), F.min("l").alias("l")).filter("c >= l").select("a", "b")
+        both.groupBy("a", "b").agg(F.count_distinct("token").alias("c"), F.first("enough").alias("enough")).filter("c >= enough").select("a", "b")
     )
 
 
@@ -307,8 +336,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     def more(found: DataFrame) -> DataFrame:
         pairs = cut_lineage(found, "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = cut_lineage(stored_sets(rows, known, ends), "sets")
-        new = cut_lineage(verified(pairs, sets), "links")
+        texts_of = cut_lineage(node_texts(rows, known, ends), "node-texts")
+        new = cut_lineage(verified(pairs, texts_of), "links")
         return new if links is None else links.unionAll(new)
 
     long = lists.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= LONG).select("token")
