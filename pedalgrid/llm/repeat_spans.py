@@ -13,7 +13,7 @@ strings with the same anchor, and only segments with equal anchors can share a s
    (inside a run they follow from the position before). Streaming these through the text gives
    every position's matching statistic: the longest match that occurs elsewhere. Matches of
    ``length`` bytes mark the strings that repeat.
-3. Groups larger than a block are divided exactly: each string is sent to its own hash.
+3. Groups larger than ``largest`` are divided exactly: each string is sent to its own hash.
 
 Marks return to the segments and are joined to whole texts. Strings are judged on the input.
 
@@ -37,8 +37,9 @@ from pedalgrid.llm.common import asked_for, join_wanted, piece_hash, prefix_hash
 from pedalgrid.session import cut_lineage, shuffle_width
 
 LENGTH, GRAM = 400, 64
-#: Bytes of one index; larger groups are divided.
-BLOCK = 1 << 22
+#: Bytes of one index of several groups, and of the largest group that gets one; larger groups are
+#: divided. An index takes about 100 bytes of memory per byte.
+BLOCK, LARGEST = 1 << 20, 1 << 22
 #: Bytes of a text handled at once.
 PIECE = 1 << 21
 
@@ -112,14 +113,16 @@ def suffix_array(words: np.ndarray, room: np.ndarray, owner: np.ndarray) -> np.n
     first[room == 0] = 0
     segments = int(owner[-1]) + 1
     tail = np.where(near, (room - 8) * segments + owner - segments, 0)  # an end sorts before any byte
-    order = np.lexsort((tail, first)).astype(np.int64)
+    tail = tail.astype(np.int32)
+    order = np.lexsort((tail, first)).astype(np.int32)
     new = np.ones(n, bool)
     new[1:] = (first[order[1:]] != first[order[:-1]]) | (tail[order[1:]] != tail[order[:-1]])
+    del first, tail, gone, near
     step = 8
-    slots = np.arange(n)
+    slots = np.arange(n, dtype=np.int32)
     while True:
-        begin = np.maximum.accumulate(np.where(new, slots, 0))
-        rank = np.empty(n, np.int64)
+        begin = np.maximum.accumulate(np.where(new, slots, np.int32(0)))
+        rank = np.empty(n, np.int32)
         rank[order] = begin
         alone = new & np.append(new[1:], True)
         todo = np.flatnonzero(~alone)
@@ -127,7 +130,7 @@ def suffix_array(words: np.ndarray, room: np.ndarray, owner: np.ndarray) -> np.n
             return order
         own = order[todo]
         # these suffixes have more than ``step`` bytes left, or they would stand alone
-        key = begin[todo] * np.int64(n + 1) + rank[np.minimum(own + step, n - 1)]
+        key = begin[todo].astype(np.int64) * (n + 1) + rank[np.minimum(own + step, n - 1)]
         moved = np.argsort(key, kind="stable")
         order[todo] = own[moved]
         key = key[moved]
@@ -140,7 +143,7 @@ def common_prefix(words: np.ndarray, limit: np.ndarray, a: np.ndarray, b: np.nda
 
     ``words[i]`` holds the eight bytes from i on.
     """
-    most = np.minimum(limit[a] - a, limit[b] - b)
+    most = np.minimum(limit[a] - a, limit[b] - b).astype(np.int64)
     out = most.copy()
     todo = np.flatnonzero(most > 0)
     done = 0
@@ -168,14 +171,14 @@ class RunIndex:
         self.ends = self.start + sizes
         raw = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
         self.n = len(raw)
-        owner = np.repeat(np.arange(len(parts)), sizes + 1)
-        self.limit = self.ends[owner]
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)
+        self.limit = self.ends.astype(np.int32)[owner]
         padded = np.concatenate((raw, np.zeros(16, np.uint8)))
         words = np.zeros(self.n + 8, np.uint64)
         for j in range(8):
             words |= padded[j : j + self.n + 8].astype(np.uint64) << np.uint64(56 - 8 * j)
-        order = suffix_array(words, self.limit - np.arange(self.n), owner)
-        codes = raw.astype(np.int64) + len(parts)
+        order = suffix_array(words, self.limit - np.arange(self.n, dtype=np.int32), owner)
+        codes = raw.astype(np.int32) + len(parts)
         codes[self.ends] = np.arange(len(parts))
         before = np.where(order > 0, codes[order - 1], -1)
         ends = before[1:] != before[:-1]
@@ -192,11 +195,11 @@ class RunIndex:
         Inside a run a suffix and its neighbour are both preceded by the same byte, so the match of
         the position before is one longer: only run ends carry a new length.
         """
-        place = np.arange(self.n)
-        out = np.zeros(self.n, np.int64)
+        place = np.arange(self.n, dtype=np.int32)
+        out = np.zeros(self.n, np.int32)
         for sample in (self.left, self.right):
-            reach = np.zeros(self.n, np.int64)
-            np.maximum.at(reach, sample, self.shared + sample)
+            reach = np.zeros(self.n, np.int32)
+            np.maximum.at(reach, sample, (self.shared + sample).astype(np.int32))
             out = np.maximum(out, np.maximum.accumulate(reach) - place)
         return np.minimum(out, self.limit - place)
 
@@ -244,7 +247,9 @@ def _index_groups(length: int, block: int):
     return run
 
 
-def repeated_segments(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_segments(
+    rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, largest: int = LARGEST
+) -> DataFrame:
     """(k1, k2, lo, hi): ranges of string starts that occur elsewhere."""
     cuts = cut_lineage(rows.select("k1", "k2", "text").mapInPandas(_cut(length, gram), SEGMENTS), "segments")
     often = cuts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
@@ -258,12 +263,12 @@ def repeated_segments(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, b
         F.count("*").alias("kinds"), F.min("c").alias("least"), F.sum("size").alias("bytes")
     )
     # A group needs an index if it has a segment that occurs once, and another one to match.
-    open_groups = groups.filter("kinds > 1 AND least = 1").select("anchor", (F.col("bytes") > block).alias("large"))
+    open_groups = groups.filter("kinds > 1 AND least = 1").select("anchor", (F.col("bytes") > largest).alias("large"))
     asked = distinct.join(open_groups, "anchor")
     per_text = asked.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("anchor", "s1", "s2", F.col("at.start").alias("start"), "size", "large", "c")).alias("asked")
     )
-    texts = join_wanted(rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]), per_text)
+    texts = join_wanted(rows.select("k1", "k2", "text"), per_text).dropDuplicates(["k1", "k2"])
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -327,11 +332,18 @@ def merged(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.
 KEPT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, digest: bool = False) -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    block: int = BLOCK,
+    largest: int = LARGEST,
+    digest: bool = False,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes (or their SHA-256)."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = text_rows(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
-    spans = repeated_segments(rows, length, gram, block)
+    spans = repeated_segments(rows, length, gram, block, largest)
     per_text = cut_lineage(
         spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats"
     )

@@ -83,10 +83,10 @@ def test_run_compression():
     assert many.lengths.sum() == many.n
 
 
-@pytest.mark.parametrize("block", [1 << 22, 1500])
-def test_repeats(edge_docs, collected, as_bag, block):
-    """A small block sends groups the way of the divided ones."""
-    out = repeat_spans.without_repeats(edge_docs, 40, 16, block, digest=True)
+@pytest.mark.parametrize("block,largest", [(1 << 20, 1 << 22), (1500, 1500)])
+def test_repeats(edge_docs, collected, as_bag, block, largest):
+    """Small bounds send groups the way of the divided ones."""
+    out = repeat_spans.without_repeats(edge_docs, 40, 16, block, largest, digest=True)
     got = [(d, n, r, s, bytes(k).hex()) for d, n, r, s, k in as_bag(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept")]
     assert rows(got) == rows(brute.repeats(collected, 40))
 
