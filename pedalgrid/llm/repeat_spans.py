@@ -253,6 +253,7 @@ def repeated_segments(
     """(k1, k2, lo, hi): ranges of string starts that occur elsewhere."""
     cuts = cut_lineage(rows.select("k1", "k2", "text").mapInPandas(_cut(length, gram), SEGMENTS), "segments")
     often = cuts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    often = cut_lineage(often, "anchors")  # a join of two plain tables can be split where one anchor is hot
     found = cut_lineage(cuts.join(often, "anchor"), "shared-anchors")
     where = F.struct("k1", "k2", "start")
     distinct = cut_lineage(
@@ -264,6 +265,7 @@ def repeated_segments(
     )
     # A group needs an index if it has a segment that occurs once, and another one to match.
     open_groups = groups.filter("kinds > 1 AND least = 1").select("anchor", (F.col("bytes") > largest).alias("large"))
+    open_groups = cut_lineage(open_groups, "open-groups")
     asked = distinct.join(open_groups, "anchor")
     per_text = asked.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("anchor", "s1", "s2", F.col("at.start").alias("start"), "size", "large", "c")).alias("asked")
