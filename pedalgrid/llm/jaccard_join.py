@@ -50,7 +50,7 @@ SKETCH, PIECE = 1 << 20, 1 << 10
 MOST_SHARED, CANDIDATE_COST = 4, 8.0
 #: Lists this long go through leader rounds, this many at most; tokens this frequent are hot.
 LONG, ROUNDS, HOT = 16, 4, 4096
-PACKED = 1 << 21
+PACKED = 1 << 19
 
 
 def _sets(texts: list[str]) -> Iterator[np.ndarray]:
@@ -129,7 +129,7 @@ def prefix(own: np.ndarray, sketch: np.ndarray, usual: float) -> tuple[np.ndarra
     lengths = shortest + np.arange(1, most + 1)
     cost = lengths + CANDIDATE_COST * excess[lengths - 1] / np.arange(1, most + 1)
     shared = int(cost.argmin()) + 1
-    return tokens[: shortest + shared], shared
+    return tokens[: shortest + shared].copy(), shared  # not a view, which would keep the whole set
 
 
 def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
@@ -308,13 +308,17 @@ def rest_pairs(lists: DataFrame) -> DataFrame:
     marked = lists.join(largest, "token")
     inside, others = marked.filter("comp = top").drop("top"), marked.filter("comp <> top").drop("top")
     left = others.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "l", "comp")))
-    right = inside.unionByName(others).select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "l", "comp")))
-    met = left.join(right, "token").filter((F.col("comp1") != F.col("comp2")) & fits("n1", "n2"))
-    both = met.select("token", F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), enough_shared("n1", "l1", "n2", "l2").alias("enough"))
-    # a pair of two others meets from both sides
-    return (
-        both.groupBy("a", "b").agg(F.count_distinct("token").alias("c"), F.first("enough").alias("enough")).filter("c >= enough").select("a", "b")
+    both = inside.withColumn("inside", F.lit(True)).unionByName(others.withColumn("inside", F.lit(False)))
+    right = both.select("token", "inside", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "l", "comp")))
+    once = F.col("inside") | (F.col("node1") < F.col("node2"))  # two others meet twice
+    met = left.join(right, "token").filter(once & (F.col("comp1") != F.col("comp2")) & fits("n1", "n2"))
+    pairs = met.select(
+        F.least("node1", "node2").alias("a"),
+        F.greatest("node1", "node2").alias("b"),
+        enough_shared("n1", "l1", "n2", "l2").alias("enough"),
     )
+    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("enough").alias("enough"))
+    return counts.filter("c >= enough").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
