@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -74,19 +73,18 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.empty(size, np.uint64)
-    out[0] = 1
-    if size > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n."""
-    return _powers(base, 1 << max(16, (n - 1).bit_length()))[:n]
+    """base**i modulo 2**64 for i < n. One array per base is kept, as long as the longest asked for."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(1 << max(16, (n - 1).bit_length()), np.uint64(base), np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        _powers[base] = known
+    return known[:n]
 
 
 BASE = int(_POWER)
@@ -146,7 +144,7 @@ def shingle_hashes(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     return hashes, offsets, words
 
 
-def text_groups(texts: list[str], size: int = 1 << 20):
+def text_groups(texts: list[str], size: int = 1 << 18):
     """Ranges (from, to) of a batch with about ``size`` characters each."""
     start = total = 0
     for i, t in enumerate(texts):
