@@ -1,12 +1,12 @@
-"""Benchmark decontamination: MinHash containment search, partitioned by size, verified exactly.
+"""Benchmark decontamination: exact containment search by rare shingles, verified exactly.
 
-A short item inside a long document has a low Jaccard similarity with it. So items are divided by size
-(number of word shingles, up to u = 16, 32, 64, ...), and for every size in use a document is seen
-as windows of 2u shingles at steps of u: an item of that size lies in one of them, with a similarity
-that MinHash finds. Window minima come from the minima of blocks, the larger windows' from the smaller
-ones'. Of the document signatures only what some item may share is shuffled: a bit table of
-bounded size, made from all items, is sent to the tasks. Candidates are then verified: the
-share of the item's distinct shingles in the whole document must reach ``share``.
+A document that holds ``need`` of an item's n distinct word shingles holds at least one of any
+n - need + 1 of them. So every item is looked up by that many of its shingles, those that the fewest
+documents hold, however short the item, however long the document, and wherever in it the shingles lie: no
+pair is missed. Documents are read twice, to count the items' shingles and to look the rare ones up.
+Of their shingles only what some item may share is shuffled: a bit table of bounded size, made from all
+items, is sent to the tasks. Candidates are then verified: the share of the item's distinct shingles in the
+whole document must reach ``share``.
 
 Defined results: items and documents without words match nothing; one with fewer words than a shingle
 has a single shingle, its whole text. Items that repeat an id count each text for itself; null item ids
@@ -21,12 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pedalgrid.llm.common import (
     FILTER_BITS,
     join_wanted,
     keyed_rows,
-    mix64,
     shingle_hashes,
     sorted_unique,
     text_groups,
@@ -35,25 +35,15 @@ from pedalgrid.llm.common import (
 from pedalgrid.session import cut_lineage
 
 SHARE = 0.75
-#: Hash functions; the smallest size class; as many classes as sizes can have.
-HASHES, SMALLEST = 32, 16
-MAX_CLASSES = 24
 
-_SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
-
-def size_class(n: int) -> int:
-    """0 for up to SMALLEST shingles, 1 for up to twice as many, and so on."""
-    return max(0, int(n - 1).bit_length() - (SMALLEST - 1).bit_length())
-
-
-def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(HASHES x blocks): least value under every hash function."""
-    return np.stack([np.minimum.reduceat(hashes * s, starts) for s in _SEEDS])
+def looked_up(n: int, share: float) -> int:
+    """How many of an item's ``n`` shingles must be looked up so that no pair is missed."""
+    return max(0, n - max(1, int(np.ceil(share * n))) + 1)
 
 
 def item_rows(items: DataFrame) -> DataFrame:
-    """(item_id, size, n, shingles as bytes, signature), one row per item with words."""
+    """(item_id, n, shingles as bytes), one row per item with words."""
     kind = dict(items.dtypes)["item_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,90 +55,81 @@ def item_rows(items: DataFrame) -> DataFrame:
                 for i in range(z - a):
                     own = sorted_unique(hashes[at[i] : at[i + 1]])
                     if len(own):
-                        low = _minima(own, np.array([0]))[:, 0]
-                        rows.append((b["item_id"].iloc[a + i], size_class(len(own)), len(own), own.tobytes(), low.view(np.int64).tolist()))
-                yield pd.DataFrame(rows, columns=["item_id", "size", "n", "shingles", "signature"])
+                        rows.append((b["item_id"].iloc[a + i], len(own), own.tobytes()))
+                yield pd.DataFrame(rows, columns=["item_id", "n", "shingles"])
 
     named = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    schema = "item_id string, size int, n long, shingles binary, signature array<long>"
+    schema = "item_id string, n long, shingles binary"
     return named.mapInPandas(run, schema).withColumn("item_id", F.col("item_id").cast(kind))
 
 
-def _bit(size: int, values: np.ndarray, bits: int) -> np.ndarray:
-    """Place of (size, hash function, value) in the bit table; the function is the first axis."""
-    salt = mix64(np.arange(HASHES, dtype=np.uint64) + np.uint64(1 + HASHES * size))[:, None]
-    return (mix64(values ^ salt) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def bit_table(items: DataFrame, bits: int) -> np.ndarray:
-    """Which places the signatures of all items take: at most ``bits / 64`` rows reach the driver."""
+def item_shingles(items: DataFrame, share: float) -> DataFrame:
+    """(item, shingle, most): a row per shingle, and how many of them are to be looked up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for size, own in b.groupby("size"):
-                places = _bit(size, np.stack(own["signature"].to_numpy()).T.astype(np.int64).view(np.uint64), bits)
-                yield pd.DataFrame({"place": sorted_unique(places.ravel())})
+            for item, n, shingles in zip(b["item"], b["n"], b["shingles"], strict=True):
+                yield pd.DataFrame({"item": item, "shingle": np.frombuffer(shingles, np.int64), "most": looked_up(n, share)})
+
+    return items.select("item", "n", "shingles").mapInPandas(run, "item long, shingle long, most long")
 
-    places = items.select("size", "signature").mapInPandas(run, "place long")
-    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(
+
+def bit_table(shingles: DataFrame) -> np.ndarray:
+    """Which places the shingles take: at most ``FILTER_BITS / 64`` rows reach the driver."""
+    place = F.col("shingle").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = shingles.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")
     )
-    table = np.zeros(bits // 64, np.uint64)
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
     for word, value in words.collect():
         table[word] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _window_hits(hashes: np.ndarray, at: np.ndarray, sizes: list[int], table: np.ndarray, bits: int):
-    """(text, size, hash function, value) of window minima that pass the bit table."""
-    n = np.diff(at)
-    blocks = -(-n // SMALLEST)
-    owner = np.repeat(np.arange(len(n)), blocks)
-    first = np.concatenate(([0], np.cumsum(blocks)))
-    place = np.arange(first[-1]) - first[owner]
-    if not len(owner):
-        return
-    low = _minima(hashes, at[:-1][owner] + place * SMALLEST)
-    for size in range(max(sizes) + 1):
-        if size in sizes:
-            beside = owner[:-1] == owner[1:]
-            windows = low.copy()  # a last block, or a text of one, stands for itself
-            windows[:, :-1] = np.where(beside, np.minimum(low[:, :-1], low[:, 1:]), low[:, :-1])
-            function, window = np.nonzero(table[_bit(size, windows, bits)])
-            if len(window):
-                yield owner[window], size, function, windows[function, window]
-        # the next size: neighbouring blocks of a text become one
-        lead = np.flatnonzero(place % 2 == 0)
-        partner = np.minimum(lead + 1, len(owner) - 1)
-        paired = (lead + 1 < len(owner)) & (owner[partner] == owner[lead])
-        low = np.where(paired, np.minimum(low[:, lead], low[:, partner]), low[:, lead])
-        owner, place = owner[lead], place[lead] // 2
-
-
-def candidates(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """(k1, k2, item): pairs that share a window minimum. ``items`` from :func:`item_rows`."""
-    entries = items.select(
-        "item", "size", F.posexplode("signature").alias("function", "value")
-    )
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most MAX_CLASSES
-    if not sizes:
-        return rows.select("k1", "k2", F.lit(0).cast("long").alias("item")).limit(0)
-    bits = FILTER_BITS
-    shared = rows.sparkSession.sparkContext.broadcast(bit_table(items, bits))
+    return table
+
+
+def text_shingles(texts: list[str], table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, shingle): the distinct shingles of each text that pass the bit table."""
+    for a, z in text_groups(texts):
+        hashes, at, _ = shingle_hashes(texts[a:z])
+        place = hashes & np.uint64(FILTER_BITS - 1)
+        hit = np.flatnonzero((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+        if len(hit):
+            owner = np.searchsorted(at, hit, side="right") - 1
+            order = np.lexsort((hashes[hit], owner))
+            owner, found = owner[order], hashes[hit][order]
+            new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])))
+            yield a + owner[new], found[new].view(np.int64)
+
+
+def rare_shingles(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(item, shingle): of each item the ``most`` shingles that the fewest documents hold, less those in none."""
+    shared = rows.sparkSession.sparkContext.broadcast(bit_table(entries))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, found in text_shingles(b["text"].tolist(), shared.value):
+                values, n = np.unique(found, return_counts=True)
+                yield pd.DataFrame({"shingle": values, "held": n})
+
+    held = rows.select("text").mapInPandas(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+    rarest = W.partitionBy("item").orderBy(F.coalesce("held", F.lit(0)), "shingle")
+    ranked = entries.join(held, "shingle", "left").withColumn("rank", F.row_number().over(rarest))
+    return ranked.filter("rank <= most AND held IS NOT NULL").select("item", "shingle")
+
+
+def candidates(rows: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """(k1, k2, item): pairs that share a rare shingle. ``items`` from :func:`item_rows`, numbered."""
+    entries = cut_lineage(item_shingles(items, share), "item-shingles")
+    wanted = cut_lineage(rare_shingles(rows, entries), "rare-shingles")
+    shared = rows.sparkSession.sparkContext.broadcast(bit_table(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].tolist()
             k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
-            for a, z in text_groups(texts):
-                hashes, at, _ = shingle_hashes(texts[a:z])
-                for text, size, function, value in _window_hits(hashes, at, sizes, shared.value, bits):
-                    yield pd.DataFrame(
-                        {"k1": k1[a:z][text], "k2": k2[a:z][text], "size": size, "function": function, "value": value.view(np.int64)}
-                    ).drop_duplicates()
+            for text, found in text_shingles(b["text"].tolist(), shared.value):
+                yield pd.DataFrame({"k1": k1[text], "k2": k2[text], "shingle": found})
 
-    hits = rows.select("k1", "k2", "text").mapInPandas(run, "k1 long, k2 long, size int, function int, value long")
-    return hits.join(entries, ["size", "function", "value"]).select("k1", "k2", "item").distinct()
+    hits = rows.select("k1", "k2", "text").mapInPandas(run, "k1 long, k2 long, shingle long")
+    return hits.join(wanted, "shingle").select("k1", "k2", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
@@ -156,7 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
     numbered = item_rows(items).withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "shingles"))
     known = cut_lineage(numbered, "items").dropDuplicates(["item"])
     rows = text_rows(docs)
-    found = cut_lineage(candidates(rows, known), "item-candidates")
+    found = cut_lineage(candidates(rows, known, share), "item-candidates")
     asked = (
         found.join(known.select("item", "n", "shingles"), "item")
         .groupBy("k1", "k2")

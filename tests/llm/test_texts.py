@@ -190,6 +190,34 @@ def test_contamination_recall(spark, sample, sf_dir, as_bag):
     assert as_bag(found, "doc_id", "item_id", "n_item", "n_shared") == rows(want)
 
 
+def test_contamination_short_items_in_long_documents(spark, as_bag):
+    """Items of 5 to 17 words, whole, or in pieces far apart with one shingle in four lost, in documents of 3,000 words."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    items = [(i, " ".join(words(5 + i % 8 if i < 200 else 30))) for i in range(240)]
+    docs = []
+    for i, text in items:
+        own, fill = text.split(), words(3000)
+        if i < 200:
+            held = fill[:1500] + own + fill[1500:]
+        else:  # 22 of 26 shingles, in two pieces a thousand words apart
+            held = fill[:700] + own[:15] + fill[700:2000] + own[15:] + fill[2000:]
+        docs.append((i, " ".join(held)))
+    found = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    )
+    want = brute.contaminated(docs, items)
+    assert len(want) == len(items)
+    assert as_bag(found, "doc_id", "item_id", "n_item", "n_shared") == rows(want)
+
+
+def test_looked_up_shingles_meet_every_document():
+    for share in (0.1, 0.5, 0.75, 0.8, 1.0):
+        for n in range(1, 200):
+            least = min(k for k in range(1, n + 1) if k >= share * n)
+            assert decontaminate.looked_up(n, share) + least == n + 1
+
+
 def test_quality_counts(edge_docs, collected, no_labels, as_bag):
     out = quality_rules.quality_digests(edge_docs, no_labels)
     got = as_bag(out, "doc_id", *quality_rules.COUNTS, "kept")
