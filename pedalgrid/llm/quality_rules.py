@@ -10,13 +10,15 @@ Everything is a DataFrame expression. Texts are read once: their counts are stor
 holdout and the verdict are made from the counts.
 
 Defined results: a null or empty text has no words and fails the base rule. A document without
-label takes no part in the holdout; several labels for an id count as the lowest one. Languages
-beyond the MAX_STRATA most often labelled ones, and null, form one pooled stratum. Without labels
-no cutoff is admissible and the base rule alone decides. Repeated rows are judged each.
+label takes no part in the holdout; several labels for an id count as the lowest one. All labelled good
+documents are the holdout, every language is a stratum, and null languages form one of their own. Without
+labels no cutoff is admissible and the base rule alone decides. Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,8 +28,7 @@ from pedalgrid.session import cut_lineage
 
 #: Share of good documents that a stratum may lose, and the chance that this fails.
 MAX_LOSS, ERROR = 0.02, 0.05
-#: Holdout rows per stratum (the hash of the id decides which), and strata of their own.
-HOLDOUT, MAX_STRATA = 50_000, 64
+#: The stratum of null languages.
 POOLED = "*"
 
 #: Candidate cutoffs, strictest first; a document above the cutoff is rejected.
@@ -112,20 +113,22 @@ def with_values(counts: DataFrame) -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(at most k of n) for success rate ``p``, term by term; exact while n * p < 700."""
+    """P(at most k of n) for success rate ``p`` and k up to n * p, term by term: the logarithm of a term, and the
+    sum so far as a multiple of it, so that nothing underflows however large n is."""
+    odds = lambda i: (n - i + 1) / i * F.lit(p / (1 - p))
     step = lambda acc, i: F.struct(
-        (acc["t"] * (n - i + 1) / i * F.lit(p / (1 - p))).alias("t"),
-        (acc["s"] + acc["t"] * (n - i + 1) / i * F.lit(p / (1 - p))).alias("s"),
+        (acc["log"] + F.log(odds(i))).alias("log"),
+        (acc["sum"] / odds(i) + 1).alias("sum"),
     )
-    none = F.pow(F.lit(1 - p), n)
+    none = F.struct((n * F.lit(math.log1p(-p))).alias("log"), F.lit(1.0).alias("sum"))
     terms = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, F.struct(none.alias("t"), none.alias("s")), step, lambda acc: acc["s"])
+    return F.aggregate(terms, none, step, lambda acc: F.exp(acc["log"]) * acc["sum"])
 
 
 def cutoffs(values: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS, error: float = ERROR) -> DataFrame:
     """One row per stratum: ``stratum`` and, per rule, the chosen cutoff (null: the rule is off).
 
-    At most MAX_STRATA + 1 rows, whatever the size of the input.
+    At most a row per language and one more, whatever the number of documents.
     """
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q")).filter("_q = 1")
     held = (
@@ -133,20 +136,7 @@ def cutoffs(values: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS, er
         .filter(~F.col("base_failed"))
         .join(good, F.col("doc_id") == F.col("_id"))
     )
-    top = (
-        held.filter(F.col("lang").isNotNull())
-        .groupBy("lang")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(MAX_STRATA)
-    )
-    named = held.join(F.broadcast(top.select("lang", F.lit(True).alias("_own"))), "lang", "left").withColumn(
-        "stratum", F.when(F.col("_own"), F.col("lang")).otherwise(F.lit(POOLED))
-    )
-    # A bounded share of each stratum: (stratum, n) has at most MAX_STRATA + 1 rows.
-    sizes = named.groupBy("stratum").agg(F.count("*").alias("_all"))
-    unit = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = named.join(F.broadcast(sizes), "stratum").filter(unit * F.col("_all") < HOLDOUT)
+    named = held.withColumn("stratum", F.coalesce("lang", F.lit(POOLED)))
     bins = [
         F.struct(
             F.lit(rule).alias("rule"),
@@ -155,7 +145,7 @@ def cutoffs(values: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS, er
         for rule, grid in RULES.items()
     ]
     histogram = (
-        sample.select("stratum", F.explode(F.array(*bins)).alias("b"))
+        named.select("stratum", F.explode(F.array(*bins)).alias("b"))
         .groupBy("stratum", "b.rule", "b.passed")
         .agg(F.count("*").alias("n"))
     )
@@ -198,9 +188,8 @@ def cutoffs(values: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS, er
 
 def judged(values: DataFrame, chosen: DataFrame) -> DataFrame:
     """``values`` with ``kept``. ``chosen`` comes from :func:`cutoffs`."""
-    own = F.broadcast(chosen)  # at most MAX_STRATA + 1 rows
     pooled = F.broadcast(chosen.filter(F.col("stratum") == POOLED).select(*(F.col(f"cut_{r}").alias(f"_p_{r}") for r in RULES)))
-    known = values.join(own, F.col("lang") == F.col("stratum"), "left")
+    known = values.join(chosen, F.col("lang") == F.col("stratum"), "left")
     fails = F.lit(False)
     for r in RULES:
         cut = F.when(F.col("stratum").isNotNull(), F.col(f"cut_{r}")).otherwise(F.col(f"_p_{r}"))
@@ -236,8 +225,7 @@ def quality_digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL, the binomial sums by logarithms of factorials. It takes all labelled rows as
-    holdout, so it stands for up to HOLDOUT of them per stratum and MAX_STRATA languages."""
+    """The same in SQL, the binomial sums by logarithms of factorials."""
     grid = ", ".join(f"('{r}', CAST('{c}' AS DOUBLE))" for r, cs in RULES.items() for c in cs)
     loss = f"CAST('{MAX_LOSS / len(RULES)}' AS DOUBLE)"
     tests = sum(map(len, RULES.values()))
