@@ -187,18 +187,12 @@ def cutoffs(values: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS, er
 
 
 def judged(values: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``values`` with ``kept``. ``chosen`` comes from :func:`cutoffs`."""
-    pooled = F.broadcast(chosen.filter(F.col("stratum") == POOLED).select(*(F.col(f"cut_{r}").alias(f"_p_{r}") for r in RULES)))
-    known = values.join(chosen, F.col("lang") == F.col("stratum"), "left")
+    """``values`` with ``kept``. ``chosen`` comes from :func:`cutoffs`; a stratum that is not in it has all rules off."""
+    known = values.join(chosen, F.coalesce("lang", F.lit(POOLED)) == F.col("stratum"), "left")
     fails = F.lit(False)
     for r in RULES:
-        cut = F.when(F.col("stratum").isNotNull(), F.col(f"cut_{r}")).otherwise(F.col(f"_p_{r}"))
-        fails = fails | F.coalesce(F.col(r) > cut, F.lit(False))
-    return (
-        known.withColumn("_one", F.lit(1))
-        .join(pooled.withColumn("_one", F.lit(1)), "_one", "left")
-        .withColumn("kept", ~F.col("base_failed") & ~fails)
-    )
+        fails = fails | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
+    return known.withColumn("kept", ~F.col("base_failed") & ~fails)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -288,6 +288,15 @@ def test_every_language_is_a_stratum(spark):
     assert found == {f"l{i:02d}" for i in range(70)}
 
 
+def test_strata_without_cutoffs_have_their_rules_off(spark):
+    """Good documents of a small and of an unlabelled language, all with many symbols, beside null languages with few."""
+    values, labels = holdout(spark, [(None, 6000, 0), ("ja", 100, 1), ("zh", 100, 1), (None, 50, 1)])
+    chosen = quality_rules.cutoffs(values, labels.filter("doc_id < 6100"))
+    assert [r["stratum"] for r in chosen.collect()] == [quality_rules.POOLED]
+    kept = {(r["lang"], r["symbols_per_word"] > 0, r["kept"]) for r in quality_rules.judged(values, chosen).collect()}
+    assert kept == {(None, False, True), (None, True, False), ("ja", True, True), ("zh", True, True)}
+
+
 def test_cutoffs_limit_false_rejection(spark):
     """Many good texts, a few bad ones with marks: the cutoff parts them, and small strata get none."""
     rng = random.Random(1)
