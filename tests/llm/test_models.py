@@ -50,6 +50,16 @@ def test_grams_of_texts():
     assert shown[offsets[3] :] == ["   é", "  é ", " é x", "é x "]
 
 
+def test_only_letters_are_letters(spark, sample):
+    """Emoji and other symbols beyond the basic plane are none; letters there are."""
+    grams, offsets = language_id.char_grams(["🙂🙂 12", "a🙂b", "𐐨"])
+    assert np.diff(offsets).tolist() == [0, 4, 2]
+    assert grams[offsets[1]] & np.uint64(0xFFFF) == ord("a") and (grams[offsets[1] + 1] & np.uint64(0xFFFF)) == ord(" ")
+    asked = spark.createDataFrame([(1, "🙂🙂 🚀 12"), (2, "𝄞 🂡 34"), (3, "🙂")], "doc_id long, text string")
+    got = language_id.predict(asked, language_id.train(sample)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+
+
 def test_language_accuracy(sample):
     lang = {r["doc_id"]: r["lang"] for r in sample.collect()}
     got = language_id.language_id(sample).collect()
