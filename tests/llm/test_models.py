@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -60,6 +61,20 @@ def test_only_letters_are_letters(spark, sample):
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
 
 
+def test_all_of_fold_3_calibrates(spark):
+    """More than 2,000 documents of one language there; the limit is the quantile over every one of them."""
+    rng = random.Random(4)
+    letters = lambda i: "etaoinshrdlu" if i % 100 else "qxzjkvwpybg"
+    word = lambda i: "".join(rng.choice(letters(i)) for _ in range(rng.randint(2, 9)))
+    texts = [(i, " ".join(word(i) for _ in range(rng.randint(3, 8)))) for i in range(14_000)]
+    docs = spark.createDataFrame([(*t, "en") for t in texts], "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(docs)
+    held = [t for i, t in texts if zlib.crc32(str(i).encode()) % 4 == 3]
+    assert len(held) > 3000
+    want = np.quantile(model.entropies(held)[0][:, 0], 1 - language_id.REJECTED)
+    assert model.limits[0] == pytest.approx(want, abs=2e-4)
+
+
 def test_language_accuracy(sample):
     lang = {r["doc_id"]: r["lang"] for r in sample.collect()}
     got = language_id.language_id(sample).collect()
