@@ -101,12 +101,7 @@ def load_month_once(f: Fleet) -> DataFrame:
 @query
 def scan_snapshot_json(f: Fleet) -> DataFrame:
     path = fresh_path(f.spark, "snapshots")
-    station = F.struct(
-        "station_id", F.unix_seconds("last_reported").alias("last_reported"), *STATE_FIELDS
-    )
-    f.status.groupBy(
-        F.unix_seconds(F.date_trunc("hour", "observed_at")).alias("last_updated")
-    ).agg(F.struct(F.collect_list(station).alias("stations")).alias("data")).write.json(path)
+    files.snapshot_documents(f.status).write.json(path)
     return files.scan_snapshot_json(f.spark, path)
 
 

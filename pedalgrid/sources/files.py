@@ -10,6 +10,8 @@ from pedalgrid.constants import STATE_FIELDS
 from pedalgrid.functions.timeutil import epoch_to_ts
 
 TRIP_CLOCK = "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]"
+#: Rows in a snapshot document that is written here.
+SNAPSHOT_ROWS = 1 << 14
 
 
 def scan_trips_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +40,21 @@ def snapshot_rows(docs: DataFrame, polled_at: str | None = None) -> DataFrame:
     )
 
 
+def snapshot_documents(status: DataFrame, most: int = SNAPSHOT_ROWS) -> DataFrame:
+    """Snapshot documents by hour, each of at most ``most`` rows that lie beside each other in ``status``; an hour has
+    as many documents as it needs. ``status`` should be a stored table, so that its rows keep their places."""
+    station = F.struct(
+        "station_id", F.unix_seconds("last_reported").alias("last_reported"), *STATE_FIELDS
+    )
+    hour = F.unix_seconds(F.date_trunc("hour", "observed_at")).alias("last_updated")
+    placed = status.withColumn("_part", F.floor(F.monotonically_increasing_id() / most))
+    return (
+        placed.groupBy(hour, "_part")
+        .agg(F.struct(F.collect_list(station).alias("stations")).alias("data"))
+        .drop("_part")
+    )
+
+
 def scan_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
     return snapshot_rows(spark.read.schema(schemas.SNAPSHOT).json(path))
 

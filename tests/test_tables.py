@@ -7,6 +7,7 @@ import pytest
 from helpers import at, minute_of
 from pyspark.sql import functions as F
 
+from pedalgrid.constants import STATE_FIELDS
 from pedalgrid.session import fresh_path
 from pedalgrid.sources import files, tables
 
@@ -137,6 +138,21 @@ def test_csv_keeps_ids_as_text_and_bad_rows_as_null(spark, tmp_path):
     assert (r.ride_id, r.start_station_id, r.started_at.microsecond, r.start_lat) == ("007", "012", 123000, 1.5)
 
 
+def test_snapshot_documents_are_bounded(spark, tmp_path):
+    """A thousand rows of one hour make several documents, and all of them are read again."""
+    fields = {c: F.lit(1).cast("int") for c in STATE_FIELDS}
+    at = F.timestamp_seconds(F.lit(1700000000) + F.col("id") % 60)
+    status = spark.range(0, 1000, 1, 3).select(
+        F.format_string("s%d", "id").alias("station_id"), at.alias("observed_at"), at.alias("last_reported")
+    ).withColumns(fields)
+    docs = files.snapshot_documents(status, most=64)
+    assert max(r[0] for r in docs.select(F.size("data.stations")).collect()) <= 64
+    docs.write.json(str(tmp_path / "docs"))
+    got = files.scan_snapshot_json(spark, str(tmp_path / "docs")).collect()
+    assert sorted(r.station_id for r in got) == sorted(f"s{i}" for i in range(1000))
+    assert len({r.feed_last_updated for r in got}) == 1
+
+
 def test_snapshot_document_has_a_row_per_station(spark, tmp_path):
     (tmp_path / "s.json").write_text(
         '{"last_updated": 1700000000, "data": {"stations": ['
