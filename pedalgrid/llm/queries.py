@@ -13,6 +13,7 @@ from pedalgrid.llm import (
     language_id,
     license_scan,
     line_dedup,
+    merkle_manifest,
     quality_rules,
     repeat_spans,
     secret_scan,
@@ -63,6 +64,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("k1", "k2")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_line_dedup,
     op2_repeat_spans,
@@ -74,6 +79,7 @@ QUERIES = [
     op8_bpe_codec,
     op9_license_scan,
     op10_decontaminate,
+    op11_merkle_manifest,
 ]
 
 
@@ -91,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.SQL,
         "op9_license_scan": license_scan.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_merkle_manifest": merkle_manifest.SQL,
     }
