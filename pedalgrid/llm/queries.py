@@ -17,6 +17,7 @@ from pedalgrid.llm import (
     quality_rules,
     repeat_spans,
     secret_scan,
+    spelling_variants,
     warc_captures,
 )
 from pedalgrid.llm.common import table
@@ -68,6 +69,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_line_dedup,
     op2_repeat_spans,
@@ -80,6 +85,7 @@ QUERIES = [
     op9_license_scan,
     op10_decontaminate,
     op11_merkle_manifest,
+    op12_spelling_variants,
 ]
 
 
@@ -98,4 +104,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": license_scan.SQL,
         "op10_decontaminate": decontaminate.SQL,
         "op11_merkle_manifest": merkle_manifest.SQL,
+        "op12_spelling_variants": spelling_variants.SQL,
     }
