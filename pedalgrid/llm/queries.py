@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pedalgrid.llm import (
     bpe_codec,
+    count_min_dedup,
     decontaminate,
     jaccard_join,
     language_id,
@@ -73,6 +74,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_count_min_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_min_dedup.window_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_line_dedup,
     op2_repeat_spans,
@@ -86,6 +91,7 @@ QUERIES = [
     op10_decontaminate,
     op11_merkle_manifest,
     op12_spelling_variants,
+    op13_count_min_dedup,
 ]
 
 
@@ -105,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_decontaminate": decontaminate.SQL,
         "op11_merkle_manifest": merkle_manifest.SQL,
         "op12_spelling_variants": spelling_variants.SQL,
+        "op13_count_min_dedup": count_min_dedup.SQL,
     }
