@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -135,3 +136,97 @@ def secrets(text):
     spans = [s for _, _, s in sorted(out)]
     kinds = [s.split(":")[0] for s in spans]
     return (*(kinds.count(k) for k in ("assign", "access", "hex")), sha(",".join(spans)))
+
+
+def merkle(rows, fanout=2):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of (doc_id, source, lang, n_chars, text) rows."""
+
+    def field(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(r):
+        return sha("".join(map(field, r)))
+
+    def tree(nodes):
+        """Root, and per node the (left, right) siblings of each level."""
+        paths, level, at = [[] for _ in nodes], nodes, list(range(len(nodes)))
+        while len(level) > 1:
+            for i, p in enumerate(at):
+                run = p - p % fanout
+                paths[i].append(("".join(level[run:p]), "".join(level[p + 1 : run + fanout])))
+            level = [sha("".join(level[i : i + fanout])) for i in range(0, len(level), fanout)]
+            at = [p // fanout for p in at]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    made = {}
+    for g in order:
+        own = sorted(groups[g], key=lambda r: (none_last(r[0]), leaf(r)))
+        made[g] = (own, *tree([leaf(r) for r in own]))
+    root, above = tree([made[g][1] for g in order]) if order else (None, [])
+    out = []
+    for g, upper in zip(order, above, strict=True):
+        own, subroot, paths = made[g]
+        for r, path in zip(own, paths, strict=True):
+            hit = r[0] is not None and r[3] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            h = leaf((*r[:3], r[3] + 1, r[4])) if hit else leaf(r)
+            for left, right in path + upper:
+                h = sha(left + h + right)
+            proof = sha("".join(a + b for a, b in path + upper))
+            out.append((r[0], leaf(r), subroot, root, proof, h, h == root))
+    return out
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(count, least=2, ratio=10):
+    """(word, n, n_near, form, form_n, root) of word counts."""
+    words = {w: n for w, n in count.items() if n >= least}
+    near = {w: [x for x in words if one_apart(w, x)] for w in words}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * n else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return [(w, n, len(near[w]), form[w], words.get(form[w]), root(w)) for w, n in words.items()]
+
+
+def word_counts(docs, least=7, deleted=31):
+    count = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = low(run)
+            h = zlib.crc32(f"{doc_id}:{run}".encode())
+            if doc_id is not None and h % deleted == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least:
+                count[run] += 1
+    return count
+
+
+def late_windows(docs, width=50):
+    split = [(none_last(d), re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in docs]
+    first = {}
+    for d, w in split:
+        for i in range(len(w) - width + 1):
+            key = tuple(w[i : i + width])
+            first[key] = min(first.get(key, d), d)
+    out = []
+    for (doc_id, _), (d, w) in zip(docs, split, strict=True):
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if first[tuple(w[i : i + width])] < d:
+                gone.update(range(i, i + width))
+        out.append((doc_id, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
