@@ -80,6 +80,15 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove a copy made by :func:`cut_lineage` that nothing reads any more."""
+    spark, used = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    made = _made_paths.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in made if any(u.endswith(p[p.index("/pedalgrid/") :]) for u in used)]:
+        remove_path(spark, path)
+        made.remove(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
