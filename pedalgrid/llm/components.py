@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedalgrid.session import cut_lineage
+from pedalgrid.session import cut_lineage, forget
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.filter("a <> b").distinct(), "edges")
     before = None
     while True:
-        edges = cut_lineage(_star(_star(edges, small=False), small=True), "edges")
+        last, edges = edges, cut_lineage(_star(_star(edges, small=False), small=True), "edges")
+        forget(last)
         # sums in longs would overflow
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -9,11 +9,16 @@ count sketch over all tokens, of fixed size, which is all that is sent to the ta
 1. Equal sets become one node. One pass makes set signatures and the sketch.
 2. Prefix tokens are packed by token range into arrays; tokens that only one node holds are dropped
    there. Tokens that the sketch knows as hot skip this step, so no task gathers a hot token.
-3. Long posting lists: a few rounds link their nodes to one leader per list, which contracts
-   groups of near copies without comparing all their pairs.
-4. Exact rest: all pairs of a posting list that are still in different components, counted, filtered
-   by size and by what the rest of the sets can still share, and verified on whole sets. Lists with one component left emit nothing; a list's
-   largest component is never paired with itself. No list is capped.
+3. Long posting lists: rounds link their nodes to one leader per list, first to the node most of whose tokens
+   others hold, then to such a node outside the list's largest component, until a round links nothing. That
+   contracts groups of near copies without comparing all their pairs.
+4. Exact rest: all pairs of a posting list that are still in different components, where the token can be among
+   the first l that the two share: sets of n1 and n2 tokens share O = ceil(t (n1 + n2) / (1 + t)) or more, so the
+   l-th shared one lies at place n - O + l of either set or before. A pair with l such tokens is verified on whole sets.
+   Lists with one component left emit nothing; a list's largest component is never paired with
+   itself. No list is capped.
+
+Shingles are compared as 64-bit hashes.
 
 Defined results: a text without words has an empty set, is linked with nothing and is its own
 component; with fewer words than a shingle the whole sequence is one. Rows that repeat an id are documents
@@ -41,15 +46,15 @@ from pedalgrid.llm.common import (
     text_rows,
 )
 from pedalgrid.llm.components import components
-from pedalgrid.session import cut_lineage, shuffle_width
+from pedalgrid.session import cut_lineage, forget, shuffle_width
 
 SIMILARITY = Fraction(3, 4)
 #: Counters of the frequency sketch (8 bytes each where it is broadcast), and of a stored piece.
 SKETCH, PIECE = 1 << 20, 1 << 10
 #: Largest l; postings that one verified candidate costs as much as.
 MOST_SHARED, CANDIDATE_COST = 4, 8.0
-#: Lists this long go through leader rounds, this many at most; tokens this frequent are hot.
-LONG, ROUNDS, HOT = 16, 4, 4096
+#: Lists this long go through leader rounds, this many at most (the rest decides); tokens this frequent are hot.
+LONG, ROUNDS, HOT = 16, 6, 4096
 PACKED = 1 << 19
 
 
@@ -113,50 +118,50 @@ def frequencies(pieces: DataFrame) -> np.ndarray:
     return sketch
 
 
-def prefix(own: np.ndarray, sketch: np.ndarray, usual: float) -> tuple[np.ndarray, int]:
-    """(tokens, l): the prefix of a set in the global order, of adaptive length.
-
-    A token is ordered by (frequency, hash); both are packed in one number, which names the token.
-    """
+def prefix(own: np.ndarray, sketch: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(tokens, frequencies, l): the prefix of a set in the global order, (frequency, hash), of adaptive length."""
     n = len(own)
     often = sketch[(own >> np.uint64(44)).astype(np.int64)]
-    order = np.minimum(often, np.uint64(0xFFFF)) << np.uint64(48)
-    tokens = np.sort(order | (own >> np.uint64(16)))
+    order = np.lexsort((own, often))
+    tokens, often = own[order], often[order]
     least = -(-SIMILARITY.numerator * n // SIMILARITY.denominator)
     shortest = n - least
     most = min(MOST_SHARED, least)
-    excess = np.cumsum(np.maximum((tokens[: shortest + most] >> np.uint64(48)).astype(np.float64) - usual, 0))
+    excess = np.cumsum(np.maximum(often[: shortest + most].astype(np.float64) - usual, 0))
     lengths = shortest + np.arange(1, most + 1)
     cost = lengths + CANDIDATE_COST * excess[lengths - 1] / np.arange(1, most + 1)
     shared = int(cost.argmin()) + 1
-    return tokens[: shortest + shared].copy(), shared  # not a view, which would keep the whole set
+    end = shortest + shared
+    return tokens[:end].copy(), often[:end].copy(), shared  # not views, which would keep the whole set
 
 
 def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
-    """(token, node, n, l) of every prefix token that two nodes or more may hold."""
+    """(token, node, n, l, place) of every prefix token that two nodes or more may hold."""
     spark = rows.sparkSession
     width = shuffle_width(spark)
     buckets = 8 * width
     usual = float(np.median(sketch))
     shared = spark.sparkContext.broadcast(sketch)
-    hot = np.uint64(min(0xFFFF, max(HOT, int(8 * usual))))
+    hot = max(HOT, int(8 * usual))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies within a task are posted once
         held, size = [], 0
 
         def flush():
-            tokens = np.concatenate([h[0] for h in held])
-            nodes = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
-            sizes = np.repeat(np.array([h[2] for h in held], np.int64), [len(h[0]) for h in held])
-            is_hot = (tokens >> np.uint64(48)) >= hot
+            lengths = [len(h[0]) for h in held]
+            tokens, often = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            nodes, sizes = (np.repeat(np.array([h[i] for h in held], np.int64), lengths) for i in (2, 3))
+            places = np.concatenate([np.arange(x, dtype=np.uint32) for x in lengths])
             spread = (tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-            bucket = np.where(is_hot, -1 - (spread % np.uint64(width)).astype(np.int64), (spread % np.uint64(buckets)).astype(np.int64))
+            of_hot, of_rest = (spread % np.uint64(m) for m in (width, buckets))
+            bucket = np.where(often >= hot, -1 - of_hot.astype(np.int64), of_rest.astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
             cut = [*edge, len(order)]
             part = lambda x: [x[order[a:z]].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
-            return pd.DataFrame({"bucket": bucket[order][edge], "tokens": part(tokens), "nodes": part(nodes), "sizes": part(sizes.astype(np.uint32))})
+            packed = {"tokens": tokens, "nodes": nodes, "sizes": sizes.astype(np.uint32), "places": places}
+            return pd.DataFrame({"bucket": bucket[order][edge], **{k: part(v) for k, v in packed.items()}})
 
         for b in batches:
             for own in _sets(b["text"].tolist()):
@@ -166,8 +171,8 @@ def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
                 if node in seen:
                     continue
                 seen.add(node)
-                tokens, least = prefix(own, shared.value, usual)
-                held.append((tokens, node, len(own) << 3 | least))
+                tokens, often, least = prefix(own, shared.value, usual)
+                held.append((tokens, often, node, len(own) << 3 | least))
                 size += len(tokens)
                 if size > PACKED:
                     yield flush()
@@ -176,13 +181,14 @@ def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
             yield flush()
 
     def unpack(frame: pd.DataFrame):
-        tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["tokens"]])
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in frame["nodes"]])
-        sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["sizes"]])
-        return tokens, nodes, sizes.astype(np.int64)
+        kinds = {"tokens": np.uint64, "nodes": np.int64, "sizes": np.uint32, "places": np.uint32}
+        return [np.concatenate([np.frombuffer(x, kind) for x in frame[name]]) for name, kind in kinds.items()]
 
-    def rows_of(tokens, nodes, sizes) -> pd.DataFrame:
-        return pd.DataFrame({"token": tokens.view(np.int64), "node": nodes, "n": sizes >> 3, "l": sizes & 7})
+    def rows_of(tokens, nodes, sizes, places) -> pd.DataFrame:
+        sizes = sizes.astype(np.int64)
+        return pd.DataFrame(
+            {"token": tokens.view(np.int64), "node": nodes, "n": sizes >> 3, "l": sizes & 7, "place": places.astype(np.int64)}
+        )
 
     def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_bucket: dict[int, list] = {}
@@ -193,20 +199,20 @@ def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
                 else:
                     by_bucket.setdefault(bucket, []).append(unpack(own))
         for parts in by_bucket.values():
-            tokens, nodes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((nodes, tokens))
-            tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
-            same = np.concatenate(([False], tokens[1:] == tokens[:-1]))
-            new = ~(same & np.concatenate(([False], nodes[1:] == nodes[:-1])))
-            tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
-            same = tokens[1:] == tokens[:-1]
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            columns = [x[order] for x in columns]
+            again = np.concatenate(([False], columns[0][1:] == columns[0][:-1]))
+            new = ~(again & np.concatenate(([False], columns[1][1:] == columns[1][:-1])))
+            columns = [x[new] for x in columns]
+            same = columns[0][1:] == columns[0][:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            yield rows_of(tokens[keep], nodes[keep], sizes[keep])
+            yield rows_of(*(x[keep] for x in columns))
 
-    packed = rows.select("text").mapInPandas(pack, "bucket long, tokens binary, nodes binary, sizes binary")
+    packed = rows.select("text").mapInPandas(pack, "bucket long, tokens binary, nodes binary, sizes binary, places binary")
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("nodes", "bucket"), F.lit(buckets)))
     spread = packed.repartition(width, dealt)
-    return spread.mapInPandas(several, "token long, node long, n long, l long")
+    return spread.mapInPandas(several, "token long, node long, n long, l long, place long")
 
 
 def fits(n: str, m: str) -> Column:
@@ -215,20 +221,12 @@ def fits(n: str, m: str) -> Column:
     return F.least(n, m) * q >= F.greatest(n, m) * p
 
 
-def enough_shared(n1: str, l1: str, n2: str, l2: str) -> Column:
-    """How many prefix tokens two sets must share at least.
-
-    Beside l: let the prefix of one set end first in the global order. All tokens up to there lie in both
-    prefixes, so beyond the c shared ones at most the rest of that set can be common, and the
-    similarity asks for p / (p + q) of both sizes.
-    """
+def among_first(n1: str, l1: str, place1: str, n2: str, l2: str, place2: str) -> Column:
+    """Whether a token that two sets share can be one of the first l they share, if they are similar."""
     p, q = SIMILARITY.numerator, SIMILARITY.denominator
-
-    def rest(n: str, least: str) -> Column:
-        return F.ceil(F.col(n) * p / q) - F.col(least)
-
-    overlap = F.ceil((F.col(n1) + F.col(n2)) * p / (p + q))
-    return F.greatest(F.least(l1, l2), overlap - F.greatest(rest(n1, l1), rest(n2, l2)))
+    overlap = F.expr(f"(({n1} + {n2}) * {p} + {p + q - 1}) div {p + q}")
+    reach = F.least(l1, l2) - 1 - overlap
+    return (F.col(place1) <= F.col(n1) + reach) & (F.col(place2) <= F.col(n2) + reach)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -274,11 +272,23 @@ def node_texts(rows: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame
     return found.mapInPandas(run, "node long, packed binary").dropDuplicates(["node"])
 
 
-def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
         return lists.withColumn("comp", F.col("node"))
-    known = cut_lineage(components(links), "components")
-    return lists.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+
+def _with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``labels`` (node, component) after new ``links`` (a, b), contracted to them first."""
+    if labels is None:
+        return cut_lineage(components(links), "labels")
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), "component")
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    merged = cut_lineage(components(links.select("a", "b")), "merged")
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = labels.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return cut_lineage(moved.unionByName(merged.join(labels, "node", "left_anti")), "labels")
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
@@ -287,35 +297,49 @@ def _mixed(lists: DataFrame) -> DataFrame:
     return lists.join(several.select("token"), "token")
 
 
+def _largest(lists: DataFrame) -> DataFrame:
+    """(token, top): the component with most nodes in a list."""
+    counts = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    return counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
+
+
 def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """For each node of the lists its most frequent leader of another component: one per list and size."""
     sized = lists.withColumn("band", F.floor(F.log(4 / 3, F.col("n")) + F.lit(turn / 4)))
-    leaders = sized.groupBy("token", "band").agg(
-        F.min_by(F.struct("node", "comp", "n", "l"), F.xxhash64(F.lit(turn), "comp", "node")).alias("lead")
+    may_lead = sized.join(_largest(sized), "token").filter("comp <> top") if turn else sized
+    leaders = may_lead.groupBy("token", "band").agg(
+        F.max_by(
+            F.struct("node", "comp", "n", "l", "place"), F.struct("weight", F.xxhash64(F.lit(turn), "comp", "node"))
+        ).alias("lead")
+    )
+    met = sized.join(leaders, ["token", "band"]).filter(
+        (F.col("comp") != F.col("lead.comp"))
+        & fits("n", "lead.n")
+        & among_first("n", "l", "place", "lead.n", "lead.l", "lead.place")
     )
-    met = sized.join(leaders, ["token", "band"]).filter((F.col("comp") != F.col("lead.comp")) & fits("n", "lead.n"))
-    enough = enough_shared("n", "l", "lead.n", "lead.l")
     counts = met.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(
-        F.count("*").alias("c"), F.first(enough).alias("enough")
+        F.count("*").alias("c"), F.min(F.least("l", "lead.l")).alias("enough")
     )
     return counts.filter("c >= enough").groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
 def rest_pairs(lists: DataFrame) -> DataFrame:
     """(a, b) of different components that share enough prefix tokens."""
-    counts = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    marked = lists.join(largest, "token")
+    marked = lists.join(_largest(lists), "token")
     inside, others = marked.filter("comp = top").drop("top"), marked.filter("comp <> top").drop("top")
-    left = others.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "l", "comp")))
+    columns = ("node", "n", "l", "comp", "place")
+    left = others.select("token", *(F.col(c).alias(f"{c}1") for c in columns))
     both = inside.withColumn("inside", F.lit(True)).unionByName(others.withColumn("inside", F.lit(False)))
-    right = both.select("token", "inside", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "l", "comp")))
+    right = both.select("token", "inside", *(F.col(c).alias(f"{c}2") for c in columns))
     once = F.col("inside") | (F.col("node1") < F.col("node2"))  # two others meet twice
-    met = left.join(right, "token").filter(once & (F.col("comp1") != F.col("comp2")) & fits("n1", "n2"))
+    met = left.join(right, "token").filter(
+        once
+        & (F.col("comp1") != F.col("comp2"))
+        & fits("n1", "n2")
+        & among_first("n1", "l1", "place1", "n2", "l2", "place2")
+    )
     pairs = met.select(
-        F.least("node1", "node2").alias("a"),
-        F.greatest("node1", "node2").alias("b"),
-        enough_shared("n1", "l1", "n2", "l2").alias("enough"),
+        F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), F.least("l1", "l2").alias("enough")
     )
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("enough").alias("enough"))
     return counts.filter("c >= enough").select("a", "b")
@@ -335,29 +359,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sketch = frequencies(signed.filter("piece >= 0").select("piece", "counts"))
     lists = cut_lineage(postings(rows, sketch, seed).distinct(), "postings")
     known = texts.filter("n > 0").select("k1", "k2", "node")
-    links: DataFrame | None = None
+    labels: DataFrame | None = None
 
-    def more(found: DataFrame) -> DataFrame:
+    def linked(found: DataFrame) -> DataFrame:
         pairs = cut_lineage(found, "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         texts_of = cut_lineage(node_texts(rows, known, ends), "node-texts")
         new = cut_lineage(verified(pairs, texts_of), "links")
-        return new if links is None else links.unionAll(new)
-
-    long = lists.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= LONG).select("token")
-    long_lists = cut_lineage(lists.join(long, "token"), "long-lists")
+        forget(pairs)
+        forget(texts_of)
+        return new
+
+    long = lists.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= LONG)
+    long_lists = lists.join(long, "token")
+    weights = long_lists.groupBy("node").agg(F.sum("c").alias("weight"))
+    long_lists = cut_lineage(long_lists.drop("c").join(weights, "node"), "long-lists")
     for turn in range(ROUNDS):
-        mixed = _mixed(_labelled(long_lists, links))
-        found = cut_lineage(leader_pairs(mixed, turn), "leaders")
-        if found.isEmpty():
-            break
-        before = 0 if links is None else links.count()
-        links = more(found)
-        if links.count() == before:
+        mixed = cut_lineage(_mixed(_labelled(long_lists, labels)), "mixed")
+        new = linked(leader_pairs(mixed, turn))
+        forget(mixed)
+        if new.isEmpty():
             break
-    rest = rest_pairs(cut_lineage(_mixed(_labelled(lists, links)), "mixed"))
-    links = more(rest)
-    joined = cut_lineage(components(links), "components")
+        labels = _with_links(labels, new)
+    forget(long_lists)
+    mixed = cut_lineage(_mixed(_labelled(lists, labels)), "mixed")
+    joined = _with_links(labels, linked(rest_pairs(mixed)))
+    forget(mixed)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     named = (
         rows.select("k1", "k2", "doc_id")

@@ -128,6 +128,11 @@ def test_jaccard_large_groups(spark, as_bag, monkeypatch):
     chain = [f"k{i}" for i in range(200)]
     texts += [(300 + i, " ".join(chain[4 * i : 4 * i + 100])) for i in range(20)]
     texts += [(400 + i, " ".join([f"u{i}x{j}" for j in range(40)] + passage)) for i in range(40)]
+    for i in range(40):  # around one text, too far from it or from each other to link in part
+        copy = list(base)
+        for j in rng.sample(range(120), rng.randint(4, 12)):
+            copy[j] = f"d{i}x{j}"
+        texts.append((500 + i, " ".join(copy)))
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     got = as_bag(jaccard_join.jaccard_components(docs), "doc_id", "n_shingles", "component_id")
     assert got == rows(brute.jaccard(texts))
@@ -147,9 +152,11 @@ def test_prefixes_share_enough():
         both = len(np.intersect1d(own, other))
         if 4 * both < 3 * (len(own) + len(other) - both):
             continue
-        (p, a), (q, b) = (jaccard_join.prefix(x, sketch, 250.0) for x in (own, other))
+        (p, _, a), (q, _, b) = (jaccard_join.prefix(x, sketch, 250.0) for x in (own, other))
         seen |= {a, b}
-        assert len(np.intersect1d(p, q)) >= min(a, b)
+        least, overlap = min(a, b), -(-3 * (len(own) + len(other)) // 7)
+        _, at, to = np.intersect1d(p, q, return_indices=True)
+        assert ((at <= len(own) - overlap + least - 1) & (to <= len(other) - overlap + least - 1)).sum() >= least
     assert len(seen) > 1
 
 
