@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pedalgrid.constants import EARTH_RADIUS_KM, MOVE_METERS, RANGE_METERS, STATE_FIELDS
-from pedalgrid.functions.geo import haversine
+from pedalgrid.constants import MOVE_METERS, RANGE_METERS, STATE_FIELDS
+from pedalgrid.functions import drift
 from pedalgrid.functions.ordered import sliced_lag, time_slices
 from pedalgrid.functions.picking import latest_per
-from pedalgrid.functions.vehicles import differs
 from pedalgrid.session import cut_lineage, shuffle_width
 
-EARTH_METERS = EARTH_RADIUS_KM * 1000
-
 
 def cdc_flags(
     series: DataFrame,
@@ -118,20 +115,36 @@ def vehicle_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def _kept_after_anchor(batches: Iterator[pd.DataFrame], move: float, span: int):
-    """Rows sorted by (bike_id, run, time): keep a run's first row, then whatever differs
-    enough from the last kept one. Only that anchor outlives a batch."""
-    run, anchor = None, None
-    for rows in batches:
-        keep = []
-        for r in rows.itertuples(index=False):
-            here = (r.bike_id, r.run)
-            if here != run or differs(anchor, r, move, span):
-                run, anchor = here, r
-                keep.append(True)
-            else:
-                keep.append(False)
-        yield rows.loc[keep, VEHICLE]
+def _speculated(batches: Iterator[pd.DataFrame], move: float, span: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (bike_id, slice, time). Of each piece the rows that it keeps for any first kept row; ``of``
+    lists those first rows by number, ``entry`` is a first row's own number, ``last_*`` its history's last row."""
+    for piece in drift.pieces(batches, ["bike_id", "slice"]):
+        rows = [piece[c].to_numpy() for c in drift.PLACE]
+        before = None if piece["begins"].iloc[0] else [piece[f"before_{c}"].iloc[0] for c in drift.PLACE]
+        first = drift.zone(before, rows, move, span)
+        kept, last = drift.histories(rows, first, move, span)
+        out = piece.iloc[list(kept)][[*VEHICLE, "slice"]].copy()
+        out["entry"] = [i if i < first else None for i in kept]
+        out["entry"] = out["entry"].astype("Int32")
+        out["of"] = list(kept.values())
+        ends = [last[i] if i < first else i for i in kept]
+        for c, column in zip(drift.PLACE, rows, strict=True):
+            out[f"last_{c}"] = column[ends]
+        yield out
+
+
+def _composed(batches: Iterator[pd.DataFrame], move: float, span: int) -> Iterator[pd.DataFrame]:
+    """Possible first rows sorted by (bike_id, slice, entry): those that are the right ones, piece by piece."""
+    bike, anchor = None, None
+    for piece in drift.pieces(batches, ["bike_id", "slice"]):
+        if piece["bike_id"].iloc[0] != bike:
+            bike, anchor = piece["bike_id"].iloc[0], None
+        rows = [piece[c].to_numpy() for c in drift.PLACE]
+        hit = np.array([True]) if anchor is None else drift.far(anchor, rows, move, span)
+        if hit.any():
+            i = int(hit.argmax())
+            anchor = [piece[f"last_{c}"].iloc[i] for c in drift.PLACE]
+            yield piece.iloc[i : i + 1][["bike_id", "slice", "entry"]]
 
 
 def cdc_threshold(
@@ -139,46 +152,40 @@ def cdc_threshold(
 ) -> DataFrame:
     """Vehicle rows that moved, changed range or changed a flag since the last kept row.
 
-    The rule looks at the last *kept* row, so slow drift adds up and no window can tell.
-    But some rows are kept whatever came before: a changed flag, or a jump of twice a
-    tolerance from the row just before. A vehicle's history is cut into runs that begin at
-    such rows, about one per time range, and the runs are worked off independently.
-    Repeats of the row before are never kept and go first. The limit: a vehicle that drifts slowly for
-    its whole history has no such row and is one run in one task, as the rule is sequential.
+    The rule looks at the last *kept* row, so slow drift adds up and no window can tell. A vehicle's
+    history is cut into pieces, one per time range, that are worked off independently for every row
+    that may be the first kept one (:mod:`pedalgrid.functions.drift`); only the maps from first to last
+    kept rows are gone through in order, a few rows per piece. So a vehicle that drifts for its whole
+    history is spread like any other. Repeats of the row before are never kept and go first.
     """
     cut = time_slices(vehicles, "observed_at")
-    fields = ["lat", "lon", "range_m", "is_disabled", "is_reserved"]
+    fields = drift.PLACE
     steps = sliced_lag(vehicles, ["bike_id"], "observed_at", fields, slice_col=cut)
-    p = F.col("prev")
-    jump = haversine(p["lat"], p["lon"], F.col("lat"), F.col("lon"), EARTH_METERS)
-    certain = (
-        p.isNull()
-        | (p["is_disabled"] != F.col("is_disabled"))
-        | (p["is_reserved"] != F.col("is_reserved"))
-        | (F.abs(p["range_m"] - F.col("range_m")) >= 2 * range_m)
-        | (jump >= 2 * move_m + 0.001)
-    )
-    fresh = cut_lineage(
-        steps.withColumns({"certain": certain, "slice": cut})
-        .filter(~p.eqNullSafe(F.struct(*fields)))
-        .drop("prev"),
-        "fresh",
+    before = [F.col(f"prev.{c}").alias(f"before_{c}") for c in fields]
+    fresh = steps.filter(~F.col("prev").eqNullSafe(F.struct(*fields))).select(
+        *VEHICLE, cut.alias("slice"), F.col("prev").isNull().alias("begins"), *before
     )
-    earlier = W.partitionBy("bike_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = fresh.groupBy("bike_id", "slice").agg(
-        F.min(F.when(F.col("certain"), F.col("observed_at"))).alias("first")
-    )
-    starts = starts.withColumn(
-        "open",
-        F.last(F.when(F.col("first").isNotNull(), F.col("slice")), ignorenulls=True).over(earlier),
+    width = shuffle_width(vehicles.sparkSession)
+    types = dict(vehicles.dtypes)
+    columns = ", ".join(f"{c} {types[c]}" for c in VEHICLE)
+    lasts = ", ".join(f"last_{c} {types[c]}" for c in fields)
+    speculated = cut_lineage(
+        fresh.repartition(width, "bike_id", "slice")
+        .sortWithinPartitions("bike_id", "slice", "observed_at")
+        .mapInPandas(
+            lambda batches: _speculated(batches, move_m, range_m),
+            f"{columns}, slice int, entry int, of array<int>, {lasts}",
+        ),
+        "speculated",
     )
-    starts = starts.repartition(shuffle_width(vehicles.sparkSession), "bike_id", "slice")
-    own = F.when(F.col("observed_at") >= F.col("first"), F.col("slice")).otherwise(F.col("open"))
-    runs = fresh.join(starts, ["bike_id", "slice"]).select(*VEHICLE, own.alias("run"))
-    return (
-        runs.repartition(shuffle_width(vehicles.sparkSession), "bike_id", "run")
-        .sortWithinPartitions("bike_id", "run", "observed_at")
+    right = (
+        speculated.filter("entry IS NOT NULL")
+        .drop("of", "observed_at")
+        .repartition(width, "bike_id")
+        .sortWithinPartitions("bike_id", "slice", "entry")
         .mapInPandas(
-            lambda batches: _kept_after_anchor(batches, move_m, range_m), vehicles.schema
+            lambda batches: _composed(batches, move_m, range_m), f"bike_id {types['bike_id']}, slice int, entry int"
         )
     )
+    known = speculated.drop("entry").join(right, ["bike_id", "slice"])
+    return known.filter(F.array_contains("of", F.col("entry"))).select(*VEHICLE)

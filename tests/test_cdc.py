@@ -4,11 +4,15 @@ import json
 import random
 from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from helpers import at, minute_of
 from pyspark.sql import functions as F
 
-from pedalgrid.constants import STATE_FIELDS
+from pedalgrid.constants import MOVE_METERS, RANGE_METERS, STATE_FIELDS
+from pedalgrid.functions import drift
+from pedalgrid.functions.ordered import time_slices
 from pedalgrid.functions.vehicles import differs
 from pedalgrid.operators import cdc
 from pedalgrid.session import fresh_path
@@ -121,6 +125,57 @@ def test_slow_drift_is_emitted(spark):
     assert [minute_of(r.observed_at) for r in got] == [0, 3, 6, 9]
 
 
+def drifting(seed, n):
+    """One vehicle that drifts for ever; no row is kept whatever came before it."""
+    rnd = random.Random(seed)
+    lat, reach, rows = 37.7, 90000, []
+    for i in range(n):
+        lat += rnd.choice([1e-4, 1e-4, 0.9e-4, 0, -1e-4] if seed else [1e-4])
+        reach -= rnd.choice([0, 0, 40])
+        rows.append(("v", at(i), lat, -122.4, reach, 0, 0))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_endless_drift_equals_the_loop_and_is_spread(spark, seed):
+    """Seed 0 keeps every third row: histories from different first rows never meet."""
+    rows = drifting(seed, 3000)
+    df = spark.createDataFrame(rows, VEHICLES)
+    got = cdc.cdc_threshold(df)
+    assert sorted((r.bike_id, minute_of(r.observed_at)) for r in got.collect()) == loop(rows)
+    slices = df.select(time_slices(df, "observed_at").alias("s")).groupBy("s").count().collect()
+    assert len(slices) == 8 and max(r["count"] for r in slices) < 500
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(bike_id" in plan
+
+
+def test_histories_for_all_first_rows():
+    """Each speculated history is what the loop keeps when it begins there."""
+    rnd = random.Random(5)
+    for _ in range(30):
+        n = rnd.randint(1, 60)
+        lat = np.cumsum([rnd.choice([0, 1e-4, -1e-4, 5e-4]) for _ in range(n)]) + 37.7
+        reach = np.array([rnd.randrange(0, 900) for _ in range(n)])
+        flag = np.array([int(rnd.random() < 0.05) for _ in range(n)])
+        rows = [lat, np.full(n, -122.4), reach, flag, np.zeros(n, int)]
+        first = rnd.randint(1, n)
+        kept, last = drift.histories(rows, first, MOVE_METERS, RANGE_METERS)
+        for start in range(first):
+            want = [start]
+            for i in range(start + 1, n):
+                if drift.far([c[want[-1]] for c in rows], [c[i : i + 1] for c in rows])[0]:
+                    want.append(i)
+            assert sorted(i for i, of in kept.items() if start in of) == want
+            assert last[start] == want[-1]
+
+
+def test_pieces_over_batches():
+    frame = pd.DataFrame({"k": [1, 1, 1, 2, 3, 3], "s": [0, 0, 1, 1, 1, 1], "v": range(6)})
+    for size in (1, 2, 3, 6):
+        batches = [frame.iloc[i : i + size] for i in range(0, 6, size)]
+        assert [p["v"].tolist() for p in drift.pieces(iter(batches), ["k", "s"])] == [[0, 1], [2], [3], [4, 5]]
+
+
 def test_vehicle_rows_need_id_and_position(spark):
     raw = spark.createDataFrame(
         [("a", at(0), 1.0, 2.0, None, None, 1), ("", at(0), 1.0, 2.0, 5.9, 0, 0), (None, at(0), 1.0, 2.0, 5.0, 0, 0),
