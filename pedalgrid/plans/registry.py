@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ from pedalgrid.streaming import jobs, keyed
 QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {}
 
 MIDDLE = "2024-01-16"
-MICRO_BATCH_ROWS = 5_000_000
+MICRO_BATCH_ROWS, MICRO_BATCH_FILES = 5_000_000, 256
+AFTER_ALL = datetime(2100, 1, 1, tzinfo=timezone.utc)
 
 
 def query(fn: Callable[[Fleet], DataFrame]) -> Callable[[Fleet], DataFrame]:
@@ -229,17 +231,21 @@ def cdc_incremental(f: Fleet) -> DataFrame:
     return cdc.cdc_incremental(snapshot, known)
 
 
-def _in_time_order(f: Fleet, rows: DataFrame, time_col: str, label: str, capture) -> DataFrame:
-    """Run a streaming job over ``rows`` in time order, a bounded slice per micro-batch."""
+def _as_it_comes(f: Fleet, rows: DataFrame, key: str, time_col: str, label: str, capture) -> DataFrame:
+    """Run a streaming job over ``rows`` as files in no order; a heartbeat at the end releases the last rows.
+
+    The delay is that of a feed whose disorder is its whole length.
+    """
     feed = fresh_path(f.spark, f"{label}-feed")
-    jobs.feed_in_order(rows, time_col, feed, MICRO_BATCH_ROWS)
-    stream = f.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-    return jobs.run_available(capture(stream.parquet(feed)), label)
+    rows.write.parquet(feed)
+    keyed.heartbeat(rows, key, time_col, AFTER_ALL).write.mode("append").parquet(feed)
+    stream = f.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", MICRO_BATCH_FILES)
+    return jobs.run_available(capture(stream.parquet(feed), delay="40 days"), label)
 
 
 @query
 def cdc_stream(f: Fleet) -> DataFrame:
-    return _in_time_order(f, f.series.select(*KEPT), "polled_at", "cdc", keyed.cdc_stream)
+    return _as_it_comes(f, f.series.select(*KEPT), "station_id", "polled_at", "cdc", keyed.cdc_stream)
 
 
 @query
@@ -249,7 +255,7 @@ def cdc_threshold(f: Fleet) -> DataFrame:
 
 @query
 def cdc_threshold_stream(f: Fleet) -> DataFrame:
-    return _in_time_order(f, f.vehicles, "observed_at", "vehicles", keyed.vehicle_stream)
+    return _as_it_comes(f, f.vehicles, "bike_id", "observed_at", "vehicles", keyed.vehicle_stream)
 
 
 @query

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Partition column of tables stored by month.
 MONTH = "_month"
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _own_dirs: dict[str, str] = {}
 _made_paths: dict[str, list[str]] = {}
 _made_tables: dict[str, list[str]] = {}
@@ -21,11 +23,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
     Stored instants are UTC, so the session clock must be too. The stored grid is bucketed
     by station and sorted: a join on (station, bucket) or (station, daytype, hour) may reuse
-    that partitioning, and a window in time order need not sort again.
+    that partitioning, and a window in time order need not sort again. Streams with several state
+    variables and timers per key need the state store in RocksDB.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 

@@ -1,97 +1,180 @@
-"""Change capture on endless input: keyed state instead of a window over history."""
+"""Change capture on endless input: keyed state instead of a window over history.
+
+Rows may arrive in any order within the watermark, and more than once. A key's rows wait in list state until the
+watermark passes them; an event-time timer then releases them in the order of their times, so what is kept is
+what the batch operators keep. A row older than the watermark, or not newer than the last released one of its
+key, changes nothing. A key's state is bounded by the rows that one watermark delay brings, and its last state.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from types import SimpleNamespace
+from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from pedalgrid.constants import MOVE_METERS, RANGE_METERS, STATE_FIELDS
-from pedalgrid.functions.vehicles import differs
-
-
-def _in_time(batches: Iterator[pd.DataFrame], time_col: str) -> pd.DataFrame:
-    """One key's rows of one micro-batch; the source's trigger limit bounds them."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(time_col, kind="stable")
+from pedalgrid.functions import drift
+
+#: A key that stands for no station or vehicle: its rows only move the watermark on.
+HEARTBEAT = "\x00heartbeat"
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(chunk: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(chunk).read_all().to_pandas()
+
+
+def _millis(time: pd.Timestamp) -> int:
+    """The first millisecond not before a time of the UTC session clock."""
+    return -(-int(time.tz_localize("UTC").value) // 1_000_000)
+
+
+class InOrder(StatefulProcessor):
+    """Releases a key's rows in time order and yields those that :meth:`kept` picks."""
+
+    #: Columns of the last state, beside the time of the last released row.
+    state = ""
+
+    def __init__(self, time_col: str):
+        self.time_col = time_col
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.last = handle.getValueState("last", f"at timestamp, {self.state}")
+
+    def kept(self, rows: pd.DataFrame, last: tuple | None) -> tuple[np.ndarray, tuple]:
+        """Which of ``rows`` to keep, and the state after them."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows), ignore_index=True)  # one key's rows of one micro-batch
+        if key[0] != HEARTBEAT:
+            self.waiting.appendValue((_packed(new),))
+            self._wake(new[self.time_col].min())
+        return iter(())
+
+    def _wake(self, time: pd.Timestamp) -> None:
+        """Have one timer, at the earliest row that waits."""
+        due, known = _millis(time), list(self.handle.listTimers())
+        if not known or due < min(known):
+            for t in known:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = timerValues.getCurrentWatermarkInMs()
+        rows = pd.concat([_unpacked(r[0]) for r in self.waiting.get()], ignore_index=True)
+        ready = rows[self.time_col].map(_millis) <= until
+        later = rows[~ready]
+        self.waiting.clear()
+        if len(later):
+            self.waiting.appendValue((_packed(later),))
+            self.handle.registerTimer(_millis(later[self.time_col].min()))
+        rows = rows[ready].sort_values(self.time_col, kind="stable")
+        rows = rows[~rows[self.time_col].duplicated()]
+        last = None
+        if self.last.exists():
+            at, *last = self.last.get()
+            rows = rows[rows[self.time_col] > pd.Timestamp(at).tz_localize(None)]
+        if len(rows):
+            keep, now = self.kept(rows, last)
+            at = rows[self.time_col].iloc[-1].to_pydatetime()
+            self.last.update((at, *now))
+            yield rows[keep]
+
+    def close(self) -> None:
+        pass
 
 
 def _plain(value):
     return None if pd.isna(value) else int(value)
 
 
+class Changes(InOrder):
+    """Keeps what differs from the row before; unknown equals unknown."""
+
+    def __init__(self, time_col: str, fields: Sequence[str]):
+        super().__init__(time_col)
+        self.fields = list(fields)
+        self.state = ", ".join(f"{f} int" for f in fields)
+
+    def kept(self, rows: pd.DataFrame, last: tuple | None) -> tuple[np.ndarray, tuple]:
+        now = rows[self.fields].astype("Int64")
+        before = now.shift()
+        changed = (~((now == before).fillna(False) | (now.isna() & before.isna())).all(axis=1)).to_numpy()
+        first = [_plain(v) for v in now.iloc[0]]
+        changed[0] = last is None or first != list(last)
+        return changed, tuple(_plain(v) for v in now.iloc[-1])
+
+
+class Moves(InOrder):
+    """Keeps what is far enough from the last kept row."""
+
+    state = "lat double, lon double, range_m int, is_disabled int, is_reserved int"
+
+    def __init__(self, time_col: str, move: float, span: int):
+        super().__init__(time_col)
+        self.move, self.span = move, span
+
+    def kept(self, rows: pd.DataFrame, last: tuple | None) -> tuple[np.ndarray, tuple]:
+        columns = [rows[c].to_numpy() for c in drift.PLACE]
+        keep = np.zeros(len(rows), bool)
+        i = 0
+        if last is not None:  # the anchor goes before the rows
+            columns = [np.concatenate(([a], c)) for a, c in zip(last, columns, strict=True)]
+            i = drift.next_kept(columns, 0, self.move, self.span)
+        while i < len(columns[0]):
+            keep[i - (last is not None)] = True
+            last_at = i
+            i = drift.next_kept(columns, i, self.move, self.span)
+        if not keep.any():
+            return keep, tuple(last)
+        lat, lon, *rest = (c[last_at] for c in columns)
+        return keep, (float(lat), float(lon), *map(int, rest))
+
+
+def _captured(rows: DataFrame, key: str, time_col: str, delay: str, processor: InOrder) -> DataFrame:
+    marked = rows.withWatermark(time_col, delay).groupBy(key)
+    return marked.transformWithStateInPandas(processor, rows.schema, "Append", "EventTime")
+
+
 def cdc_stream(
     rows: DataFrame,
     key: str = "station_id",
     time_col: str = "polled_at",
     fields: Sequence[str] = STATE_FIELDS,
+    delay: str = "1 hour",
 ) -> DataFrame:
-    """Rows whose state differs from the key's row before, across micro-batches.
-
-    A row delivered again, or one older than what was seen, changes nothing.
-    """
-    fields = list(fields)
-    state_type = ", ".join(["at timestamp", *(f"{f} int" for f in fields)])
-
-    def capture(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = _in_time(batches, time_col)
-        again = frame[time_col].duplicated()
-        if state.exists:
-            seen_at, *last = state.get
-            again |= frame[time_col] <= pd.Timestamp(seen_at)
-        frame = frame[~again]
-        now = frame[fields].astype("Int64")
-        before = now.shift()
-        changed = ~((now == before).fillna(False) | (now.isna() & before.isna())).all(axis=1)
-        if len(now):
-            first = tuple(_plain(v) for v in now.iloc[0])
-            changed.iloc[0] = not state.exists or first != tuple(last)
-            state.update((frame[time_col].iloc[-1].to_pydatetime(), *(_plain(v) for v in now.iloc[-1])))
-        yield frame[changed]
-
-    return rows.groupBy(key).applyInPandasWithState(
-        capture, rows.schema, state_type, "append", GroupStateTimeout.NoTimeout
-    )
+    """Rows whose state differs from the key's row before, whatever order they arrive in within ``delay``."""
+    return _captured(rows, key, time_col, delay, Changes(time_col, fields))
 
 
 def vehicle_stream(
-    rows: DataFrame, move_m: float = MOVE_METERS, range_m: int = RANGE_METERS
+    rows: DataFrame, move_m: float = MOVE_METERS, range_m: int = RANGE_METERS, delay: str = "1 hour"
 ) -> DataFrame:
-    """Vehicle rows far enough from the last kept row of the vehicle, across micro-batches.
+    """Vehicle rows far enough from the last kept row of the vehicle, whatever order they arrive in within ``delay``."""
+    return _captured(rows, "bike_id", "observed_at", delay, Moves("observed_at", move_m, range_m))
 
-    A row delivered again, or one older than what was seen, changes nothing.
-    """
-    anchor_fields = ["lat", "lon", "range_m", "is_disabled", "is_reserved"]
-    state_type = (
-        "at timestamp, lat double, lon double, range_m int, is_disabled int, is_reserved int"
-    )
 
-    def capture(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen_at, anchor = None, None
-        if state.exists:
-            at, *last = state.get
-            seen_at, anchor = pd.Timestamp(at), SimpleNamespace(**dict(zip(anchor_fields, last)))
-        frame = _in_time(batches, "observed_at")
-        keep = []
-        for row in frame.itertuples(index=False):
-            late = seen_at is not None and row.observed_at <= seen_at
-            keep.append(not late and differs(anchor, row, move_m, range_m))
-            anchor = row if keep[-1] else anchor
-            seen_at = seen_at if late else row.observed_at
-        state.update(
-            (
-                seen_at.to_pydatetime(),
-                float(anchor.lat),
-                float(anchor.lon),
-                int(anchor.range_m),
-                int(anchor.is_disabled),
-                int(anchor.is_reserved),
-            )
-        )
-        yield frame.loc[keep]
-
-    return rows.groupBy("bike_id").applyInPandasWithState(
-        capture, rows.schema, state_type, "append", GroupStateTimeout.NoTimeout
+def heartbeat(like: DataFrame, key: str, time_col: str, at: datetime) -> DataFrame:
+    """One row with the columns of ``like`` that moves the watermark to ``at`` less the delay and is no station's or vehicle's."""
+    at = at.astimezone(timezone.utc).isoformat()
+    known = {key: F.lit(HEARTBEAT), time_col: F.lit(at).cast("timestamp")}
+    one = like.sparkSession.range(1)
+    return one.select(
+        *(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields)
     )

@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime, timezone
 from types import SimpleNamespace
 
 import numpy as np
@@ -70,10 +71,29 @@ def feed(spark, schema, capture, parts, label):
     return got
 
 
+FAR = datetime(2100, 1, 1, tzinfo=timezone.utc)
+
+
 def test_stream_resumes_and_ignores_redelivery(spark):
     first = series(spark, ROWS[:3] + ROWS[5:6])
     second = series(spark, ROWS[2:5] + ROWS[5:])  # overlaps the first part
-    assert kept(feed(spark, SERIES, keyed.cdc_stream, [first, second], "t-cdc")) == WANT
+    end = keyed.heartbeat(first, "station_id", "polled_at", FAR)
+    assert kept(feed(spark, SERIES, keyed.cdc_stream, [first, second, end], "t-cdc")) == WANT
+
+
+def test_stream_takes_rows_in_any_order_within_the_delay(spark):
+    """Parts hold rows up to an hour apart in any order, some twice; each part is a run of its own from the checkpoint.
+    Nothing is released before the watermark has passed it, and rows beyond the delay change nothing."""
+    rnd = random.Random(4)
+    rows = [(s, m, rnd.choice([1, 1, 2, None])) for s in "AB" for m in range(0, 300, 2)]
+    want = kept(cdc.cdc_batch(series(spark, rows)))
+    late = sorted(rows, key=lambda r: r[1] + rnd.uniform(0, 50))
+    parts = [series(spark, late[i : i + 75] + late[max(0, i - 10) : i]) for i in range(0, 300, 75)]
+    before = kept(feed(spark, SERIES, keyed.cdc_stream, parts, "t-order"))
+    assert 0 < len(before) < len(want) and set(before) < set(want)
+    end = keyed.heartbeat(parts[0], "station_id", "polled_at", FAR)
+    beyond = series(spark, [("A", -500, 9)])
+    assert kept(feed(spark, SERIES, keyed.cdc_stream, [*parts, beyond, end], "t-all")) == want
 
 
 def loop(rows):
@@ -116,6 +136,7 @@ def test_threshold_batch_and_stream_equal_the_loop(spark, seed, share):
     assert pick(cdc.cdc_threshold(df)) == want
     cut = F.col("observed_at") < F.lit(at(700))
     parts = [df.filter(cut), df.filter(~cut).unionByName(df.filter(cut).limit(100))]  # some come twice
+    parts.append(keyed.heartbeat(df, "bike_id", "observed_at", FAR))
     assert pick(feed(spark, VEHICLES, keyed.vehicle_stream, parts, "t-veh")) == want
 
 
@@ -215,9 +236,9 @@ def snapshot(seconds, **bikes):
 def test_snapshot_files_to_change_log(spark, tmp_path):
     out, log = fresh_path(spark, "t-snap-out"), fresh_path(spark, "t-snap-log")
     base = 1_700_000_000
-    polls = [dict(a=3, b=4), dict(a=3, b=5), dict(b=5, c=1), dict(a=2, b=5, c=1)]
+    polls = [dict(a=3, b=4), dict(a=3, b=5), dict(b=5, c=1), dict(a=2, b=5, c=1), {keyed.HEARTBEAT: 0}]
     for i, bikes in enumerate(polls):  # each poll lands, then the job runs once
-        (tmp_path / f"poll{i}.json").write_text(snapshot(base + 120 * i, **bikes) + "\n")
+        (tmp_path / f"poll{i}.json").write_text(snapshot(base + (120 if i < 4 else 7200) * i, **bikes) + "\n")
         rows = files.stream_snapshot_json(spark, str(tmp_path))
         got = jobs.run_available(keyed.cdc_stream(rows, time_col="feed_last_updated"), "t-snap", out, log)
     kept = sorted((r.station_id, r.num_bikes_available) for r in got.collect())
