@@ -30,7 +30,7 @@ from pedalgrid.operators import (
 from pedalgrid.plans.fleet import Fleet, fleet, plain, rounded
 from pedalgrid.session import cut_lineage, fresh_path
 from pedalgrid.sources import files, tables
-from pedalgrid.streaming import jobs, keyed
+from pedalgrid.streaming import jobs, keyed, poll
 
 QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {}
 
@@ -248,6 +248,28 @@ def cdc_stream(f: Fleet) -> DataFrame:
     return _as_it_comes(f, f.series.select(*KEPT), "station_id", "polled_at", "cdc", keyed.cdc_stream)
 
 
+@query
+def poll_job(f: Fleet) -> DataFrame:
+    """The poll log of the poller as one job, run twice: the second run goes on from the first one's state."""
+    return _polled(f).polls()
+
+
+@query
+def poll_job_current(f: Fleet) -> DataFrame:
+    """The current state that the poller's job keeps."""
+    return _polled(f).current()
+
+
+def _polled(f: Fleet) -> poll.PollTables:
+    rows = f.series.select(*KEPT)
+    feed = fresh_path(f.spark, "poll-feed")
+    tables = poll.PollTables(f.spark, fresh_path(f.spark, "poll-tables"), rows.schema)
+    for part in (_before(rows, MIDDLE, "polled_at"), _from(rows, MIDDLE, "polled_at")):
+        part.write.mode("append").parquet(feed)
+        poll.run_polls(f.spark.readStream.schema(rows.schema).parquet(feed), tables)
+    return tables
+
+
 @query
 def cdc_threshold(f: Fleet) -> DataFrame:
     return cdc.cdc_threshold(f.vehicles)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from pedalgrid.constants import BUCKET_MINUTES
 from pedalgrid.functions.ordered import slice_bounds, slice_of
-from pedalgrid.functions.picking import latest_per
 from pedalgrid.session import fresh_path, remove_path, shuffle_width
+from pedalgrid.streaming.keyed_table import KeyedTable
 
 
 def feed_in_order(rows: DataFrame, time_col: str, path: str, batch_rows: int) -> None:
@@ -56,25 +56,22 @@ def run_available(stream: DataFrame, label: str, out: str | None = None, progres
 
 
 def run_upserting(stream: DataFrame, label: str, keys: Sequence[str], order: str, mode: str = "update"):
-    """Process what is there into a keyed table, stop; returns the newest row of every key.
+    """Process what is there into a :class:`KeyedTable`, stop; returns the newest row of every key.
 
     In update mode every change of an aggregate arrives, also of windows the watermark has not
     passed when the input ends: nothing is held back.
     """
     spark = stream.sparkSession
-    folder = fresh_path(spark, label)
+    table = KeyedTable(spark, fresh_path(spark, label), stream.schema, keys, order)
     query = (
-        stream.writeStream.foreachBatch(upsert_sink(folder, keys, order))
+        stream.writeStream.foreachBatch(table.apply)
         .option("checkpointLocation", fresh_path(spark, f"{label}-progress"))
         .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    last = query.lastProgress
-    if last is None:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/v{last['batchId']}")
+    return table.read()
 
 
 def tumbling_counts(
@@ -99,23 +96,3 @@ def first_only(
 ) -> DataFrame:
     """Insert-ignore on a stream: later copies of a key within the watermark are dropped."""
     return rows.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(list(keys))
-
-
-def upsert_sink(folder: str, keys: Sequence[str], order: str):
-    """A ``foreachBatch`` writer that keeps the newest row per key.
-
-    Each micro-batch writes its own version from the one before, so running a batch again
-    gives the same version again. The state of the stream is the version with the
-    greatest number; of the earlier ones only the last is kept.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{folder}/v{batch_id - 1}").unionByName(batch)
-        newest = latest_per(rows, list(keys), order).select(*batch.columns)
-        newest.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
-        remove_path(spark, f"{folder}/v{batch_id - 2}")
-
-    return write

@@ -208,8 +208,8 @@ def test_vehicle_rows_need_id_and_position(spark):
     assert got == [("a", 0, 0, 1), ("c", 5, 0, 0)]
 
 
-def test_stream_insert_ignore_and_upsert(spark):
-    src, out, log, state = (fresh_path(spark, f"t-up-{x}") for x in "abcd")
+def test_stream_insert_ignore(spark):
+    src, out, log = (fresh_path(spark, f"t-up-{x}") for x in "abc")
     schema = "k string, t timestamp, v int"
     rows = [("a", at(0), 1), ("a", at(0), 2), ("b", at(1), 3)]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
@@ -217,13 +217,6 @@ def test_stream_insert_ignore_and_upsert(spark):
     firsts = jobs.run_available(jobs.first_only(stream, ["k", "t"], "t"), "t-first", out, log)
     assert sorted(r.k for r in firsts.collect()) == ["a", "b"]
 
-    write = jobs.upsert_sink(state, ["k"], "t")
-    write(spark.createDataFrame([("a", at(0), 1), ("b", at(1), 2)], schema), 0)
-    for _ in range(2):  # the same batch again changes nothing
-        write(spark.createDataFrame([("a", at(5), 7), ("b", at(0), 9)], schema), 1)
-    got = spark.read.parquet(f"{state}/v1").collect()
-    assert sorted((r.k, r.v) for r in got) == [("a", 7), ("b", 2)]
-
 
 def snapshot(seconds, **bikes):
     stations = [
