@@ -135,8 +135,24 @@ def prefix(own: np.ndarray, sketch: np.ndarray, usual: float) -> tuple[np.ndarra
     return tokens[:end].copy(), often[:end].copy(), shared  # not views, which would keep the whole set
 
 
+def within_reach(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which postings, sorted by token, can be among the first l shared tokens with any other of their list.
+
+    The smaller the other set, the later the place may be: the least size of the list that still fits decides.
+    """
+    if not len(tokens):
+        return np.zeros(0, bool)
+    begins = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    length = np.diff(np.concatenate((begins, [len(tokens)])))
+    n, least = (sizes >> 3).astype(np.int64), (sizes & 7).astype(np.int64)
+    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+    other = np.maximum(np.repeat(np.minimum.reduceat(n, begins), length), -(-n * p // q))
+    overlap = -(-(n + other) * p // (p + q))
+    return np.repeat(length > 1, length) & (places.astype(np.int64) <= n - overlap + least - 1)
+
+
 def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
-    """(token, node, n, l, place) of every prefix token that two nodes or more may hold."""
+    """(token, node, n, l, place, hot) of every prefix token that two nodes or more may hold. Those of hot tokens may repeat."""
     spark = rows.sparkSession
     width = shuffle_width(spark)
     buckets = 8 * width
@@ -184,18 +200,17 @@ def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
         kinds = {"tokens": np.uint64, "nodes": np.int64, "sizes": np.uint32, "places": np.uint32}
         return [np.concatenate([np.frombuffer(x, kind) for x in frame[name]]) for name, kind in kinds.items()]
 
-    def rows_of(tokens, nodes, sizes, places) -> pd.DataFrame:
+    def rows_of(tokens, nodes, sizes, places, hot=False) -> pd.DataFrame:
         sizes = sizes.astype(np.int64)
-        return pd.DataFrame(
-            {"token": tokens.view(np.int64), "node": nodes, "n": sizes >> 3, "l": sizes & 7, "place": places.astype(np.int64)}
-        )
+        columns = {"token": tokens.view(np.int64), "node": nodes, "n": sizes >> 3, "l": sizes & 7, "place": places}
+        return pd.DataFrame(columns).assign(hot=hot)
 
     def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_bucket: dict[int, list] = {}
         for b in batches:
             for bucket, own in b.groupby("bucket"):
                 if bucket < 0:  # hot: known to be shared
-                    yield rows_of(*unpack(own))
+                    yield rows_of(*unpack(own), hot=True)
                 else:
                     by_bucket.setdefault(bucket, []).append(unpack(own))
         for parts in by_bucket.values():
@@ -207,12 +222,15 @@ def postings(rows: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
             columns = [x[new] for x in columns]
             same = columns[0][1:] == columns[0][:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            yield rows_of(*(x[keep] for x in columns))
+            columns = [x[keep] for x in columns]
+            for _ in range(2):  # a posting out of reach may leave others alone with their token
+                columns = [x[within_reach(*columns)] for x in columns]
+            yield rows_of(*columns)
 
     packed = rows.select("text").mapInPandas(pack, "bucket long, tokens binary, nodes binary, sizes binary, places binary")
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("nodes", "bucket"), F.lit(buckets)))
     spread = packed.repartition(width, dealt)
-    return spread.mapInPandas(several, "token long, node long, n long, l long, place long")
+    return spread.mapInPandas(several, "token long, node long, n int, l int, place int, hot boolean")
 
 
 def fits(n: str, m: str) -> Column:
@@ -292,21 +310,16 @@ def _with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
-    """Lists that hold more than one component."""
-    several = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    return lists.join(several.select("token"), "token")
-
-
-def _largest(lists: DataFrame) -> DataFrame:
-    """(token, top): the component with most nodes in a list."""
+    """Lists that hold more than one component, with ``top``, the one with most nodes in the list."""
     counts = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    return counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
+    several = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
+    return lists.join(several.filter("k > 1").drop("k"), "token")
 
 
 def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """For each node of the lists its most frequent leader of another component: one per list and size."""
     sized = lists.withColumn("band", F.floor(F.log(4 / 3, F.col("n")) + F.lit(turn / 4)))
-    may_lead = sized.join(_largest(sized), "token").filter("comp <> top") if turn else sized
+    may_lead = sized.filter("comp <> top") if turn else sized
     leaders = may_lead.groupBy("token", "band").agg(
         F.max_by(
             F.struct("node", "comp", "n", "l", "place"), F.struct("weight", F.xxhash64(F.lit(turn), "comp", "node"))
@@ -325,8 +338,7 @@ def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
 
 def rest_pairs(lists: DataFrame) -> DataFrame:
     """(a, b) of different components that share enough prefix tokens."""
-    marked = lists.join(_largest(lists), "token")
-    inside, others = marked.filter("comp = top").drop("top"), marked.filter("comp <> top").drop("top")
+    inside, others = lists.filter("comp = top"), lists.filter("comp <> top")
     columns = ("node", "n", "l", "comp", "place")
     left = others.select("token", *(F.col(c).alias(f"{c}1") for c in columns))
     both = inside.withColumn("inside", F.lit(True)).unionByName(others.withColumn("inside", F.lit(False)))
@@ -357,7 +369,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
         seed += 1  # two sets with one 64-bit name: take other names
     sketch = frequencies(signed.filter("piece >= 0").select("piece", "counts"))
-    lists = cut_lineage(postings(rows, sketch, seed).distinct(), "postings")
+    posted = cut_lineage(postings(rows, sketch, seed), "postings")
+    lists = posted.filter("NOT hot").unionAll(posted.filter("hot").distinct()).drop("hot")
     known = texts.filter("n > 0").select("k1", "k2", "node")
     labels: DataFrame | None = None
 

@@ -160,6 +160,21 @@ def test_prefixes_share_enough():
     assert len(seen) > 1
 
 
+def test_within_reach_loses_no_link():
+    """Of all lists of some sets: a posting that may count towards a link of similar sizes stays."""
+    rng = np.random.default_rng(6)
+    tokens = np.sort(rng.integers(0, 40, 300)).astype(np.uint64)
+    n, least, places = rng.integers(10, 40, 300), rng.integers(1, 5, 300), rng.integers(0, 12, 300)
+    stays = jaccard_join.within_reach(tokens, np.arange(300), (n << 3 | least).astype(np.uint32), places)
+    for i in range(300):
+        for j in np.flatnonzero(tokens == tokens[i]):
+            if i != j and 4 * min(n[i], n[j]) >= 3 * max(n[i], n[j]):
+                reach = min(least[i], least[j]) - 1 - -(-3 * (n[i] + n[j]) // 7)
+                if places[i] <= n[i] + reach and places[j] <= n[j] + reach:
+                    assert stays[i]
+    assert not stays.all()
+
+
 def test_drop_near_copies(edge_docs, collected):
     out = jaccard_join.drop_near_copies(edge_docs)
     assert out.columns == edge_docs.columns
