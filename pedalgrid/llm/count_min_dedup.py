@@ -2,9 +2,9 @@
 
 1. *Sketch.* Every window of ``width`` words is known by the least hash of its word n-grams of half that length: equal
    windows have equal ones, and neighbouring windows mostly share theirs, so a text of many windows counts few
-   things. Each task counts them, once per document, in a count-min sketch; the sketches are merged
-   by adding. What the merged sketch says of a window is never less than the number of documents with it.
-2. *Groups.* Windows estimated to be in two documents or more are grouped exactly, by 128 bits of hash. All others
+   things. Each task counts them, once per document, in a count-min sketch whose cells stop at two; the sketches are
+   merged by adding. A window of two documents or more never counts less than two.
+2. *Groups.* Windows estimated to be in two documents or more are grouped exactly, by 96 bits of hash. All others
    are in one document only and are never shuffled. A window group's first document is found by partial
    aggregates; the windows of later documents meet it in a join that adaptive execution can split.
 
@@ -34,7 +34,7 @@ from pedalgrid.session import cut_lineage
 
 WIDTH = 50
 #: Rows of the sketch, its most cells in a row, and the cells that are merged as one piece.
-ROWS, MOST_CELLS, PIECE = 4, 1 << 24, 1 << 16
+ROWS, MOST_CELLS, PIECE = 4, 1 << 25, 1 << 17
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(BLANKS.encode())] = True
@@ -100,10 +100,10 @@ def sketch_width(n_bytes: int, width: int = WIDTH) -> int:
 
 
 def merged_sketch(rows: DataFrame, cells: int, width: int = WIDTH) -> np.ndarray:
-    """Bits of all cells that count two documents or more."""
+    """Bits of all cells that count two documents or more. A cell counts to two, in two bits."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(ROWS * cells, np.uint8)
+        once, twice = np.zeros(ROWS * cells // 8, np.uint8), np.zeros(ROWS * cells // 8, np.uint8)
         for b in batches:
             texts = b["text"].tolist()
             for a, z in text_groups(texts):
@@ -116,22 +116,29 @@ def merged_sketch(rows: DataFrame, cells: int, width: int = WIDTH) -> np.ndarray
                 name, text = name[new], text[new]
                 order = np.lexsort((name, text))
                 name, text = name[order], text[order]
-                once = np.concatenate(([True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])))
-                hit, times = np.unique(_cells(name[once], cells), return_counts=True)
-                sketch[hit] = np.minimum(sketch[hit] + times, 255)
-        parts = sketch.reshape(-1, PIECE)
-        used = np.flatnonzero(parts.any(axis=1))
+                first = np.concatenate(([True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])))
+                hit, times = np.unique(_cells(name[first], cells), return_counts=True)
+                byte, bit = hit >> 3, np.uint8(128) >> (hit & 7).astype(np.uint8)
+                more = ((once[byte] & bit) != 0) | (times > 1)
+                np.bitwise_or.at(twice, byte[more], bit[more])
+                np.bitwise_or.at(once, byte, bit)
+        once, twice = once.reshape(-1, PIECE // 8), twice.reshape(-1, PIECE // 8)
+        used = np.flatnonzero(once.any(axis=1))
         for i in range(0, len(used), 64):
             some = used[i : i + 64]
-            yield pd.DataFrame({"piece": some, "counts": [zlib.compress(parts[p].tobytes(), 1) for p in some]})
+            packed = [zlib.compress(once[p].tobytes() + twice[p].tobytes(), 1) for p in some]
+            yield pd.DataFrame({"piece": some, "counts": packed})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, tuple] = {}
         for b in batches:
             for p, c in zip(b["piece"], b["counts"], strict=True):
-                own = np.frombuffer(zlib.decompress(c), np.uint8)
-                total[p] = own if p not in total else np.minimum(total[p].astype(np.uint16) + own, 255).astype(np.uint8)
-        yield pd.DataFrame({"piece": list(total), "counts": [np.packbits(c >= 2).tobytes() for c in total.values()]})
+                once, twice = np.frombuffer(zlib.decompress(c), np.uint8).reshape(2, -1)
+                if p in total:
+                    known = total[p]
+                    once, twice = known[0] | once, known[1] | twice | (known[0] & once)
+                total[p] = once, twice
+        yield pd.DataFrame({"piece": list(total), "counts": [twice.tobytes() for _, twice in total.values()]})
 
     schema = "piece int, counts binary"
     merged = rows.select("text").mapInPandas(count, schema).repartition("piece").mapInPandas(add, schema)
@@ -162,13 +169,13 @@ def repeated_windows(rows: DataFrame, bits: np.ndarray, width: int = WIDTH) -> D
                 several = ((known[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).all(axis=0)
                 keep = several[np.cumsum(new) - 1]
                 text, at = text[keep], at[keep]
-                out = pd.DataFrame({"h1": words.hashes(at, width).view(np.int64), "h2": words.hashes(at, width, 1).view(np.int64)})
+                out = pd.DataFrame({"h1": words.hashes(at, width).view(np.int64), "h2": words.hashes(at, width, 1).astype(np.uint32).view(np.int32)})
                 for c in kept:
                     out[c] = b[c].to_numpy()[a:z][text]
                 out["pos"] = (at - words.begin[text]).astype(np.int32)
                 yield out
 
-    schema = f"h1 long, h2 long, no_id boolean, doc_id {dict(rows.dtypes)['doc_id']}, k1 long, k2 long, pos int"
+    schema = f"h1 long, h2 int, no_id boolean, doc_id {dict(rows.dtypes)['doc_id']}, k1 long, k2 long, pos int"
     return rows.select(*kept, "text").mapInPandas(run, schema)
 
 

@@ -151,7 +151,7 @@ def test_windows(edge_docs, collected, as_bag):
 @pytest.mark.parametrize("width", [1, 2, 7])
 def test_short_windows(spark, as_bag, width, monkeypatch):
     """Few different words: many windows repeat, in one document and over several; a crowded sketch."""
-    monkeypatch.setattr(count_min_dedup, "MOST_CELLS", 1 << 16)
+    monkeypatch.setattr(count_min_dedup, "MOST_CELLS", 1 << 17)
     rng = random.Random(width)
     made = [(i % 25 if i % 11 else None, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))) for i in range(60)]
     docs = spark.createDataFrame(made, "doc_id long, text string")
@@ -169,7 +169,7 @@ def test_sketch_never_underestimates(spark):
     shared = " ".join(str(rng.random()) for _ in range(60))
     made = [(i, f"{' '.join(str(rng.random()) for _ in range(80))} {shared if i < 2 else ''}") for i in range(50)]
     docs = count_min_dedup.text_rows(spark.createDataFrame(made, "doc_id long, text string")).selectExpr("*", "false AS no_id")
-    bits = count_min_dedup.merged_sketch(docs, 1 << 16)
+    bits = count_min_dedup.merged_sketch(docs, 1 << 17)
     passed = count_min_dedup.repeated_windows(docs, bits).groupBy("h1").count().filter("count = 2").count()
     assert passed == 11
 
