@@ -260,10 +260,8 @@ risks AS (
     {ERROR} / {tests} / (SELECT count(DISTINCT stratum) FROM tests) AS level
   FROM tests WHERE k < n * {loss}),
 chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM risks WHERE risk <= level GROUP BY ALL),
-own AS (SELECT DISTINCT stratum FROM chosen),
 failed AS (
-  SELECT DISTINCT doc_id FROM measured m JOIN chosen c
-    ON c.rule = m.rule AND c.stratum = CASE WHEN m.stratum IN (FROM own) THEN m.stratum ELSE '{POOLED}' END
+  SELECT DISTINCT doc_id FROM measured m JOIN chosen c ON c.rule = m.rule AND c.stratum = m.stratum
   WHERE value > cutoff)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (FROM failed) AS kept

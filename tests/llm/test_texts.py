@@ -5,6 +5,8 @@ import random
 import zlib
 
 import brute
+import compare
+import duckdb
 import numpy as np
 import pytest
 
@@ -212,6 +214,28 @@ def test_contamination_recall(spark, sample, sf_dir, as_bag):
     assert as_bag(found, "doc_id", "item_id", "n_item", "n_shared") == rows(want)
 
 
+def test_minhash_search_finds_items_of_all_sizes(spark):
+    """Items of 1 to 100 shingles, three quarters of each or all, at the start, in the middle and at the end of long
+    documents: the size classes alone find nine in ten of every size, together with the exact rest all."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    items, docs = [], []
+    for n in (1, 2, 3, 5, 17, 100):
+        for i in range(30):
+            own = [word() for _ in range(n + 4)]
+            items.append((f"{n}-{i}", " ".join(own)))
+            part = own[: n + 4 - n // 4] if i % 2 else own
+            before = [0, 500, 1000][i % 3]
+            text = [word() for _ in range(before)] + part + [word() for _ in range(1000 - before)]
+            docs.append((len(docs), " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, t[0]) for i, t in enumerate(items)}
+    for n in (1, 2, 3, 5, 17, 100):
+        by_size = [r["by_minhash"] for r in found if r["item_id"].startswith(f"{n}-")]
+        assert len(by_size) == 30 and sum(by_size) >= 27
+
+
 def test_contamination_short_items_in_long_documents(spark, as_bag):
     """Items of 5 to 17 words, whole, or in pieces far apart with one shingle in four lost, in documents of 3,000 words."""
     rng = random.Random(12)
@@ -372,3 +396,23 @@ def test_empty_tables(no_docs, no_labels, spark):
     assert quality_rules.quality_digests(no_docs, no_labels).count() == 0
     assert license_scan.license_scan(no_docs).count() == 0
     assert decontaminate.contamination(no_docs, items).count() == 0
+
+
+def test_quality_twin_where_strata_differ(spark, tmp_path):
+    """Null languages have cutoffs of their own, another language has too few labels for any: its documents stay."""
+    plain_words = " ".join(f"w{i}" for i in range(60))
+    many_symbols = " ".join(f"#{i}" for i in range(60))
+    made = [(i, plain_words + str(i), None, "s", 1) for i in range(2500)]
+    made += [(3000 + i, many_symbols + str(i), None, "s", 1) for i in range(3)]
+    made += [(4000 + i, many_symbols + str(i), "de", "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = docs.filter("doc_id < 3000 OR doc_id >= 4000").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    found = quality_rules.quality_digests(docs, labels)
+    kept = {r["doc_id"]: r["kept"] for r in found.collect()}
+    assert not any(kept[3000 + i] for i in range(3)) and all(kept[4000 + i] for i in range(30))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert compare.difference(found, con, quality_rules.SQL) is None
