@@ -30,7 +30,17 @@ def replace_dimension(df: DataFrame, path: str) -> DataFrame:
     return materialize(df, path)
 
 
-def load_months(rows: DataFrame, path: str) -> int:
+def sized(rows: DataFrame, folder: str, *order: str) -> DataFrame:
+    """Rows dealt for a write partitioned by ``folder``: files of about the advisory partition size of adaptive
+    execution (spark.sql.adaptive.advisoryPartitionSizeInBytes), as many as a folder needs, one if it is small.
+
+    Within a file rows follow ``order``, so a filter on it skips row groups.
+    """
+    known = [c for c in order if c in rows.columns]
+    return rows.hint("rebalance", F.col(folder)).sortWithinPartitions(folder, *known)
+
+
+def load_months(rows: DataFrame, path: str, time_col: str = "started_at") -> int:
     """Add the months of ``rows`` that the table at ``path`` does not hold yet, in one write.
 
     A month is one directory ``source_month=<month>`` that appears as a whole when the write commits,
@@ -43,9 +53,9 @@ def load_months(rows: DataFrame, path: str) -> int:
         new = rows.join(F.broadcast(there), "source_month", "left_anti")  # a row per month
     count = new.select("source_month").distinct().count()
     if count:
-        parts = new.repartition("source_month", F.pmod(F.hash(*new.columns), F.lit(8)))
         (
-            parts.write.mode("overwrite")
+            sized(new, "source_month", time_col)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("source_month")
             .parquet(path)
@@ -94,7 +104,8 @@ def mirror_incremental(
                 fresh = source.filter(F.col(time_col) > mark).join(recent.select(*keys), list(keys), "left_anti")
             else:
                 fresh = source.filter(F.col(time_col) > mark)
-    fresh.withColumn("day", F.to_date(time_col)).write.mode("append").partitionBy("day").parquet(path)
+    dated = sized(fresh.withColumn("day", F.to_date(time_col)), "day", time_col)
+    dated.write.mode("append").partitionBy("day").parquet(path)
     whole = StructType([*source.schema.fields, StructField("day", DateType())])
     return spark.read.schema(whole).parquet(path).drop("day")
 
@@ -197,7 +208,7 @@ class NotMirrored(ValueError):
 def write_days(log: DataFrame, path: str, time_col: str) -> DataFrame:
     """Store a log with one directory per UTC day."""
     dated = log.withColumn("day", F.to_date(time_col))
-    dated.repartition("day", F.pmod(F.xxhash64(time_col), F.lit(8))).write.partitionBy("day").parquet(path)
+    sized(dated, "day", time_col).write.partitionBy("day").parquet(path)
     return read_days(log.sparkSession, path)
 
 
@@ -220,9 +231,9 @@ def retention_run(
     if newest is None:
         return log
     cutoff = F.timestamp_micros(F.lit(newest - keep_days * 86_400_000_000))
-    days = log.select("day").distinct().filter(F.col("day") <= F.to_date(cutoff))
-    for day in sorted(str(r["day"]) for r in days.collect()):  # directories of the deleted span
-        whole = spark.range(1).select(F.date_add(F.lit(day).cast("date"), 1).cast("timestamp") <= cutoff).first()[0]
+    whole_day = (F.date_add("day", 1).cast("timestamp") <= cutoff).alias("whole")
+    days = log.select("day").distinct().filter(F.col("day") <= F.to_date(cutoff)).select("day", whole_day)
+    for day, whole in sorted((str(r["day"]), r["whole"]) for r in days.collect()):  # directories of the deleted span
         target = f"{path}/day={day}"
         if whole:
             remove_path(spark, target)

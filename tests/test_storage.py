@@ -52,3 +52,32 @@ def test_close_removes_what_was_stored(spark, tmp_path):
     assert f.grid.count() > 0
     assert close(spark) > 0
     assert fleet(spark, "/root/testdata/sf0.001").grid.count() > 0
+
+
+def file_sizes(spark, path, folder):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getLen() for f in store.listStatus(target) if f.getPath().getName().endswith(".parquet")]
+
+
+def test_files_follow_the_size_of_a_month(spark):
+    """A month of many times the advisory size is written by many tasks, a small one into one file; sorted by time."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "64k")
+    try:
+        many = spark.range(0, 100_000, 1, 100).select(
+            F.sha2(F.col("id").cast("string"), 256).alias("ride_id"),
+            F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 2_000_000).alias("started_at"),
+            F.when(F.col("id") % 1000 == 7, "202402").otherwise("202401").alias("source_month"),
+        )
+        path = fresh_path(spark, "t-sized")
+        assert tables.load_months(many, path) == 2
+    finally:
+        spark.conf.unset(name)
+    large, small = (file_sizes(spark, path, f"source_month={m}") for m in ("202401", "202402"))
+    assert len(large) > 20 and len(small) <= 2
+    for file in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().limit(3).collect():
+        times = [r[0] for r in spark.read.parquet(file["f"]).select("started_at").collect()]
+        assert times == sorted(times)
+    assert tables.read_months(spark, path).count() == 100_000
