@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +23,7 @@ from pedalgrid.constants import (
 )
 from pedalgrid.functions.scores import average_precision
 from pedalgrid.operators.demand import with_demand
-from pedalgrid.session import shared_dir
+from pedalgrid.session import cut_lineage, forget, fresh_path, shared_dir
 
 FEATURES = ["ebikes", "bikes", "docks", "hour", "weekend", "demand", "flow_30m", "flow_60m"]
 
@@ -132,29 +134,64 @@ def onset_skill(
     return onset.join(F.broadcast(counted), "horizon", "left_semi")  # a row per horizon
 
 
-def boosted_model(
-    rows: DataFrame, horizon: int, rounds: int = BOOSTING_ROUNDS, seed: int = 0
-) -> DataFrame:
-    """Fit boosted trees on the training rows of one horizon; return its test rows with ``m1``."""
-    shared_dir(rows.sparkSession)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    keep = ["horizon", "bucket", "station_id", "ebikes", "starved_future", "is_test"]
-    one = assembler.transform(rows.filter(F.col("horizon") == horizon)).select(*keep, "features")
-    model = GBTClassifier(
-        labelCol="starved_future", maxIter=rounds, seed=seed, checkpointInterval=10
-    ).fit(one.filter(~F.col("is_test")))
-    scored = model.transform(one.filter("is_test"))
-    return scored.select(*keep, vector_to_array("probability")[1].alias("m1"))
-
-
-def boosted_models(
-    rows: DataFrame, rounds: int = BOOSTING_ROUNDS, min_positives: int = MIN_POSITIVES
-) -> DataFrame:
-    """One model per horizon that has enough positives, fitted side by side."""
+def fit_models(
+    rows: DataFrame,
+    folder: str,
+    rounds: int = BOOSTING_ROUNDS,
+    min_positives: int = MIN_POSITIVES,
+    seed: int = 0,
+) -> list[int]:
+    """Fit boosted trees on the training rows of each horizon that has enough positives, side by side.
+
+    Each model is stored in ``folder``, with the features it takes; returns the horizons.
+    """
+    shared_dir(rows.sparkSession)  # the trees cut their lineage there
     tested = rows.filter("is_test").groupBy("horizon").agg(F.sum("starved_future").alias("hits"))
-    horizons = [r.horizon for r in tested.filter(F.col("hits") >= min_positives).collect()]
+    horizons = sorted(r.horizon for r in tested.filter(F.col("hits") >= min_positives).collect())
     if not horizons:
         raise ValueError("no horizon has enough positives in the test period")
+    train = cut_lineage(rows.filter(~F.col("is_test")).select("horizon", "starved_future", *FEATURES), "train")
+
+    def fit(horizon: int) -> None:
+        assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+        trees = GBTClassifier(labelCol="starved_future", maxIter=rounds, seed=seed, checkpointInterval=10)
+        model = Pipeline(stages=[assembler, trees]).fit(train.filter(F.col("horizon") == horizon))
+        model.write().overwrite().save(f"{folder}/horizon={horizon}")
+
     with ThreadPool(len(horizons)) as pool:
-        fitted = pool.map(lambda h: boosted_model(rows, h, rounds), sorted(horizons))
-    return reduce(DataFrame.unionByName, fitted)
+        pool.map(fit, horizons)
+    forget(train)
+    return horizons
+
+
+def score_models(rows: DataFrame, folder: str, horizons: Sequence[int]) -> DataFrame:
+    """The test rows of the horizons with ``m1``, by the models stored in ``folder``."""
+    keep = ["horizon", "bucket", "station_id", "ebikes", "demand", "starved_future", "is_test"]
+
+    def score(horizon: int) -> DataFrame:
+        model = PipelineModel.load(f"{folder}/horizon={horizon}")
+        scored = model.transform(rows.filter((F.col("horizon") == horizon) & F.col("is_test")))
+        return scored.select(*keep, vector_to_array("probability")[1].alias("m1"))
+
+    return reduce(DataFrame.unionByName, [score(h) for h in horizons])
+
+
+def boosted_models(rows: DataFrame, rounds: int = BOOSTING_ROUNDS, min_positives: int = MIN_POSITIVES) -> DataFrame:
+    """Fit and score in one."""
+    folder = fresh_path(rows.sparkSession, "models")
+    return score_models(rows, folder, fit_models(rows, folder, rounds, min_positives))
+
+
+def model_report(scored: DataFrame) -> DataFrame:
+    """Per horizon: what chance, demand alone (b0) and the trees (m1) score; the same where there still are e-bikes."""
+    rows = runway_score(scored)
+    whole = forecast_skill(rows, "m1").withColumnsRenamed({"average_precision": "ap_m1", "lift": "lift_m1"})
+    simple = forecast_skill(rows, "b0").select("horizon", F.col("average_precision").alias("ap_b0"))
+    onset = onset_skill(rows, "m1").select(
+        "horizon",
+        F.col("test_rows").alias("onset_rows"),
+        F.col("base_rate").alias("onset_base_rate"),
+        F.col("average_precision").alias("onset_ap_m1"),
+        F.col("lift").alias("onset_lift_m1"),
+    )
+    return whole.join(simple, "horizon").join(onset, "horizon", "left")

@@ -25,7 +25,7 @@ from pedalgrid.operators import (
     outages,
     validate,
 )
-from pedalgrid.session import clean_up, configure, cut_lineage, store_bucketed
+from pedalgrid.session import clean_up, configure, cut_lineage, fresh_path, store_bucketed
 from pedalgrid.sources import events as ev
 
 
@@ -137,6 +137,16 @@ class Fleet:
         """Fanned out on reading: five horizons share one stored row."""
         return forecast.by_horizon(self.outlook)
 
+    @cached_property
+    def models(self) -> tuple[str, list[int]]:
+        """Where the fitted trees lie, and for which horizons."""
+        folder = fresh_path(self.spark, "models")
+        return folder, forecast.fit_models(self.features, folder)
+
+    @cached_property
+    def boosted(self) -> DataFrame:
+        return cut_lineage(forecast.score_models(self.features, *self.models), "boosted")
+
     @cached_property
     def sized(self) -> DataFrame:
         rows = dispatch.decision_rows(self.grid, self.demand)

@@ -28,7 +28,7 @@ from pedalgrid.operators import (
     validate,
 )
 from pedalgrid.plans.fleet import Fleet, fleet, plain, rounded
-from pedalgrid.session import cut_lineage, fresh_path
+from pedalgrid.session import fresh_path
 from pedalgrid.sources import files, tables
 from pedalgrid.streaming import jobs, keyed, poll
 
@@ -634,14 +634,19 @@ def onset_skill(f: Fleet) -> DataFrame:
 
 @query
 def boosted_model(f: Fleet) -> DataFrame:
-    """All horizons. The trees' own scores depend on the engine; what they were scored on does not."""
-    scored = cut_lineage(forecast.boosted_models(f.features), "boosted")
-    both = forecast.forecast_skill(scored, "m1").withColumn("onset", F.lit(False)).unionByName(
-        forecast.onset_skill(scored, "m1").withColumn("onset", F.lit(True))
+    """All horizons. The trees' own scores depend on the engine (``model_report``); what they were scored on does not."""
+    both = forecast.forecast_skill(f.boosted, "m1").withColumn("onset", F.lit(False)).unionByName(
+        forecast.onset_skill(f.boosted, "m1").withColumn("onset", F.lit(True))
     )
     return both.select("horizon", "onset", "test_rows", "base_rate")
 
 
+@query
+def model_report(f: Fleet) -> DataFrame:
+    """What the trees score beside chance and beside demand alone."""
+    return forecast.model_report(f.boosted)
+
+
 # dispatch
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pedalgrid.functions.scores import average_precision
 from pedalgrid.functions.vehicles import meters
 from pedalgrid.operators import dispatch, forecast
+from pedalgrid.session import fresh_path
 
 
 def ap_by_hand(rows):
@@ -62,11 +63,21 @@ def test_boosted_trees_beat_chance(spark):
     )
     rare = [(120, *r[1:11], int(i == 900), r[12]) for i, r in enumerate(rows)]
     table = spark.createDataFrame(rows + rare, schema).cache()
-    scored = forecast.boosted_models(table, rounds=3)
+    folder = fresh_path(spark, "t-models")
+    horizons = forecast.fit_models(table, folder, rounds=3)
+    assert horizons == [60]  # the rare horizon has too few positives
+    scored = forecast.score_models(table, folder, horizons)
     got = forecast.forecast_skill(scored, "m1").collect()
     assert [(r.horizon, r.test_rows, r.lift > 2) for r in got] == [(60, 400, True)]
     again = forecast.boosted_models(table, rounds=3)
     assert sorted(r.m1 for r in again.collect()) == sorted(r.m1 for r in scored.collect())
+    reloaded = forecast.score_models(table, folder, horizons)
+    assert sorted(r.m1 for r in reloaded.collect()) == sorted(r.m1 for r in scored.collect())
+    report = forecast.model_report(scored).collect()
+    assert [(r.horizon, r.test_rows) for r in report] == [(60, 400)]
+    r = report[0]
+    assert r.base_rate < r.ap_b0 <= 1 and 2 * r.base_rate < r.ap_m1 <= 1
+    assert r.onset_rows < r.test_rows and r.lift_m1 == pytest.approx(r.ap_m1 / r.base_rate)
     assert [r.horizon for r in forecast.onset_skill(scored, "m1").collect()] == [60]
 
 
