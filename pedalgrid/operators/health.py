@@ -11,8 +11,9 @@ from pedalgrid.operators.demand import with_demand
 
 
 def station_health(
-    grid: DataFrame, demand: DataFrame, window_minutes: int = ACTION_WINDOW_MINUTES
+    grid: DataFrame, demand: DataFrame, window_minutes: int = ACTION_WINDOW_MINUTES, clock: bool = False
 ) -> DataFrame:
+    """A row per grid row with demand; with ``clock`` also its daytype and hour, by which demand is known."""
     ebikes, serving = F.col("num_ebikes_available"), F.col("is_serving")
     expected = F.col("expected_demand")
     rows = with_demand(grid, demand).withColumn(
@@ -28,6 +29,7 @@ def station_health(
         ((ebikes > 0) & serving).alias("healthy_old"),
         (serving & (ebikes >= expected)).alias("healthy_new"),
         (serving & (ebikes > 0) & (ebikes < expected)).alias("falsely_healthy"),
+        *(["daytype", "hour"] if clock else []),
     )
 
 
@@ -45,7 +47,9 @@ def health_shares(health: DataFrame) -> DataFrame:
 
 
 def health_by_hour(health: DataFrame, daytype: str = "weekday") -> DataFrame:
-    sure = with_local_clock(health.filter(~F.col("low_confidence")))
+    sure = health.filter(~F.col("low_confidence"))
+    if not {"daytype", "hour"} <= set(health.columns):
+        sure = with_local_clock(sure)
     return (
         sure.filter(F.col("daytype") == daytype)
         .groupBy("hour")

@@ -586,7 +586,7 @@ def health_shares(f: Fleet) -> DataFrame:
 
 @query
 def health_by_hour(f: Fleet) -> DataFrame:
-    return health.health_by_hour(f.health)
+    return health.health_by_hour(health.station_health(f.grid, f.demand, clock=True))
 
 
 # forecast
