@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedalgrid.constants import LOCAL_ZONE, STATE_FIELDS, VAN_MIN_BIKES
@@ -559,6 +559,23 @@ def outage_stats(f: Fleet) -> DataFrame:
     return outages.outage_stats(f.outages)
 
 
+@query
+def outage_stats_merged(f: Fleet) -> DataFrame:
+    """Statistics merged from monthly sketches; are the quantiles within 2 % of their rank?"""
+    path = fresh_path(f.spark, "outage-sketches")
+    found = outages.merged_outage_stats(outages.store_outage_sketches(f.outages, path))
+    asked = found.select("kind", "events", "max_minutes", "lost_trips", "median_minutes", "p90_minutes")
+
+    def near(quantile: str, rank: float) -> Column:
+        below, upto = (F.count_if(c) / F.count("*") for c in (F.col("minutes") < F.col(quantile), F.col("minutes") <= F.col(quantile)))
+        return (below <= rank + 0.02) & (upto >= rank - 0.02)
+
+    met = f.outages.select("kind", "minutes").join(F.broadcast(asked), "kind")  # a row per kind
+    return met.groupBy("kind", "events", "max_minutes", "lost_trips").agg(
+        near("median_minutes", 0.5).alias("median_near"), near("p90_minutes", 0.9).alias("p90_near")
+    )
+
+
 @query
 def outage_concentration(f: Fleet) -> DataFrame:
     return outages.outage_concentration(f.outages, f.grid)

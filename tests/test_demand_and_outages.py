@@ -1,8 +1,12 @@
+import random
+
 import pytest
-from helpers import demand_frame, grid_frame
+from helpers import at, demand_frame, grid_frame
+from pyspark.sql import functions as F
 
 from pedalgrid.operators import deltas, demand, health, outages
 from pedalgrid.plans.fleet import fleet
+from pedalgrid.session import fresh_path
 
 
 def test_exposure_is_three_valued(spark):
@@ -104,3 +108,28 @@ def test_demand_reads_the_calibrated_labels(spark):
 
     assert seen(f.cells) == of(f.calibrated) != of(f.deltas)
     assert f.demand.selectExpr("sum(ebike_observed_total)").first()[0] == 7467
+
+
+def test_sketches_merge_and_a_month_replaces_its_own(spark):
+    """Months in any split: exact counters, quantiles within their stated rank, stations within a few percent."""
+    rnd = random.Random(7)
+    rows = [
+        (rnd.choice(["starvation", "saturation"]), f"S{rnd.randrange(800)}", at(60 * rnd.randrange(2000)), 5 * int(rnd.expovariate(0.05)) + 15, 1.0)
+        for _ in range(8000)
+    ]
+    events = spark.createDataFrame(rows, "kind string, station_id string, started_at timestamp, minutes int, lost_trips double")
+    path = fresh_path(spark, "t-sketches")
+    cut = F.col("started_at") < F.lit("2024-05-01").cast("timestamp")
+    outages.store_outage_sketches(events.filter(cut).limit(10), path)  # an unfinished load of these months
+    for part in (events.filter(cut), events.filter(~cut)):
+        stored = outages.store_outage_sketches(part, path)
+    assert stored.select("month").distinct().count() >= 3
+    exact = {r["kind"]: r for r in outages.outage_stats(events).collect()}
+    for r in outages.merged_outage_stats(stored).collect():
+        known = exact[r["kind"]]
+        assert all(r[c] == known[c] for c in ("events", "max_minutes", "lost_trips"))
+        assert abs(r["stations"] / known["stations"] - 1) < 0.05
+        own = sorted(x[3] for x in rows if x[0] == r["kind"])
+        for name, rank in (("median_minutes", 0.5), ("p90_minutes", 0.9)):
+            below, upto = (sum(m < r[name] for m in own) / len(own), sum(m <= r[name] for m in own) / len(own))
+            assert below <= rank + 0.01 and upto >= rank - 0.01
