@@ -10,7 +10,7 @@ count sketch over all tokens, of fixed size, which is all that is sent to the ta
 2. Prefix tokens are packed by token range into arrays; tokens that only one node holds are dropped
    there. Tokens that the sketch knows as hot skip this step, so no task gathers a hot token.
 3. Long posting lists: rounds link their nodes to one leader per list, first to the node most of whose tokens
-   others hold, then to such a node outside the list's largest component, until a round links nothing. That
+   others hold, then to such a node outside the list's largest component, until a round links hardly any more. That
    contracts groups of near copies without comparing all their pairs.
 4. Exact rest: all pairs of a posting list that are still in different components, where the token can be among
    the first l that the two share: sets of n1 and n2 tokens share O = ceil(t (n1 + n2) / (1 + t)) or more, so the
@@ -51,10 +51,12 @@ from pedalgrid.session import cut_lineage, forget, shuffle_width
 SIMILARITY = Fraction(3, 4)
 #: Counters of the frequency sketch (8 bytes each where it is broadcast), and of a stored piece.
 SKETCH, PIECE = 1 << 20, 1 << 10
-#: Largest l; postings that one verified candidate costs as much as.
-MOST_SHARED, CANDIDATE_COST = 4, 8.0
+#: Least and largest l (short sets have less); postings that one verified candidate costs as much as.
+LEAST_SHARED, MOST_SHARED, CANDIDATE_COST = 3, 7, 8.0
 #: Lists this long go through leader rounds, this many at most (the rest decides); tokens this frequent are hot.
-LONG, ROUNDS, HOT = 16, 6, 4096
+LONG, ROUNDS, HOT = 16, 3, 4096
+#: A round that links less than this share of all links so far is the last.
+WORTH = 0.05
 PACKED = 1 << 19
 
 
@@ -128,9 +130,10 @@ def prefix(own: np.ndarray, sketch: np.ndarray, usual: float) -> tuple[np.ndarra
     shortest = n - least
     most = min(MOST_SHARED, least)
     excess = np.cumsum(np.maximum(often[: shortest + most].astype(np.float64) - usual, 0))
-    lengths = shortest + np.arange(1, most + 1)
-    cost = lengths + CANDIDATE_COST * excess[lengths - 1] / np.arange(1, most + 1)
-    shared = int(cost.argmin()) + 1
+    choices = np.arange(min(LEAST_SHARED, most), most + 1)
+    lengths = shortest + choices
+    cost = lengths + CANDIDATE_COST * excess[lengths - 1] / choices
+    shared = int(choices[cost.argmin()])
     end = shortest + shared
     return tokens[:end].copy(), often[:end].copy(), shared  # not views, which would keep the whole set
 
@@ -387,13 +390,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     long_lists = lists.join(long, "token")
     weights = long_lists.groupBy("node").agg(F.sum("c").alias("weight"))
     long_lists = cut_lineage(long_lists.drop("c").join(weights, "node"), "long-lists")
+    n_links = 0
     for turn in range(ROUNDS):
         mixed = cut_lineage(_mixed(_labelled(long_lists, labels)), "mixed")
         new = linked(leader_pairs(mixed, turn))
         forget(mixed)
-        if new.isEmpty():
+        n_new = new.count()
+        if n_new:
+            labels = _with_links(labels, new)
+        n_links += n_new
+        if n_new <= WORTH * n_links:
             break
-        labels = _with_links(labels, new)
     forget(long_lists)
     mixed = cut_lineage(_mixed(_labelled(lists, labels)), "mixed")
     joined = _with_links(labels, linked(rest_pairs(mixed)))
