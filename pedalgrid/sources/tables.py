@@ -10,7 +10,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 
 from pedalgrid.constants import KEEP_DAYS
 from pedalgrid.functions.picking import first_per, latest_per
-from pedalgrid.session import fresh_path, remove_path
+from pedalgrid.session import cut_lineage, fresh_path, remove_path
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -63,6 +63,19 @@ def load_months(rows: DataFrame, path: str, time_col: str = "started_at") -> int
     return count
 
 
+def load_report(rows: DataFrame, path: str, time_col: str = "started_at") -> DataFrame:
+    """Load the months of ``rows``; a row per month: how many rows the table holds of it, and whether this load brought
+    them (else it was there and skipped)."""
+    spark = rows.sparkSession
+    asked = rows.select("source_month").distinct()
+    known = read_months(spark, path).select("source_month").distinct() if _exists(spark, path) else asked.limit(0)
+    known = cut_lineage(known.withColumn("loaded", F.lit(False)), "known-months")
+    load_months(rows, path, time_col)
+    held = read_months(spark, path).groupBy("source_month").agg(F.count("*").alias("rows"))
+    found = asked.join(held, "source_month").join(known, "source_month", "left")
+    return found.withColumn("loaded", F.coalesce("loaded", F.lit(True)))
+
+
 def load_month_once(rows: DataFrame, path: str, month: str) -> int:
     """The same for the rows of one month; returns the months written (0 or 1)."""
     return load_months(rows.withColumn("source_month", F.lit(month)), path)

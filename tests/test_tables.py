@@ -84,6 +84,15 @@ def test_mark_does_not_pass_a_repeated_hour(spark, monkeypatch):
         time.tzset()
 
 
+def test_load_report_tells_loaded_from_skipped(spark):
+    path = fresh_path(spark, "t-report")
+    rows = spark.createDataFrame([("a", "202403"), ("b", "202403"), ("c", "202404")], "ride_id string, source_month string")
+    report = lambda part: sorted(tuple(r) for r in tables.load_report(part, path).collect())
+    assert report(rows.filter("ride_id <> 'c'")) == [("202403", 2, True)]
+    more = rows.unionByName(rows.filter("ride_id = 'a'"))  # a month that is there is not touched
+    assert report(more) == [("202403", 2, False), ("202404", 1, True)]
+
+
 def test_retention_run_changes_the_table(spark):
     path = fresh_path(spark, "t-days")
     source = log(spark, [("a", d * 1440 + h * 360, 4 * d + h) for d in range(20) for h in range(4)])
