@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,6 +157,21 @@ def text_groups(texts: list[str], size: int = 1 << 18):
         yield start, len(texts)
 
 
+#: Rows of text that a Python worker is given at once, where a step asks for small batches.
+BATCH, BATCH_SIZE = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand ``BATCH`` rows at most to Python at once, which bounds a worker's memory."""
+    before = spark.conf.get(BATCH_SIZE)
+    spark.conf.set(BATCH_SIZE, min(int(before), BATCH) if int(before) > 0 else BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SIZE, before)
+
+
 def sorted_unique(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedalgrid.llm.common import BLANKS, asked_for, mix64, powers, text_groups, text_rows
+from pedalgrid.llm.common import BLANKS, asked_for, mix64, powers, small_batches, text_groups, text_rows
 from pedalgrid.session import cut_lineage
 
 WIDTH = 50
@@ -203,7 +203,9 @@ def late_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         .agg(F.min(with_id).alias("first"), F.max(with_id).alias("last"), F.max("no_id").alias("none"))
         .filter("first < last OR (none AND first IS NOT NULL)")
     )
-    late = windows.join(several.select("h1", "h2", "first"), ["h1", "h2"]).filter("no_id OR doc_id > first")
+    # stored, so that the join has a plain shuffle on both sides and a hot window can be split
+    several = cut_lineage(several.select("h1", "h2", "first"), "repeated")
+    late = windows.join(several, ["h1", "h2"]).filter("no_id OR doc_id > first")
     starts = late.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"))
     return (
         copies.filter("copied")
@@ -216,7 +218,8 @@ def kept_words(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> Dat
     """(doc_id, n_words, n_removed, kept) per row of ``docs``: the words that stay, joined by one space, or their
     SHA-256 with ``digest``."""
     rows = text_rows(docs).withColumn("no_id", F.col("doc_id").isNull())
-    late = cut_lineage(late_windows(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), width), "late-windows")
+    with small_batches(docs.sparkSession):
+        late = cut_lineage(late_windows(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), width), "late-windows")
     test, tested = asked_for(rows, late.select("k1", "k2"))
     touched = tested.filter(test).drop("_bits").join(late, ["k1", "k2"], "left")
     whole = tested.filter(~test).drop("_bits").withColumns({"copied": F.lit(None), "starts": F.lit(None)})

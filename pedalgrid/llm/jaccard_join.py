@@ -41,6 +41,7 @@ from pedalgrid.llm.common import (
     join_wanted,
     keyed_rows,
     shingle_hashes,
+    small_batches,
     sorted_unique,
     text_groups,
     text_rows,
@@ -58,8 +59,6 @@ LONG, ROUNDS, HOT = 16, 3, 4096
 #: A round that links less than this share of all links so far is the last.
 WORTH = 0.05
 PACKED = 1 << 19
-#: Rows of text, or pairs of texts, that a Python worker is given at once.
-BATCH, BATCH_SIZE = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _sets(texts: list[str]) -> Iterator[np.ndarray]:
@@ -365,16 +364,10 @@ def rest_pairs(lists: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(k1, k2, doc_id, n_shingles, component_id) per row of ``docs``.
 
-    Texts go to Python in batches of ``BATCH`` rows. All steps with Python end in stored tables here; the
-    session's own batch size holds again for what is returned.
+    All steps with Python end in stored tables here, so small batches hold for them.
     """
-    conf = docs.sparkSession.conf
-    before = conf.get(BATCH_SIZE)
-    conf.set(BATCH_SIZE, min(int(before), BATCH) if int(before) > 0 else BATCH)
-    try:
+    with small_batches(docs.sparkSession):
         return _components_of(docs)
-    finally:
-        conf.set(BATCH_SIZE, before)
 
 
 def _components_of(docs: DataFrame) -> DataFrame:
