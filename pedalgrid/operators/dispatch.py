@@ -19,7 +19,7 @@ from pedalgrid.functions.ordered import slice_bounds, slice_of, sliced_row_numbe
 from pedalgrid.operators.deltas import latest_station_info
 from pedalgrid.operators.demand import with_demand
 from pedalgrid.operators.forecast import split_point
-from pedalgrid.session import cut_lineage, recent, shuffle_width
+from pedalgrid.session import cut_lineage, recent
 
 MIN_EXPECTED = 0.05
 MIN_SHORT = 0.5
