@@ -53,11 +53,11 @@ SIMILARITY = Fraction(3, 4)
 #: Counters of the frequency sketch (8 bytes each where it is broadcast), and of a stored piece.
 SKETCH, PIECE = 1 << 20, 1 << 10
 #: Least and largest l (short sets have less); postings that one verified candidate costs as much as.
-LEAST_SHARED, MOST_SHARED, CANDIDATE_COST = 3, 7, 8.0
+LEAST_SHARED, MOST_SHARED, CANDIDATE_COST = 1, 4, 8.0
 #: Lists this long go through leader rounds, this many at most (the rest decides); tokens this frequent are hot.
 LONG, ROUNDS, HOT = 16, 3, 4096
 #: A round that links less than this share of all links so far is the last.
-WORTH = 0.05
+WORTH = 0.02
 PACKED = 1 << 19
 
 
