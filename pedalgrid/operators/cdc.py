@@ -89,6 +89,9 @@ def poll_summary(polls: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
+#: A vehicle with more rows than this that differ from the row before is cut into pieces by time.
+PIECE_ROWS = 1000
+
 VEHICLE = ["bike_id", "observed_at", "lat", "lon", "range_m", "is_disabled", "is_reserved"]
 
 
@@ -115,20 +118,33 @@ def vehicle_rows(raw: DataFrame) -> DataFrame:
     )
 
 
+def _kept(batches: Iterator[pd.DataFrame], move: float, span: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (bike_id, time), all of a vehicle's: those that are kept."""
+    for frame, edges in drift.whole_pieces(batches, ["bike_id"]):
+        rows = [frame[c].to_numpy() for c in drift.PLACE]
+        kept = [a + i for a, z in edges for i in drift.history([c[a:z] for c in rows], move, span)]
+        yield frame.iloc[kept][VEHICLE]
+
+
 def _speculated(batches: Iterator[pd.DataFrame], move: float, span: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by (bike_id, slice, time). Of each piece the rows that it keeps for any first kept row; ``of``
     lists those first rows by number, ``entry`` is a first row's own number, ``last_*`` its history's last row."""
-    for piece in drift.pieces(batches, ["bike_id", "slice"]):
-        rows = [piece[c].to_numpy() for c in drift.PLACE]
-        before = None if piece["begins"].iloc[0] else [piece[f"before_{c}"].iloc[0] for c in drift.PLACE]
-        first = drift.zone(before, rows, move, span)
-        kept, last = drift.histories(rows, first, move, span)
-        out = piece.iloc[list(kept)][[*VEHICLE, "slice"]].copy()
-        out["entry"] = [i if i < first else None for i in kept]
-        out["entry"] = out["entry"].astype("Int32")
-        out["of"] = list(kept.values())
-        ends = [last[i] if i < first else i for i in kept]
-        for c, column in zip(drift.PLACE, rows, strict=True):
+    for frame, edges in drift.whole_pieces(batches, ["bike_id", "slice"]):
+        columns = [frame[c].to_numpy() for c in drift.PLACE]
+        begins, before = frame["begins"].to_numpy(), [frame[f"before_{c}"].to_numpy() for c in drift.PLACE]
+        at, entry, of, ends = [], [], [], []
+        for a, z in edges:
+            rows = [c[a:z] for c in columns]
+            first = drift.zone(None if begins[a] else [c[a] for c in before], rows, move, span)
+            kept, last = drift.histories(rows, first, move, span)
+            at += [a + i for i in kept]
+            entry += [i if i < first else None for i in kept]
+            of += kept.values()
+            ends += [a + (last[i] if i < first else i) for i in kept]
+        out = frame.iloc[at][[*VEHICLE, "slice"]].copy()
+        out["entry"] = pd.array(entry, "Int32")
+        out["of"] = of
+        for c, column in zip(drift.PLACE, columns, strict=True):
             out[f"last_{c}"] = column[ends]
         yield out
 
@@ -136,15 +152,19 @@ def _speculated(batches: Iterator[pd.DataFrame], move: float, span: int) -> Iter
 def _composed(batches: Iterator[pd.DataFrame], move: float, span: int) -> Iterator[pd.DataFrame]:
     """Possible first rows sorted by (bike_id, slice, entry): those that are the right ones, piece by piece."""
     bike, anchor = None, None
-    for piece in drift.pieces(batches, ["bike_id", "slice"]):
-        if piece["bike_id"].iloc[0] != bike:
-            bike, anchor = piece["bike_id"].iloc[0], None
-        rows = [piece[c].to_numpy() for c in drift.PLACE]
-        hit = np.array([True]) if anchor is None else drift.far(anchor, rows, move, span)
-        if hit.any():
-            i = int(hit.argmax())
-            anchor = [piece[f"last_{c}"].iloc[i] for c in drift.PLACE]
-            yield piece.iloc[i : i + 1][["bike_id", "slice", "entry"]]
+    for frame, edges in drift.whole_pieces(batches, ["bike_id", "slice"]):
+        columns, bikes = [frame[c].to_numpy() for c in drift.PLACE], frame["bike_id"].to_numpy()
+        lasts, right = [frame[f"last_{c}"].to_numpy() for c in drift.PLACE], []
+        for a, z in edges:
+            if bikes[a] != bike:
+                bike, anchor = bikes[a], None
+            rows = [c[a:z] for c in columns]
+            hit = np.array([True]) if anchor is None else drift.far(anchor, rows, move, span)
+            if hit.any():
+                i = a + int(hit.argmax())
+                anchor = [c[i] for c in lasts]
+                right.append(i)
+        yield frame.iloc[right][["bike_id", "slice", "entry"]]
 
 
 def cdc_threshold(
@@ -152,25 +172,36 @@ def cdc_threshold(
 ) -> DataFrame:
     """Vehicle rows that moved, changed range or changed a flag since the last kept row.
 
-    The rule looks at the last *kept* row, so slow drift adds up and no window can tell. A vehicle's
-    history is cut into pieces, one per time range, that are worked off independently for every row
+    The rule looks at the last *kept* row, so slow drift adds up and no window can tell. Repeats of the row
+    before are never kept and go first. A vehicle of few rows is then gone through as it is; the
+    history of any other is cut into pieces, one per time range, that are worked off independently for every row
     that may be the first kept one (:mod:`pedalgrid.functions.drift`); only the maps from first to last
     kept rows are gone through in order, a few rows per piece. So a vehicle that drifts for its whole
-    history is spread like any other. Repeats of the row before are never kept and go first.
+    history is spread like any other.
     """
     cut = time_slices(vehicles, "observed_at")
     fields = drift.PLACE
     steps = sliced_lag(vehicles, ["bike_id"], "observed_at", fields, slice_col=cut)
     before = [F.col(f"prev.{c}").alias(f"before_{c}") for c in fields]
-    fresh = steps.filter(~F.col("prev").eqNullSafe(F.struct(*fields))).select(
-        *VEHICLE, cut.alias("slice"), F.col("prev").isNull().alias("begins"), *before
-    )
+    changed = steps.filter(~F.col("prev").eqNullSafe(F.struct(*fields)))
+    fresh = cut_lineage(changed.select(*VEHICLE, F.col("prev").isNull().alias("begins"), *before), "fresh")
     width = shuffle_width(vehicles.sparkSession)
     types = dict(vehicles.dtypes)
     columns = ", ".join(f"{c} {types[c]}" for c in VEHICLE)
     lasts = ", ".join(f"last_{c} {types[c]}" for c in fields)
+    rows_of = fresh.groupBy("bike_id").agg(F.count("*").alias("rows"))
+    long = F.broadcast(rows_of.filter(F.col("rows") > PIECE_ROWS).select("bike_id"))  # one in PIECE_ROWS rows at most
+    short_kept = (
+        fresh.select(VEHICLE)
+        .join(long, "bike_id", "left_anti")
+        .repartition("bike_id")
+        .sortWithinPartitions("bike_id", "observed_at")
+        .mapInPandas(lambda batches: _kept(batches, move_m, range_m), columns)
+    )
     speculated = cut_lineage(
-        fresh.repartition(width, "bike_id", "slice")
+        fresh.join(long, "bike_id", "left_semi")
+        .withColumn("slice", cut)
+        .repartition(width, "bike_id", "slice")
         .sortWithinPartitions("bike_id", "slice", "observed_at")
         .mapInPandas(
             lambda batches: _speculated(batches, move_m, range_m),
@@ -188,4 +219,5 @@ def cdc_threshold(
         )
     )
     known = speculated.drop("entry").join(right, ["bike_id", "slice"])
-    return known.filter(F.array_contains("of", F.col("entry"))).select(*VEHICLE)
+    long_kept = known.filter(F.array_contains("of", F.col("entry"))).select(*VEHICLE)
+    return short_kept.unionByName(long_kept)

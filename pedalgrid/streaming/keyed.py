@@ -132,19 +132,13 @@ class Moves(InOrder):
 
     def kept(self, rows: pd.DataFrame, last: tuple | None) -> tuple[np.ndarray, tuple]:
         columns = [rows[c].to_numpy() for c in drift.PLACE]
-        keep = np.zeros(len(rows), bool)
-        i = 0
         if last is not None:  # the anchor goes before the rows
             columns = [np.concatenate(([a], c)) for a, c in zip(last, columns, strict=True)]
-            i = drift.next_kept(columns, 0, self.move, self.span)
-        while i < len(columns[0]):
-            keep[i - (last is not None)] = True
-            last_at = i
-            i = drift.next_kept(columns, i, self.move, self.span)
-        if not keep.any():
-            return keep, tuple(last)
-        lat, lon, *rest = (c[last_at] for c in columns)
-        return keep, (float(lat), float(lon), *map(int, rest))
+        kept = drift.history(columns, self.move, self.span)
+        keep = np.zeros(len(columns[0]), bool)
+        keep[kept] = True
+        lat, lon, *rest = (c[kept[-1]] for c in columns)
+        return keep[last is not None :], (float(lat), float(lon), *map(int, rest))
 
 
 def _captured(rows: DataFrame, key: str, time_col: str, delay: str, processor: InOrder) -> DataFrame:

@@ -237,3 +237,22 @@ def test_snapshot_files_to_change_log(spark, tmp_path):
     kept = sorted((r.station_id, r.num_bikes_available) for r in got.collect())
     assert kept == [("a", 2), ("a", 3), ("b", 4), ("b", 5), ("c", 1)]
     assert got.filter("last_reported IS NOT NULL").count() == 0
+
+
+def test_many_short_histories_go_through_one_frame_and_equal_the_loop(spark):
+    """Frames hold many vehicles, and a vehicle is whole: no work per vehicle and time range."""
+    rnd = random.Random(9)
+    rows = []
+    for v in range(300):
+        lat = 37.7
+        for i in range(20):
+            lat += rnd.choice([0, 1e-4, 2e-4])
+            rows.append((f"v{v}", at(97 * i + v % 90), lat, -122.4, rnd.choice([0, 100, 200]), 0, int(rnd.random() < 0.1)))
+    df = spark.createDataFrame(rows, VEHICLES)
+    got = cdc.cdc_threshold(df)
+    assert sorted((r.bike_id, minute_of(r.observed_at)) for r in got.collect()) == loop(rows)
+    frame = pd.DataFrame({"bike_id": np.repeat(np.arange(50), 4), "slice": 0})
+    batches = [frame.iloc[i : i + 30] for i in range(0, 200, 30)]
+    found = list(drift.whole_pieces(iter(batches), ["bike_id", "slice"]))
+    assert len(found) == 8 and sum(len(edges) for _, edges in found) == 50
+    assert all(z - a == 4 and f["bike_id"].iloc[a] == f["bike_id"].iloc[z - 1] for f, edges in found for a, z in edges)
