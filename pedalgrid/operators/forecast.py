@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,7 +25,9 @@ from pedalgrid.functions.scores import average_precision
 from pedalgrid.operators.demand import with_demand
 from pedalgrid.session import cut_lineage, forget, fresh_path, shared_dir
 
-FEATURES = ["ebikes", "bikes", "docks", "hour", "weekend", "demand", "flow_30m", "flow_60m"]
+FEATURES = ["ebikes", "bikes", "docks", "hour", "weekend", "demand_bin", "flow_30m", "flow_60m"]
+#: The trees tell apart as many ranges of a feature; of the demand they are made before, on all training rows.
+BINS = 32
 
 
 def forecast_rows(grid: DataFrame, demand: DataFrame, horizons=HORIZONS_MINUTES) -> DataFrame:
@@ -134,6 +136,23 @@ def onset_skill(
     return onset.join(F.broadcast(counted), "horizon", "left_semi")  # a row per horizon
 
 
+def demand_bins(rows: DataFrame, bins: int = BINS) -> Bucketizer:
+    """Ranges of the demand of about equal numbers of rows: the only feature that is not a count."""
+    shares = [i / bins for i in range(1, bins)]
+    cuts = rows.agg(F.percentile_approx("demand", shares, 100 * bins).alias("q")).first()["q"] or []
+    return Bucketizer(
+        splits=[float("-inf"), *sorted({float(c) for c in cuts}), float("inf")], inputCol="demand", outputCol="demand_bin"
+    )
+
+
+def weighted_rows(rows: DataFrame, bins: Bucketizer) -> DataFrame:
+    """Rows that trees cannot tell apart as one, with their number as ``weight``.
+
+    There are as many as stocks, hours and demand ranges meet, however long the history and large the fleet.
+    """
+    return bins.transform(rows).groupBy("horizon", "starved_future", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+
+
 def fit_models(
     rows: DataFrame,
     folder: str,
@@ -143,19 +162,25 @@ def fit_models(
 ) -> list[int]:
     """Fit boosted trees on the training rows of each horizon that has enough positives, side by side.
 
-    Each model is stored in ``folder``, with the features it takes; returns the horizons.
+    The trees see every training row, equal ones as one row with a weight. Each model is stored in ``folder``, with
+    the features it takes; returns the horizons.
     """
     shared_dir(rows.sparkSession)  # the trees cut their lineage there
     tested = rows.filter("is_test").groupBy("horizon").agg(F.sum("starved_future").alias("hits"))
     horizons = sorted(r.horizon for r in tested.filter(F.col("hits") >= min_positives).collect())
     if not horizons:
         raise ValueError("no horizon has enough positives in the test period")
-    train = cut_lineage(rows.filter(~F.col("is_test")).select("horizon", "starved_future", *FEATURES), "train")
+    past = rows.filter(~F.col("is_test"))
+    bins = demand_bins(past)
+    train = cut_lineage(weighted_rows(past, bins), "train")
 
     def fit(horizon: int) -> None:
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        trees = GBTClassifier(labelCol="starved_future", maxIter=rounds, seed=seed, checkpointInterval=10)
-        model = Pipeline(stages=[assembler, trees]).fit(train.filter(F.col("horizon") == horizon))
+        trees = GBTClassifier(
+            labelCol="starved_future", weightCol="weight", maxIter=rounds, seed=seed, maxBins=BINS, checkpointInterval=10
+        )
+        own = assembler.transform(train.filter(F.col("horizon") == horizon))
+        model = PipelineModel(stages=[bins, assembler, trees.fit(own)])
         model.write().overwrite().save(f"{folder}/horizon={horizon}")
 
     with ThreadPool(len(horizons)) as pool:

@@ -134,3 +134,19 @@ def test_sizes_follow_the_rules(spark):
     epochs = dispatch.decision_epochs(rows)
     got = {r.station_id: (r.kind, round(r.size, 6)) for r in dispatch.deficits_donors(rows, epochs).collect()}
     assert got == {"b": ("deficit", 0.51), "c": ("donor", 3.0), "f": ("donor", 8.0)}
+
+
+def test_trees_see_equal_rows_once_with_their_number(spark):
+    rows = [(15, i % 3, 6, 6, i % 4, 0, float(i % 8), 0, 0, int(i % 3 == 0)) for i in range(4800)]
+    schema = (
+        "horizon int, ebikes int, bikes int, docks int, hour int, weekend int, demand double, flow_30m int, "
+        "flow_60m int, starved_future int"
+    )
+    table = spark.createDataFrame(rows, schema)
+    bins = forecast.demand_bins(table)
+    held = forecast.weighted_rows(table, bins).collect()
+    assert len(held) == 24 and sum(r.weight for r in held) == 4800
+    assert all(r.weight == 200 for r in held)  # eight demands stay apart
+    wide = forecast.demand_bins(spark.range(10_000).selectExpr("cast(id as double) demand"))
+    sizes = wide.transform(spark.range(10_000).selectExpr("cast(id as double) demand")).groupBy("demand_bin").count()
+    assert [abs(r["count"] - 10_000 / forecast.BINS) < 20 for r in sizes.collect()] == [True] * forecast.BINS
