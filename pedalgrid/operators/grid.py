@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,12 +77,22 @@ def station_spine(status: DataFrame) -> DataFrame:
     return status.select("station_id").distinct()
 
 
-def _wide(rows: DataFrame) -> DataFrame:
+#: Rows of the dense grid that one task holds and sorts, about.
+TASK_ROWS = 1_000_000
+
+
+def grid_width(status: DataFrame, covered: DataFrame, task_rows: int = TASK_ROWS) -> int:
+    """Over how many tasks the dense grid is dealt: more with more stations and buckets, so that a task's part stays."""
+    rows = station_spine(status).count() * covered.count()
+    return max(shuffle_width(status.sparkSession), math.ceil(rows / task_rows))
+
+
+def _wide(rows: DataFrame, width: int | None = None) -> DataFrame:
     """Stations over all tasks, also where few bytes are about to become many rows."""
-    return rows.repartition(shuffle_width(rows.sparkSession), "station_id")
+    return rows.repartition(width or shuffle_width(rows.sparkSession), "station_id")
 
 
-def _segments(status: DataFrame, covered: DataFrame, minutes: int) -> DataFrame:
+def _segments(status: DataFrame, covered: DataFrame, minutes: int, width: int | None = None) -> DataFrame:
     """Per station, the unbroken run of buckets for which one log row is the latest.
 
     The log first shrinks to the last row per (station, bucket it takes effect in), so a
@@ -100,7 +112,7 @@ def _segments(status: DataFrame, covered: DataFrame, minutes: int) -> DataFrame:
         "observed_at",
     ).withColumns({"lo": lo, "hi": hi})
     by_station = W.partitionBy("station_id").orderBy("effective")
-    runs = _wide(steps).withColumns(
+    runs = _wide(steps, width).withColumns(
         {
             "first_bucket": F.when(
                 F.row_number().over(by_station) == 1, F.col("lo")
@@ -133,13 +145,14 @@ def grid_status(
     covered: DataFrame,
     minutes: int = BUCKET_MINUTES,
     stale_after: int = STALE_AFTER_SECONDS,
+    width: int | None = None,
 ) -> DataFrame:
     """For every covered bucket and station, the latest state seen at the bucket's start.
 
     Buckets before a station's first row stay, with NULL state. Whether a bucket is known
     at all depends on polling (``covered``), never on the age of the row.
     """
-    runs = _segments(status, covered, minutes)
+    runs = _segments(status, covered, minutes, width)
     dense = runs.withColumn(
         "bucket", F.explode(bucket_range(F.col("first_bucket"), F.col("last_bucket"), minutes))
     ).join(covered, "bucket", "left_semi")

@@ -67,16 +67,20 @@ class Fleet:
     def covered(self) -> DataFrame:
         return cut_lineage(grid.bucket_coverage(self.polls), "covered")
 
+    @cached_property
+    def width(self) -> int:
+        """Buckets of the grid and of what is stored beside it, row by row."""
+        return grid.grid_width(self.status, self.covered)
+
     @cached_property
     def grid(self) -> DataFrame:
-        return store_bucketed(
-            grid.grid_status(self.status, self.covered), "grid", "station_id", "bucket", month_of="bucket"
-        )
+        rows = grid.grid_status(self.status, self.covered, width=self.width)
+        return store_bucketed(rows, "grid", "station_id", "bucket", month_of="bucket", buckets=self.width)
 
     @cached_property
     def deltas(self) -> DataFrame:
         return store_bucketed(
-            deltas.station_deltas(self.grid), "deltas", "station_id", "bucket"
+            deltas.station_deltas(self.grid), "deltas", "station_id", "bucket", buckets=self.width
         )
 
     # labels and demand
@@ -100,7 +104,9 @@ class Fleet:
     @cached_property
     def calibrated(self) -> DataFrame:
         """The deltas under their final labels: what demand and everything after it reads."""
-        return store_bucketed(self.calibration.deltas, "calibrated", "station_id", "bucket")
+        return store_bucketed(
+            self.calibration.deltas, "calibrated", "station_id", "bucket", buckets=self.width
+        )
 
     @cached_property
     def cells(self) -> DataFrame:

@@ -1,10 +1,10 @@
 """What stored tables let a later query leave out."""
 
-from helpers import at
+from helpers import at, poll_frame, status_frame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pedalgrid.operators import export
+from pedalgrid.operators import export, grid
 from pedalgrid.plans.fleet import close, fleet
 from pedalgrid.session import MONTH, fresh_path, recent, store_bucketed
 from pedalgrid.sources import tables
@@ -81,3 +81,20 @@ def test_files_follow_the_size_of_a_month(spark):
         times = [r[0] for r in spark.read.parquet(file["f"]).select("started_at").collect()]
         assert times == sorted(times)
     assert tables.read_months(spark, path).count() == 100_000
+
+
+def test_buckets_of_the_grid_grow_with_it(spark):
+    """A task holds about as many rows of the dense grid however many stations and days there are."""
+    status = status_frame(spark, [(f"s{i}", 0, 5, 2, 5) for i in range(40)])
+    covered = grid.bucket_coverage(poll_frame(spark, range(0, 500, 5)))
+    rows = 40 * covered.count()
+    assert grid.grid_width(status, covered) == 8  # as a shuffle has
+    wide = grid.grid_width(status, covered, task_rows=rows // 20)
+    assert 20 <= wide <= 21
+    plain = grid.grid_status(status, covered)
+    dealt = grid.grid_status(status, covered, width=wide)
+    assert dealt.rdd.getNumPartitions() == wide
+    stored = store_bucketed(dealt, "t_wide", "station_id", "bucket", buckets=wide)
+    assert stored.exceptAll(plain).isEmpty() and plain.exceptAll(stored).isEmpty()
+    parts = stored.groupBy("station_id").count().rdd.getNumPartitions()
+    assert parts == wide  # read bucket by bucket, without a shuffle
