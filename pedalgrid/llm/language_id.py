@@ -1,13 +1,14 @@
 """Language ID by interpolated Kneser-Ney models over characters.
 
 Learning: every training document gives its character 4-grams, pre-counted per task and summed by
-Spark. The counts give all lower orders (continuation counts), the discounts, and the interpolated
-probabilities of every language, stored as arrays sorted by hash: one row per n-gram, one column per
-language. MAX_GRAMS n-grams per language and MAX_LANGUAGES languages bound the arrays that are
-sent to the tasks (with MAX_CELLS); counts are over all training documents.
+Spark. All counts of all languages give the lower orders (continuation counts), the discounts, and the
+interpolated probabilities: one row per n-gram, one number per language. MAX_GRAMS and MAX_CELLS bound what
+is sent to the tasks, as arrays sorted by hash. Counts that fit are fitted there as a whole (``fit``). More are
+fitted as stored tables (``tables_of``); the arrays then hold the 4-grams seen most often, with the same probabilities.
 
 Prediction: all characters of a text are scored under all languages at once; the language
-with the lowest cross-entropy per character is predicted. A language rejects what costs more than
+with the lowest cross-entropy per character is predicted. 4-grams that the arrays lack are counted per text,
+looked up in the tables and added, so no n-gram and no language is left out. A language rejects what costs more than
 almost all of its own calibration documents (``rejected``; the score falls with the distance).
 
 Folds by crc32(doc_id as text) mod 4: 2 is held out, 3 calibrates, 0 and 1 are counted. Text
@@ -21,7 +22,7 @@ equal predictions; equal cross-entropies take the first language in order.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,8 @@ from pyspark.sql import Window as W
 from pedalgrid.llm.common import mix64, text_groups
 from pedalgrid.session import cut_lineage
 
-#: Bounds of the model: n-grams kept per language (the most frequent), languages, and numbers in the
-#: table of the highest order, which has a row per n-gram and a column per language.
-MAX_GRAMS, MAX_LANGUAGES, MAX_CELLS = 1 << 17, 64, 1 << 25
+#: Bounds of the arrays that tasks get: rows, and numbers (rows times languages). Tables hold what is beyond.
+MAX_GRAMS, MAX_CELLS = 1 << 19, 1 << 22
 #: The share of the calibration documents that may be rejected, and the places of their costs that count.
 REJECTED, PLACES = 0.005, 4
 ORDER = 4
@@ -120,22 +120,13 @@ def gram_counts(training: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kept_grams(counts: DataFrame) -> DataFrame:
-    """The most frequent n-grams of each language by a least count: at most MAX_GRAMS, and with
-    many languages as many as keep the model within MAX_CELLS."""
-    sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("grams"))
-    above = W.partitionBy("lang").orderBy(F.desc("n"))  # over distinct counts, not n-grams
-    total = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    largest = total.orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES).select("lang")
-    most = min(MAX_GRAMS, MAX_CELLS // max(1, largest.count()) ** 2)
-    least = (
-        sizes.withColumn("upto", F.sum("grams").over(above))
-        .filter(F.col("upto") <= most)
-        .groupBy("lang")
-        .agg(F.min("n").alias("least"))
-        .join(largest, "lang", "left_semi")
-    )
-    return counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n")
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(gram) of those seen most often in all languages, by a least count: at most ``most``."""
+    totals = counts.groupBy("gram").agg(F.sum("n").alias("n"))
+    above = W.orderBy(F.desc("n"))  # over distinct counts, not n-grams
+    sizes = totals.groupBy("n").agg(F.count("*").alias("grams")).withColumn("upto", F.sum("grams").over(above))
+    least = sizes.filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return totals.filter(F.lit(False) if least is None else F.col("n") >= least).select("gram")
 
 
 class HashArray:
@@ -171,6 +162,9 @@ class Model:
     contexts: list[tuple[HashArray, np.ndarray]]
     unseen: float
     limits: np.ndarray | None = None
+    #: Whether the arrays hold all there is; else only 4-grams, and a row of zeros for the others.
+    whole: bool = True
+    tables: Tables | None = None
 
     def log_probs(self, keys: np.ndarray) -> np.ndarray:
         """(n-grams x languages), shorter contexts taken where an n-gram is unknown."""
@@ -209,6 +203,25 @@ class Model:
                     out[i] += self.log_probs(grams[a : min(a + step, offsets[i + 1])]).sum(axis=0, dtype=np.float64)
         return -out / np.maximum(n, 1)[:, None], n
 
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
+        """(texts x languages) log probabilities of the 4-grams in the arrays, the characters, and per text
+        the 4-grams that are not there, with their counts."""
+        if self.whole:
+            costs, n = self.entropies(texts)
+            return -costs * np.maximum(n, 1)[:, None], n, [None] * len(texts)
+        grams, offsets = char_grams(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        table, values = self.grams[-1]
+        at = table.find(grams)
+        out = np.zeros((len(texts), len(self.languages)))
+        step = max(1, (1 << 22) // len(self.languages))
+        for a in range(0, len(grams), step):
+            own = owner[a : a + step]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            out[own[first]] += np.add.reduceat(values[at[a : a + step]], first, axis=0, dtype=np.float64)
+        parts = [slice(a, z) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        return out, np.diff(offsets), [counted(grams[p][at[p] < 0]) for p in parts]
+
 
 def _mask(order: int) -> np.uint64:
     return np.uint64((1 << (16 * order)) - 1)
@@ -264,31 +277,140 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def train(docs: DataFrame) -> Model | None:
-    spark = docs.sparkSession
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_fold", fold(F.col("doc_id")))
-    kept = kept_grams(cut_lineage(gram_counts(labelled.filter("_fold IN (0, 1)")), "gram-counts"))
-    found = kept.toPandas()  # at most MAX_GRAMS * MAX_LANGUAGES rows
-    counts = []
-    for lang, own in found.sort_values(["lang", "gram"]).groupby("lang"):
-        grams, n = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()
-        order = np.argsort(grams)
-        counts.append((lang, grams[order], n[order]))
-    if not counts:
+@dataclass
+class Tables:
+    """A model as stored tables: per order its n-grams (gram, p) and its contexts (context, w), an array over all languages each."""
+
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    unseen: float
+    languages: int
+
+    def log_probs(self, wanted: DataFrame) -> DataFrame:
+        """(gram, logs) of the 4-grams ``wanted``, by the shorter contexts where one is unknown."""
+        log = lambda values: F.transform(values, lambda x: F.log(F.greatest(x, F.lit(1e-12))))
+        found, value = wanted.select("gram"), None
+        for order in range(1, ORDER + 1):
+            key = F.col("gram").bitwiseAND(_bits(order))
+            known = self.grams[order - 1].select(F.col("gram").alias("known"), F.col("p").alias(f"p{order}"))
+            found = found.join(known, key == F.col("known"), "left").drop("known")
+            own = log(F.col(f"p{order}"))
+            if value is None:
+                value = F.coalesce(own, F.array_repeat(F.lit(self.unseen), self.languages))
+                continue
+            after = self.contexts[order - 1].select(F.col("context").alias("known"), F.col("w").alias(f"w{order}"))
+            found = found.join(after, F.shiftrightunsigned(key, 16) == F.col("known"), "left").drop("known")
+            weight = F.col(f"w{order}")
+            lower = F.when(weight.isNull(), value).otherwise(F.zip_with(log(weight), value, lambda x, y: x + y))
+            value = F.coalesce(own, lower)
+        return found.select("gram", value.alias("logs"))
+def _bits(order: int) -> Column:
+    return F.lit(-1 if order == ORDER else (1 << (16 * order)) - 1).cast("long")
+
+
+def tables_of(counts: DataFrame, languages: list[str]) -> Tables:
+    """:func:`fit` as joins: the probabilities of every 4-gram, and of all lower orders, from all of ``counts``."""
+
+    def dense(value: str, missing: float) -> Column:
+        held = F.map_from_entries(F.collect_list(F.struct("lang", value)))
+        names = F.array(*(F.lit(x) for x in languages))
+        return F.transform(names, lambda x: F.coalesce(F.try_element_at(held, x), F.lit(missing)))
+
+    levels = [counts.select("lang", "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = levels[0].groupBy("lang", F.col("gram").bitwiseAND(_bits(order)).alias("gram"))
+        levels.insert(0, cut_lineage(shorter.agg(F.count("*").alias("n")), f"grams-{order}"))
+    base = 1.0 / (levels[0].select("gram").distinct().count() + 1)
+    grams, contexts = [], []
+    for order, level in enumerate(levels, 1):
+        rows = level.withColumn("context", F.shiftrightunsigned("gram", 16))
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5)
+        kinds = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        after = kinds.join(F.broadcast(level.groupBy("lang").agg(discount.alias("d"))), "lang")  # a row per language
+        seen = rows.join(after, ["lang", "context"]).withColumn("s", F.greatest(F.col("n") - F.col("d"), F.lit(0)) / F.col("total"))
+        weights = after.withColumn("w", F.col("d") * F.col("kinds") / F.col("total"))
+        contexts.append(cut_lineage(weights.groupBy("context").agg(dense("w", 1.0).alias("w")), f"contexts-{order}"))
+        known = seen.groupBy("gram", "context").agg(dense("s", 0.0).alias("s")).join(contexts[-1], "context")
+        if order == 1:
+            p = F.zip_with("s", "w", lambda s, w: s + w * F.lit(base))
+        else:
+            lower = grams[-1].select(F.col("gram").alias("shorter"), F.col("p").alias("q"))
+            known = known.join(lower, F.col("gram").bitwiseAND(_bits(order - 1)) == F.col("shorter"))
+            p = F.zip_with("s", F.zip_with("w", "q", lambda w, q: w * q), lambda s, x: s + x)
+        grams.append(cut_lineage(known.select("gram", p.alias("p")), f"model-{order}"))
+    return Tables(grams, contexts, float(np.log(base)), len(languages))
+
+
+def model_of(counts: DataFrame) -> Model | None:
+    """The model of stored (lang, gram, n): as arrays if all of it fits, else as tables with arrays before them."""
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not languages:
         return None
-    model = fit(counts)
-    model.limits = np.full(len(counts), np.inf)
-    calibration = labelled.filter("_fold = 3").filter(F.col("lang").isin(model.languages)).select("doc_id", "lang", "text")
-    shared = spark.sparkContext.broadcast(model)
+    most = min(MAX_GRAMS, MAX_CELLS // len(languages))
+    if counts.count() <= most:
+        found = counts.toPandas().sort_values(["lang", "gram"])
+        parts = []
+        for lang, own in found.groupby("lang"):
+            grams, n = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()
+            order = np.argsort(grams)
+            parts.append((lang, grams[order], n[order]))
+        return fit(parts)
+    tables = tables_of(counts, languages)
+    near = tables.grams[-1].join(frequent(counts, most), "gram").toPandas()
+    array = HashArray(near["gram"].to_numpy(np.int64).view(np.uint64))
+    values = np.zeros((len(near) + 1, len(languages)), np.float32)  # the last row is of all others
+    if len(near):
+        values[:-1] = np.log(np.maximum(np.stack(near["p"]), 1e-12))[array.order]
+    return Model(languages, [(array, values)], [], tables.unseen, whole=False, tables=tables)
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` without their text, with the number of characters n and the costs under all languages per character."""
+    beside = [c for c in rows.columns if c != "text"]
+    arrays = replace(model, tables=None)  # DataFrames stay with the driver
+    shared = rows.sparkSession.sparkContext.broadcast(arrays)
 
-    def own_cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for langs, costs, n in _scored(shared.value, b["text"].tolist(), b["lang"].tolist()):
-                mine = np.array([shared.value.languages.index(x) for x in langs], int)
-                good = n > 0
-                yield pd.DataFrame({"lang": np.array(langs, object)[good], "cost": costs[np.arange(len(mine)), mine][good]})
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            for a, z in text_groups(texts, 1 << 19):
+                sums, n, others = shared.value.sums(texts[a:z])
+                out = b.iloc[a:z][[*beside, "k1", "k2"]].copy()
+                out["n"], out["sums"] = n, list(sums)
+                out["grams"] = [None if o is None or not len(o[0]) else o[0].view(np.int64) for o in others]
+                out["times"] = [None if o is None or not len(o[0]) else o[1] for o in others]
+                yield out
+
+    text = F.col("text")
+    keyed = rows.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)})  # equal texts cost the same
+    kept = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
+    made = keyed.mapInPandas(
+        run, f"{kept}, k1 long, k2 long, n long, sums array<double>, grams array<long>, times array<long>"
+    )
+    total = F.col("sums")
+    if not model.whole:
+        made = cut_lineage(made, "scored")
+        others = made.filter("grams IS NOT NULL").select("k1", "k2", "grams", "times").dropDuplicates(["k1", "k2"])
+        others = others.select("k1", "k2", F.inline(F.arrays_zip("grams", "times")).alias("gram", "times"))
+        logs = cut_lineage(model.tables.log_probs(others.select("gram").distinct()), "logs")
+        each = (F.sum(F.col("times") * F.get("logs", F.lit(j))) for j in range(len(model.languages)))
+        rest = others.join(logs, "gram").groupBy("k1", "k2").agg(F.array(*each).alias("rest"))
+        made = made.join(rest, ["k1", "k2"], "left")
+        total = F.when(F.col("rest").isNull(), total).otherwise(F.zip_with("sums", "rest", lambda x, y: x + y))
+    per = F.greatest("n", F.lit(1))
+    return made.select(*beside, "n", F.transform(total, lambda x: -x / per).alias("costs"))
 
-    costs = calibration.select("lang", "text").mapInPandas(own_cost, "lang string, cost double")
+
+def train(docs: DataFrame) -> Model | None:
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_fold", fold(F.col("doc_id")))
+    model = model_of(cut_lineage(gram_counts(labelled.filter("_fold IN (0, 1)")), "gram-counts"))
+    if model is None:
+        return None
+    model.limits = np.full(len(model.languages), np.inf)
+    place = F.array_position(F.array(*(F.lit(x) for x in model.languages)), F.col("lang"))
+    calibration = scored(labelled.filter("_fold = 3").select("lang", "text"), model).filter((F.col("n") > 0) & (place > 0))
+    costs = calibration.select("lang", F.element_at("costs", place.cast("int")).alias("cost"))
     # All of them, as counts of costs rounded up: as many as costs can have, not as there are documents.
     unit = F.lit(float(10**PLACES))
     histogram = costs.groupBy("lang", (F.ceil(F.col("cost") * unit) / unit).alias("cost")).agg(F.count("*").alias("n"))
@@ -298,46 +420,31 @@ def train(docs: DataFrame) -> Model | None:
     return model
 
 
-def _scored(model: Model, texts: list[str], beside: list) -> Iterator[tuple]:
-    for a, z in text_groups(texts, 1 << 19):
-        yield (beside[a:z], *model.entropies(texts[a:z]))
-
-
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected per row of ``docs``."""
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(
-        F.col("doc_id").cast("string").alias("doc_id"),  # null stays null in pandas
-        F.coalesce(fold(F.col("doc_id")) == 2, F.lit(True)).alias("held_out"),
-        "text",
-    )
+    held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(True)).alias("held_out")
     if model is None:
-        return rows.select(
-            F.col("doc_id").cast(kind), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+        return docs.select(
+            "doc_id", held_out, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
             F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"),
         )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        names = np.array(model.languages, object)
-        for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for own, costs, n in _scored(model, texts, list(range(len(texts)))):
-                best = costs.argmin(axis=1)
-                low = costs[np.arange(len(best)), best]
-                chance = 1 / np.exp(-np.minimum(n, 50)[:, None] * (costs - low[:, None])).sum(axis=1)
-                over = low - model.limits[best]
-                none = n == 0
-                out = b.iloc[own][["doc_id", "held_out"]].copy()
-                out["lang_pred"] = np.where(none, UNKNOWN, names[best])
-                out["score"] = np.where(none, 0.0, chance * np.exp(-np.maximum(over, 0)))
-                out["cross_entropy"] = np.where(none, np.nan, low)
-                out["rejected"] = none | (over > 0)
-                yield out
-
-    schema = "doc_id string, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
-    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out, "text")  # null stays null in pandas
+    low = F.array_min("costs")
+    best = F.array_position("costs", low).cast("int")
+    costs = scored(rows, model).withColumns({"low": low, "best": best})
+    names, limits = (F.array(*(F.lit(x) for x in values)) for values in (model.languages, model.limits.tolist()))
+    chances = F.transform("costs", lambda c: F.exp(-F.least("n", F.lit(50)) * (c - F.col("low"))))
+    chance = 1 / F.aggregate(chances, F.lit(0.0), lambda x, y: x + y)
+    over, none = F.col("low") - F.element_at(limits, F.col("best")), F.col("n") == 0
+    return costs.select(
+        F.col("doc_id").cast(kind),
+        "held_out",
+        F.when(none, UNKNOWN).otherwise(F.element_at(names, F.col("best"))).alias("lang_pred"),
+        F.when(none, 0.0).otherwise(chance * F.exp(-F.greatest(over, F.lit(0.0)))).alias("score"),
+        F.when(~none, F.col("low")).alias("cross_entropy"),
+        (none | (over > 0)).alias("rejected"),
+    )
 
 
 def language_id(docs: DataFrame) -> DataFrame:
