@@ -39,26 +39,19 @@ def slice_bounds(
 def slice_of(col: Column, bounds: Sequence) -> Column:
     """How many of ``bounds`` are <= ``col`` (all of them for NULL).
 
-    A binary search over one constant array: the expression does not grow with the number of
-    bounds, so it compiles for any width.
+    A binary search over one constant array, in halving steps: the expression does not grow with the number of
+    bounds, so it compiles for any width, and a row costs a comparison and a number per step. ``col`` is
+    evaluated in every step.
     """
     if not bounds:
         return F.lit(0)
     cuts = F.array(*(F.lit(b) for b in bounds))
-    searched = F.struct(col.alias("x"), F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-
-    def halve(s: Column, _step: Column) -> Column:
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        done = s["lo"] >= s["hi"]
-        above = F.coalesce(F.get(cuts, mid) <= s["x"], F.lit(True))
-        return F.struct(
-            s["x"].alias("x"),
-            F.when(done | ~above, s["lo"]).otherwise(mid + 1).alias("lo"),
-            F.when(done | above, s["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, searched, halve, lambda s: s["lo"])
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+
+    def climb(at: Column, step: Column) -> Column:
+        return F.when(F.get(cuts, at + step - 1) <= col, at + step).otherwise(at)
+
+    return F.when(col.isNull(), F.lit(len(bounds))).otherwise(F.aggregate(steps, F.lit(0), climb))
 
 
 def time_slices(df: DataFrame, time_col: str, slices: int | None = None) -> Column:
