@@ -28,7 +28,7 @@ from pedalgrid.operators import (
     validate,
 )
 from pedalgrid.plans.fleet import Fleet, fleet, plain, rounded
-from pedalgrid.session import fresh_path
+from pedalgrid.session import fresh_path, shuffle_width
 from pedalgrid.sources import files, tables
 from pedalgrid.streaming import jobs, keyed, poll
 
@@ -247,9 +247,10 @@ def _as_it_comes(f: Fleet, rows: DataFrame, key: str, time_col: str, label: str,
     """
     feed = fresh_path(f.spark, f"{label}-feed")
     rows.write.parquet(feed)
+    groups = keyed.groups_for(f.spark.read.schema(rows.schema).parquet(feed).count(), shuffle_width(f.spark))
     keyed.heartbeat(rows, key, time_col, AFTER_ALL).write.mode("append").parquet(feed)
     stream = f.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", MICRO_BATCH_FILES)
-    return jobs.run_available(capture(stream.parquet(feed), delay="40 days"), label)
+    return jobs.run_available(capture(stream.parquet(feed), delay="40 days", groups=groups), label)
 
 
 @query

@@ -140,6 +140,53 @@ def test_threshold_batch_and_stream_equal_the_loop(spark, seed, share):
     assert pick(feed(spark, VEHICLES, keyed.vehicle_stream, parts, "t-veh")) == want
 
 
+def run_in_groups(spark, parts, capture, label):
+    """The rows kept over one run per part, and the rows of state: of its last rows per key, one per group."""
+    src, out, log = (fresh_path(spark, f"{label}-{x}") for x in ("feed", "out", "log"))
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        got = jobs.run_available(capture(spark.readStream.schema(part.schema).parquet(src)), label, out, log)
+    state = spark.read.format("statestore").option("stateVarName", "last").load(log)
+    return got, state.count()
+
+
+def test_changes_of_many_keys_in_few_groups(spark):
+    """Keys of a group are kept apart, a key without an id too; the state has a row per group, not per key."""
+    rnd = random.Random(7)
+    keys = [None, *(f"S{k}" for k in range(30))]
+    rows = [(s, m, rnd.choice([1, 1, 2, None])) for s in keys for m in range(0, 240, 6) if s != "S3" or not 60 < m < 180]
+    shown = lambda df: sorted((str(r.station_id), minute_of(r.polled_at)) for r in df.collect())
+    want = shown(cdc.cdc_batch(series(spark, [(s or "None", *r) for s, *r in rows])))
+    late = sorted(rows, key=lambda r: r[1] + rnd.uniform(0, 50))
+    parts = [series(spark, late[i : i + 500] + late[max(0, i - 40) : i]) for i in range(0, len(late), 500)]
+    parts.append(keyed.heartbeat(parts[0], "station_id", "polled_at", FAR))
+    got, state = run_in_groups(spark, parts, lambda s: keyed.cdc_stream(s, groups=3), "t-groups")
+    assert shown(got) == want and state == 3
+
+
+def test_vehicles_of_few_groups_equal_the_loop(spark):
+    """Vehicles that share a group, some silent for whole runs, keep their own last kept rows."""
+    rnd, rows = random.Random(8), []
+    for v in range(25):
+        lat, lon, reach, off = 37.7, -122.4, 9000, 0
+        for m in range(0, 300, 5):
+            lat, reach = lat + rnd.uniform(-1, 1) * 2e-4, reach - rnd.randrange(60)
+            off = 1 - off if rnd.random() < 0.02 else off
+            if v % 5 or not 90 < m < 220:
+                rows.append((f"b{v}", at(m), lat, lon, reach, off, 0))
+    df = spark.createDataFrame(rows, VEHICLES)
+    time = F.col("observed_at")
+    parts = [df.filter((time >= F.lit(at(a))) & (time < F.lit(at(a + 100)))) for a in (0, 100, 200)]
+    parts[1] = parts[1].unionByName(parts[0].limit(50))  # some come twice
+    parts.append(keyed.heartbeat(df, "bike_id", "observed_at", FAR))
+    got, state = run_in_groups(spark, parts, lambda s: keyed.vehicle_stream(s, groups=2), "t-vgroups")
+    assert sorted((r.bike_id, minute_of(r.observed_at)) for r in got.collect()) == loop(rows) and state == 2
+
+
+def test_groups_grow_with_the_rows_that_wait():
+    assert [keyed.groups_for(n, 24) for n in (0, 100_000, 6_000_000, 36_000_000)] == [24, 24, 367, 2198]
+
+
 def test_slow_drift_is_emitted(spark):
     rows = [("v", at(i), 37.7 + i * 1e-4, -122.4, 100, 0, 0) for i in range(10)]  # 11 m a step
     got = cdc.cdc_threshold(spark.createDataFrame(rows, VEHICLES)).orderBy("observed_at").collect()
