@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark import BarrierTaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pedalgrid.constants import (
     MIN_POSITIVES,
     TRAIN_SHARE,
 )
+from pedalgrid.functions.boosting import fit_trees, gathered, merged, score_trees
 from pedalgrid.functions.scores import average_precision
 from pedalgrid.operators.demand import with_demand
 from pedalgrid.session import cut_lineage, forget, fresh_path, shared_dir
@@ -28,6 +29,9 @@ from pedalgrid.session import cut_lineage, forget, fresh_path, shared_dir
 FEATURES = ["ebikes", "bikes", "docks", "hour", "weekend", "demand_bin", "flow_30m", "flow_60m"]
 #: The trees tell apart as many ranges of a feature; of the demand they are made before, on all training rows.
 BINS = 32
+#: Distinct training rows of a horizon that one task holds, some 120 bytes each.
+FIT_ROWS = 1 << 21
+TREES = "tree int, feature array<long>, upto array<long>, value array<double>"
 
 
 def forecast_rows(grid: DataFrame, demand: DataFrame, horizons=HORIZONS_MINUTES) -> DataFrame:
@@ -153,6 +157,43 @@ def weighted_rows(rows: DataFrame, bins: Bucketizer) -> DataFrame:
     return bins.transform(rows).groupBy("horizon", "starved_future", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
 
 
+def feature_cuts(train: DataFrame, bins: int = BINS) -> dict[str, list[float]]:
+    """Where the ranges of each feature end: between any two values, or where about equal numbers of rows lie if
+    there are more than ``bins``. The driver gets the distinct values of counts."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES)))
+    counted = train.select(each.alias("e"), "weight").filter("e.value IS NOT NULL").groupBy("e.feature", "e.value")
+    found = counted.agg(F.sum("weight").alias("n")).toPandas().sort_values("value")
+    cuts = {}
+    for f in FEATURES:
+        own = found[found["feature"] == f]
+        values, upto = own["value"].to_numpy(), own["n"].cumsum().to_numpy()
+        last = np.arange(len(values) - 1)
+        if len(values) > bins:
+            last = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, bins) / bins))
+            last = last[last < len(values) - 1]
+        cuts[f] = ((values[last] + values[last + 1]) / 2).tolist() if len(values) else []
+    return cuts
+
+
+def _ranges(columns: Mapping[str, pd.Series], cuts: Mapping[str, Sequence[float]]) -> np.ndarray:
+    """The range of each feature, a row per row; what is missing counts as greatest."""
+    return np.stack([np.searchsorted(cuts[f], columns[f].to_numpy(float)) for f in FEATURES], axis=1).astype(np.uint8)
+
+
+def _fit_run(cuts: dict[str, list[float]], rounds: int, tasks: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = BarrierTaskContext.get() if tasks > 1 else None
+        parts = [(np.zeros((0, len(FEATURES)), np.uint8), np.zeros(0, np.uint8), np.zeros(0))]
+        parts += [(_ranges(b, cuts), b["starved_future"].to_numpy(np.uint8), b["weight"].to_numpy()) for b in batches]
+        rows = merged(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        sizes = [len(cuts[f]) + 1 for f in FEATURES]
+        trees = fit_trees(*rows, sizes, rounds, gathered(context) if context else lambda x: x)
+        if context is None or context.partitionId() == 0:
+            yield pd.DataFrame({"tree": range(rounds)} | dict(zip(("feature", "upto", "value"), map(list, trees), strict=True)))
+
+    return run
+
+
 def fit_models(
     rows: DataFrame,
     folder: str,
@@ -162,10 +203,12 @@ def fit_models(
 ) -> list[int]:
     """Fit boosted trees on the training rows of each horizon that has enough positives, side by side.
 
-    The trees see every training row, equal ones as one row with a weight. Each model is stored in ``folder``, with
-    the features it takes; returns the horizons.
+    The trees see every training row, equal ones as one row with a weight. A task holds the rows of a horizon as
+    ranges; more than ``FIT_ROWS`` are dealt to tasks that add up their sums, a stage for all rounds in either
+    case. Each model is stored in ``folder``, with the ranges of its features; returns the horizons. Nothing is
+    drawn, so ``seed`` changes nothing.
     """
-    shared_dir(rows.sparkSession)  # the trees cut their lineage there
+    spark = rows.sparkSession
     tested = rows.filter("is_test").groupBy("horizon").agg(F.sum("starved_future").alias("hits"))
     horizons = sorted(r.horizon for r in tested.filter(F.col("hits") >= min_positives).collect())
     if not horizons:
@@ -173,15 +216,17 @@ def fit_models(
     past = rows.filter(~F.col("is_test"))
     bins = demand_bins(past)
     train = cut_lineage(weighted_rows(past, bins), "train")
+    held = {r.horizon: r["count"] for r in train.groupBy("horizon").count().collect()}
+    cuts = feature_cuts(train)
+    stored = cuts | {"demand": bins.getSplits()[1:-1]}
+    spark.createDataFrame(list(stored.items()), "feature string, cuts array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/cuts")
 
     def fit(horizon: int) -> None:
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        trees = GBTClassifier(
-            labelCol="starved_future", weightCol="weight", maxIter=rounds, seed=seed, maxBins=BINS, checkpointInterval=10
-        )
-        own = assembler.transform(train.filter(F.col("horizon") == horizon))
-        model = PipelineModel(stages=[bins, assembler, trees.fit(own)])
-        model.write().overwrite().save(f"{folder}/horizon={horizon}")
+        tasks = max(1, min(math.ceil(held.get(horizon, 0) / FIT_ROWS), spark.sparkContext.defaultParallelism))
+        own = train.filter(F.col("horizon") == horizon).select("starved_future", "weight", *FEATURES)
+        own = own.repartition(tasks, *FEATURES) if tasks > 1 else own.coalesce(1)
+        trees = own.mapInPandas(_fit_run(cuts, rounds, tasks), TREES, barrier=tasks > 1)
+        trees.write.mode("overwrite").parquet(f"{folder}/horizon={horizon}")
 
     with ThreadPool(len(horizons)) as pool:
         pool.map(fit, horizons)
@@ -190,15 +235,29 @@ def fit_models(
 
 
 def score_models(rows: DataFrame, folder: str, horizons: Sequence[int]) -> DataFrame:
-    """The test rows of the horizons with ``m1``, by the models stored in ``folder``."""
+    """The test rows of the horizons with ``m1``, by the models stored in ``folder``, in one pass."""
     keep = ["horizon", "bucket", "station_id", "ebikes", "demand", "starved_future", "is_test"]
-
-    def score(horizon: int) -> DataFrame:
-        model = PipelineModel.load(f"{folder}/horizon={horizon}")
-        scored = model.transform(rows.filter((F.col("horizon") == horizon) & F.col("is_test")))
-        return scored.select(*keep, vector_to_array("probability")[1].alias("m1"))
-
-    return reduce(DataFrame.unionByName, [score(h) for h in horizons])
+    spark = rows.sparkSession
+    cuts = {r.feature: r.cuts for r in spark.read.parquet(f"{folder}/cuts").collect()}
+    models = {}
+    for horizon in horizons:
+        trees = spark.read.schema(TREES).parquet(f"{folder}/horizon={horizon}").orderBy("tree").toPandas()
+        models[horizon] = [np.stack(trees[c]) for c in ("feature", "upto", "value")]
+    raw = [f if f != "demand_bin" else "demand" for f in FEATURES]
+
+    @F.pandas_udf("double")
+    def chance(horizon: pd.Series, *values: pd.Series) -> pd.Series:
+        columns = dict(zip(FEATURES, values, strict=True))
+        columns["demand_bin"] = pd.Series(np.searchsorted(cuts["demand"], columns["demand_bin"], side="right"))
+        ranges, asked = _ranges(columns, cuts), horizon.to_numpy()
+        out = np.zeros(len(asked))
+        for h in np.unique(asked).tolist():
+            own = asked == h
+            out[own] = score_trees(ranges[own], *models[h])
+        return pd.Series(out)
+
+    asked = rows.filter(F.col("is_test") & F.col("horizon").isin(list(horizons)))
+    return asked.select(*keep, chance("horizon", *raw).alias("m1"))
 
 
 def boosted_models(rows: DataFrame, rounds: int = BOOSTING_ROUNDS, min_positives: int = MIN_POSITIVES) -> DataFrame:
