@@ -15,8 +15,12 @@ import numpy as np
 
 DEPTH, STEP = 5, 0.1
 NODES, LEAVES = (1 << DEPTH) - 1, 1 << DEPTH
+#: Ranges of a feature at most.
+RANGES = 32
 #: Features are summed together as long as their ranges make no more combinations.
 COMBINATIONS = 1 << 10
+#: A gain that is a smaller share of what is there already is the error of sums.
+ROUNDING = 1e-10
 
 Total = Callable[[np.ndarray], np.ndarray]
 
@@ -54,31 +58,59 @@ class Sums:
             for g, shape in zip(self.groups, self.shapes, strict=True)
         ]
 
-    def count(self, node: np.ndarray, width: int, weight: np.ndarray, pull: np.ndarray, total: Total) -> list[np.ndarray]:
-        """Per feature an array (2, nodes, ranges)."""
+    def count(self, node: np.ndarray, width: int, rows: np.ndarray | slice, weight: np.ndarray, pull: np.ndarray) -> list[np.ndarray]:
+        """Per group an array (2, nodes, ranges of its features) of the chosen rows."""
+        node, weight, pull = node[rows], weight[rows], pull[rows]
         made = []
         for code, shape in zip(self.codes, self.shapes, strict=True):
             cells = math.prod(shape)
-            at = node * cells + code
-            made += [np.bincount(at, x, width * cells) for x in (weight, pull)]
-        cut = np.cumsum([len(m) for m in made])[:-1]
-        made = np.split(total(np.concatenate(made)), cut)
+            at = node * cells + code[rows]
+            made.append(np.stack([np.bincount(at, x, width * cells) for x in (weight, pull)]).reshape(2, width, *shape))
+        return made
+
+    def next_level(
+        self, before: list[np.ndarray] | None, node: np.ndarray, width: int, weight: np.ndarray, pull: np.ndarray, total: Total
+    ) -> list[np.ndarray]:
+        """The sums of a level from those of the level before: of two nodes made from one, the rows of the
+        smaller are counted, and the other is the rest."""
+        if before is None:
+            return _totalled(self.count(node, 1, slice(None), weight, pull), total)
+        size = total(np.bincount(node, minlength=width).astype(float))
+        smaller = size.reshape(-1, 2).argmin(axis=1)
+        less = np.zeros(width, bool)
+        less[2 * np.arange(width // 2) + smaller] = True
+        few = _totalled(self.count(node >> 1, width // 2, np.flatnonzero(less[node]), weight, pull), total)
+        out = []
+        for whole, part in zip(before, few, strict=True):
+            both = np.stack([part, whole - part], axis=2)
+            both[:, smaller == 1] = both[:, smaller == 1][:, :, ::-1]
+            out.append(both.reshape(2, width, *part.shape[2:]))
+        return out
+
+    def by_feature(self, made: list[np.ndarray]) -> list[np.ndarray]:
+        """Per feature an array (2, nodes, ranges)."""
         out: list[np.ndarray] = [None] * len(self.sizes)
-        for i, (g, shape) in enumerate(zip(self.groups, self.shapes, strict=True)):
-            both = np.stack(made[2 * i : 2 * i + 2]).reshape(2, width, *shape)
+        for g, sums in zip(self.groups, made, strict=True):
             for j, f in enumerate(g):
-                out[f] = both.sum(axis=tuple(2 + k for k in range(len(g)) if k != j))
+                out[f] = sums.sum(axis=tuple(2 + k for k in range(len(g)) if k != j))
         return out
 
 
+def _totalled(made: list[np.ndarray], total: Total) -> list[np.ndarray]:
+    cut = np.cumsum([m.size for m in made])[:-1]
+    flat = total(np.concatenate([m.ravel() for m in made]))
+    return [part.reshape(m.shape) for part, m in zip(np.split(flat, cut), made, strict=True)]
+
+
 def best_splits(sums: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Per node the feature and its last range to the left, weight and pull there, and whether that gains at all."""
     whole = sums[0].sum(axis=2)
     left = np.concatenate([np.cumsum(s, axis=2)[:, :, :-1] for s in sums], axis=2)
     right = whole[:, :, None] - left
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = left[1] ** 2 / left[0] + right[1] ** 2 / right[0] - (whole[1] ** 2 / whole[0])[:, None]
-    gain = np.where((left[0] > 0) & (right[0] > 0), gain, 0.0)
+        least = (whole[1] ** 2 / whole[0])[:, None]
+        gain = left[1] ** 2 / left[0] + right[1] ** 2 / right[0] - least
+    gain = np.where((left[0] > 0) & (right[0] > 0) & (gain > ROUNDING * least), gain, 0.0)
     if not gain.shape[1]:
         none = np.zeros(len(gain), np.int64)
         return none, none, whole, whole, none > 0
@@ -103,10 +135,11 @@ def fit_trees(
     for t in range(rounds):
         # the first tree is fitted on the labels, as a whole; the others on the gradient, in steps
         pull = weight * (sign if t == 0 else 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin)))
-        node = np.zeros(n, np.intp)
+        node, made = np.zeros(n, np.intp), None
         for level in range(DEPTH):
             width = 1 << level
-            f, u, left, whole, splits = best_splits(sums.count(node, width, weight, pull, total))
+            made = sums.next_level(made, node, width, weight, pull, total)
+            f, u, left, whole, splits = best_splits(sums.by_feature(made))
             own = slice(width - 1, 2 * width - 1)
             feature[t, own], upto[t, own] = np.where(splits, f, 0), np.where(splits, u, 255)
             node = 2 * node + (flat[first + feature[t, own][node]] > upto[t, own][node])
@@ -117,24 +150,41 @@ def fit_trees(
     return feature, upto, value
 
 
-def score_trees(ranges: np.ndarray, feature: np.ndarray, upto: np.ndarray, value: np.ndarray, rows: int = 1024) -> np.ndarray:
+def leaf_tables(feature: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """(features, ranges, trees): which leaves, as bits, a range of a feature leaves open in each tree. What all
+    features of a row leave open is its leaf."""
+    ranges, trees = np.arange(RANGES)[:, None], np.arange(len(feature))
+    out = np.full((feature.max(initial=0) + 1, RANGES, len(feature)), (1 << LEAVES) - 1, np.uint32)
+    for level in range(DEPTH):
+        half = LEAVES >> level + 1
+        for place in range(1 << level):
+            node, left = (1 << level) - 1 + place, ((1 << half) - 1) << 2 * half * place
+            shut = np.where(ranges > upto[:, node], np.uint32(left), np.uint32(left << half))
+            out[feature[:, node], :, trees] &= ~shut.T
+    return out
+
+
+def score_leaves(ranges: np.ndarray, tables: np.ndarray, value: np.ndarray, rows: int = 256) -> np.ndarray:
     """The probability of each row of ``ranges``; equal rows are scored once."""
     if not len(ranges):
         return np.zeros(0)
     _, at, back = np.unique(packed(ranges), return_index=True, return_inverse=True)
-    once, trees = ranges[at], np.arange(len(value))[:, None]
+    once, first = ranges[at], np.arange(len(value)) * LEAVES
     margin = np.zeros(len(once))
     for a in range(0, len(once), rows):
         part = once[a : a + rows]
-        flat, first = part.ravel(), np.arange(len(part)) * part.shape[1]
-        node = np.zeros((len(value), len(part)), np.int64)
-        for level in range(DEPTH):
-            place = trees * NODES + ((1 << level) - 1) + node
-            node = 2 * node + (flat[first + feature.ravel()[place]] > upto.ravel()[place])
-        margin[a : a + rows] = value.ravel()[trees * LEAVES + node].sum(axis=0)
+        open_ = tables[0].take(part[:, 0], axis=0)
+        for f in range(1, len(tables)):
+            open_ &= tables[f].take(part[:, f], axis=0)
+        leaf = np.bitwise_count((open_ & (~open_ + np.uint32(1))) - np.uint32(1))
+        margin[a : a + rows] = value.ravel().take(first + leaf).sum(axis=1)
     return (1.0 / (1.0 + np.exp(-2.0 * margin)))[back]
 
 
+def score_trees(ranges: np.ndarray, feature: np.ndarray, upto: np.ndarray, value: np.ndarray, rows: int = 256) -> np.ndarray:
+    return score_leaves(ranges, leaf_tables(feature, upto), value, rows)
+
+
 def gathered(context) -> Total:
     """Adds up the arrays of all tasks of a barrier stage, in the order of the tasks."""
 

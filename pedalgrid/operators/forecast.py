@@ -21,14 +21,14 @@ from pedalgrid.constants import (
     MIN_POSITIVES,
     TRAIN_SHARE,
 )
-from pedalgrid.functions.boosting import fit_trees, gathered, merged, score_trees
+from pedalgrid.functions.boosting import RANGES, fit_trees, gathered, leaf_tables, merged, score_leaves
 from pedalgrid.functions.scores import average_precision
 from pedalgrid.operators.demand import with_demand
 from pedalgrid.session import cut_lineage, forget, fresh_path, shared_dir
 
 FEATURES = ["ebikes", "bikes", "docks", "hour", "weekend", "demand_bin", "flow_30m", "flow_60m"]
 #: The trees tell apart as many ranges of a feature; of the demand they are made before, on all training rows.
-BINS = 32
+BINS = RANGES
 #: Distinct training rows of a horizon that one task holds, some 120 bytes each.
 FIT_ROWS = 1 << 21
 TREES = "tree int, feature array<long>, upto array<long>, value array<double>"
@@ -242,7 +242,8 @@ def score_models(rows: DataFrame, folder: str, horizons: Sequence[int]) -> DataF
     models = {}
     for horizon in horizons:
         trees = spark.read.schema(TREES).parquet(f"{folder}/horizon={horizon}").orderBy("tree").toPandas()
-        models[horizon] = [np.stack(trees[c]) for c in ("feature", "upto", "value")]
+        feature, upto, value = (np.stack(trees[c]) for c in ("feature", "upto", "value"))
+        models[horizon] = leaf_tables(feature, upto), value
     raw = [f if f != "demand_bin" else "demand" for f in FEATURES]
 
     @F.pandas_udf("double")
@@ -253,7 +254,7 @@ def score_models(rows: DataFrame, folder: str, horizons: Sequence[int]) -> DataF
         out = np.zeros(len(asked))
         for h in np.unique(asked).tolist():
             own = asked == h
-            out[own] = score_trees(ranges[own], *models[h])
+            out[own] = score_leaves(ranges[own], *models[h])
         return pd.Series(out)
 
     asked = rows.filter(F.col("is_test") & F.col("horizon").isin(list(horizons)))

@@ -123,3 +123,49 @@ def test_nothing_to_learn():
     one = boosting.fit_trees(np.array([[0, 1], [1, 0]], np.uint8), np.ones(2, np.uint8), np.ones(2), [2, 2], 3)
     assert boosting.score_trees(np.array([[0, 1], [1, 1]], np.uint8), *one).min() > 0.8
     assert len(boosting.score_trees(np.zeros((0, 2), np.uint8), *one)) == 0
+
+
+def some_trees(rows=3000, rounds=6):
+    rng = np.random.default_rng(5)
+    sizes = [7, 32, 2, 5]
+    ranges = np.stack([rng.integers(0, s, rows) for s in sizes], axis=1).astype(np.uint8)
+    label = (rng.random(rows) < (ranges[:, 0] + ranges[:, 1] / 4) / 15).astype(np.uint8)
+    return sizes, ranges, label, boosting.fit_trees(ranges, label, np.ones(rows), sizes, rounds)
+
+
+def test_leaves_by_bits_are_those_of_the_walk():
+    _, ranges, _, (feature, upto, value) = some_trees()
+    want = []
+    for row in ranges[:400].tolist():
+        margin = 0.0
+        for f, u, v in zip(feature.tolist(), upto.tolist(), value.tolist(), strict=True):
+            node = 0
+            while node < boosting.NODES:
+                node = 2 * node + 1 + (row[f[node]] > u[node])
+            margin += v[node - boosting.NODES]
+        want.append(1 / (1 + np.exp(-2 * margin)))
+    assert len(set(want)) > 50
+    tables = boosting.leaf_tables(feature, upto)
+    assert boosting.score_leaves(ranges[:400], tables, value, rows=33) == pytest.approx(want, abs=1e-12)
+
+
+def test_a_level_counts_half_of_the_rows_at_most(monkeypatch):
+    """Before, each level of each tree counted all of them."""
+    counted, count = [], boosting.Sums.count
+
+    def watched(self, node, width, rows, weight, pull):
+        counted.append(len(weight[rows]))
+        return count(self, node, width, rows, weight, pull)
+
+    monkeypatch.setattr(boosting.Sums, "count", watched)
+    sizes, ranges, label, first = some_trees()
+    assert counted.count(len(label)) == 6  # the root of each tree
+    assert sorted(counted)[-7] <= len(label) / 2 and len(counted) == 6 * boosting.DEPTH
+    for level in range(boosting.DEPTH):  # the sums are those of counting all rows
+        width = 1 << level
+        node = np.random.default_rng(level).integers(0, width, len(label))
+        sums = boosting.Sums(ranges, sizes)
+        before = count(sums, node >> 1, max(width // 2, 1), slice(None), np.ones(len(label)), label * 1.0) if level else None
+        got = sums.next_level(before, node, width, np.ones(len(label)), label * 1.0, lambda x: x)
+        for a, b in zip(got, count(sums, node, width, slice(None), np.ones(len(label)), label * 1.0), strict=True):
+            assert a == pytest.approx(b, abs=1e-9)
