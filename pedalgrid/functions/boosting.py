@@ -1,15 +1,13 @@
 """Boosted regression trees on rows that stand for many: what the tasks of a fit and of a scoring run.
 
 Trees of fixed depth, least squares, logistic loss: the steps of Spark's ``GBTClassifier``, with all features as
-numbers of ranges. A level of a tree needs sums per (node, range) alone. A task makes them of its own rows and
-``total`` adds those of all tasks, so all tasks find the same trees, each in memory of its own rows.
+numbers of ranges. A level of a tree needs sums per (node, range) alone.
 """
 
 from __future__ import annotations
 
-import base64
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -22,8 +20,6 @@ COMBINATIONS = 1 << 10
 #: A gain that is a smaller share of what is there already is the error of sums.
 ROUNDING = 1e-10
 
-Total = Callable[[np.ndarray], np.ndarray]
-
 
 def packed(ranges: np.ndarray) -> np.ndarray:
     """A number per row: up to eight features of at most 128 ranges."""
@@ -69,17 +65,16 @@ class Sums:
         return made
 
     def next_level(
-        self, before: list[np.ndarray] | None, node: np.ndarray, width: int, weight: np.ndarray, pull: np.ndarray, total: Total
+        self, before: list[np.ndarray] | None, node: np.ndarray, width: int, weight: np.ndarray, pull: np.ndarray
     ) -> list[np.ndarray]:
         """The sums of a level from those of the level before: of two nodes made from one, the rows of the
         smaller are counted, and the other is the rest."""
         if before is None:
-            return _totalled(self.count(node, 1, slice(None), weight, pull), total)
-        size = total(np.bincount(node, minlength=width).astype(float))
-        smaller = size.reshape(-1, 2).argmin(axis=1)
+            return self.count(node, 1, slice(None), weight, pull)
+        smaller = np.bincount(node, minlength=width).reshape(-1, 2).argmin(axis=1)
         less = np.zeros(width, bool)
         less[2 * np.arange(width // 2) + smaller] = True
-        few = _totalled(self.count(node >> 1, width // 2, np.flatnonzero(less[node]), weight, pull), total)
+        few = self.count(node >> 1, width // 2, np.flatnonzero(less[node]), weight, pull)
         out = []
         for whole, part in zip(before, few, strict=True):
             both = np.stack([part, whole - part], axis=2)
@@ -96,12 +91,6 @@ class Sums:
         return out
 
 
-def _totalled(made: list[np.ndarray], total: Total) -> list[np.ndarray]:
-    cut = np.cumsum([m.size for m in made])[:-1]
-    flat = total(np.concatenate([m.ravel() for m in made]))
-    return [part.reshape(m.shape) for part, m in zip(np.split(flat, cut), made, strict=True)]
-
-
 def best_splits(sums: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Per node the feature and its last range to the left, weight and pull there, and whether that gains at all."""
     whole = sums[0].sum(axis=2)
@@ -122,7 +111,7 @@ def best_splits(sums: list[np.ndarray]) -> tuple[np.ndarray, ...]:
 
 
 def fit_trees(
-    ranges: np.ndarray, label: np.ndarray, weight: np.ndarray, sizes: Sequence[int], rounds: int, total: Total = lambda x: x
+    ranges: np.ndarray, label: np.ndarray, weight: np.ndarray, sizes: Sequence[int], rounds: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, upto, value) of all trees, each a row per tree: a row of ``ranges`` goes right where its range is
     greater than ``upto``. A node that does not split sends all rows left."""
@@ -138,7 +127,7 @@ def fit_trees(
         node, made = np.zeros(n, np.intp), None
         for level in range(DEPTH):
             width = 1 << level
-            made = sums.next_level(made, node, width, weight, pull, total)
+            made = sums.next_level(made, node, width, weight, pull)
             f, u, left, whole, splits = best_splits(sums.by_feature(made))
             own = slice(width - 1, 2 * width - 1)
             feature[t, own], upto[t, own] = np.where(splits, f, 0), np.where(splits, u, 255)
@@ -150,6 +139,27 @@ def fit_trees(
     return feature, upto, value
 
 
+def spark_trees(model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trees of a ``GBTClassificationModel`` on ranges, as :func:`fit_trees` returns them."""
+    weights = model.treeWeights
+    feature, upto = np.zeros((len(weights), NODES), np.int64), np.full((len(weights), NODES), 255, np.int64)
+    value = np.zeros((len(weights), LEAVES))
+
+    def walk(t: int, node, place: int) -> None:
+        if node.getClass().getSimpleName() == "LeafNode":
+            while place < NODES:
+                place = 2 * place + 1
+            value[t, place - NODES] = node.prediction() * weights[t]
+            return
+        feature[t, place], upto[t, place] = node.split().featureIndex(), math.floor(node.split().threshold())
+        walk(t, node.leftChild(), 2 * place + 1)
+        walk(t, node.rightChild(), 2 * place + 2)
+
+    for t, tree in enumerate(model._java_obj.trees()):
+        walk(t, tree.rootNode(), 0)
+    return feature, upto, value
+
+
 def leaf_tables(feature: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """(features, ranges, trees): which leaves, as bits, a range of a feature leaves open in each tree. What all
     features of a row leave open is its leaf."""
@@ -183,13 +193,3 @@ def score_leaves(ranges: np.ndarray, tables: np.ndarray, value: np.ndarray, rows
 
 def score_trees(ranges: np.ndarray, feature: np.ndarray, upto: np.ndarray, value: np.ndarray, rows: int = 256) -> np.ndarray:
     return score_leaves(ranges, leaf_tables(feature, upto), value, rows)
-
-
-def gathered(context) -> Total:
-    """Adds up the arrays of all tasks of a barrier stage, in the order of the tasks."""
-
-    def total(own: np.ndarray) -> np.ndarray:
-        parts = context.allGather(base64.b64encode(own.tobytes()).decode())
-        return np.sum([np.frombuffer(base64.b64decode(p)) for p in parts], axis=0)
-
-    return total

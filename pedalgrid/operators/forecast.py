@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +20,8 @@ from pedalgrid.constants import (
     MIN_POSITIVES,
     TRAIN_SHARE,
 )
-from pedalgrid.functions.boosting import RANGES, fit_trees, gathered, leaf_tables, merged, score_leaves
+from pedalgrid.functions.boosting import DEPTH, RANGES, fit_trees, leaf_tables, merged, score_leaves, spark_trees
+from pedalgrid.functions.ordered import slice_of
 from pedalgrid.functions.scores import average_precision
 from pedalgrid.operators.demand import with_demand
 from pedalgrid.session import cut_lineage, forget, fresh_path, shared_dir
@@ -29,7 +29,7 @@ from pedalgrid.session import cut_lineage, forget, fresh_path, shared_dir
 FEATURES = ["ebikes", "bikes", "docks", "hour", "weekend", "demand_bin", "flow_30m", "flow_60m"]
 #: The trees tell apart as many ranges of a feature; of the demand they are made before, on all training rows.
 BINS = RANGES
-#: Distinct training rows of a horizon that one task holds, some 120 bytes each.
+#: Distinct training rows of a horizon that one task holds, some 120 bytes each; more are left to Spark's trainer.
 FIT_ROWS = 1 << 21
 TREES = "tree int, feature array<long>, upto array<long>, value array<double>"
 
@@ -180,20 +180,31 @@ def _ranges(columns: Mapping[str, pd.Series], cuts: Mapping[str, Sequence[float]
     return np.stack([np.searchsorted(cuts[f], columns[f].to_numpy(float)) for f in FEATURES], axis=1).astype(np.uint8)
 
 
-def _fit_run(cuts: dict[str, list[float]], rounds: int, tasks: int):
+def _tree_rows(trees: tuple[np.ndarray, ...]) -> pd.DataFrame:
+    return pd.DataFrame({"tree": range(len(trees[0]))} | dict(zip(("feature", "upto", "value"), (t.tolist() for t in trees), strict=True)))
+
+
+def _fit_run(cuts: dict[str, list[float]], rounds: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = BarrierTaskContext.get() if tasks > 1 else None
         parts = [(np.zeros((0, len(FEATURES)), np.uint8), np.zeros(0, np.uint8), np.zeros(0))]
         parts += [(_ranges(b, cuts), b["starved_future"].to_numpy(np.uint8), b["weight"].to_numpy()) for b in batches]
         rows = merged(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-        sizes = [len(cuts[f]) + 1 for f in FEATURES]
-        trees = fit_trees(*rows, sizes, rounds, gathered(context) if context else lambda x: x)
-        if context is None or context.partitionId() == 0:
-            yield pd.DataFrame({"tree": range(rounds)} | dict(zip(("feature", "upto", "value"), map(list, trees), strict=True)))
+        yield _tree_rows(fit_trees(*rows, [len(cuts[f]) + 1 for f in FEATURES], rounds))
 
     return run
 
 
+def _fit_spread(train: DataFrame, cuts: dict[str, list[float]], rounds: int, seed: int) -> DataFrame:
+    """The same trees by Spark's trainer, whose rows are spread over tasks: some six jobs a round."""
+    ranges = [slice_of(F.col(f).cast("double"), cuts[f]).cast("double").alias(f) for f in FEATURES]
+    counted = train.select("starved_future", "weight", *ranges).groupBy("starved_future", *FEATURES).agg(F.sum("weight").alias("weight"))
+    trees = GBTClassifier(
+        labelCol="starved_future", weightCol="weight", maxIter=rounds, maxDepth=DEPTH, seed=seed, maxBins=BINS, checkpointInterval=10
+    )
+    model = trees.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(counted))
+    return train.sparkSession.createDataFrame(_tree_rows(spark_trees(model)), TREES)
+
+
 def fit_models(
     rows: DataFrame,
     folder: str,
@@ -204,11 +215,11 @@ def fit_models(
     """Fit boosted trees on the training rows of each horizon that has enough positives, side by side.
 
     The trees see every training row, equal ones as one row with a weight. A task holds the rows of a horizon as
-    ranges; more than ``FIT_ROWS`` are dealt to tasks that add up their sums, a stage for all rounds in either
-    case. Each model is stored in ``folder``, with the ranges of its features; returns the horizons. Nothing is
-    drawn, so ``seed`` changes nothing.
+    ranges and fits all rounds; more than ``FIT_ROWS`` are spread. Each model is stored in ``folder``, with the
+    ranges of its features; returns the horizons.
     """
     spark = rows.sparkSession
+    shared_dir(spark)  # Spark's trainer cuts its lineage there
     tested = rows.filter("is_test").groupBy("horizon").agg(F.sum("starved_future").alias("hits"))
     horizons = sorted(r.horizon for r in tested.filter(F.col("hits") >= min_positives).collect())
     if not horizons:
@@ -222,10 +233,11 @@ def fit_models(
     spark.createDataFrame(list(stored.items()), "feature string, cuts array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/cuts")
 
     def fit(horizon: int) -> None:
-        tasks = max(1, min(math.ceil(held.get(horizon, 0) / FIT_ROWS), spark.sparkContext.defaultParallelism))
         own = train.filter(F.col("horizon") == horizon).select("starved_future", "weight", *FEATURES)
-        own = own.repartition(tasks, *FEATURES) if tasks > 1 else own.coalesce(1)
-        trees = own.mapInPandas(_fit_run(cuts, rounds, tasks), TREES, barrier=tasks > 1)
+        if held.get(horizon, 0) > FIT_ROWS:
+            trees = _fit_spread(own, cuts, rounds, seed)
+        else:
+            trees = own.coalesce(1).mapInPandas(_fit_run(cuts, rounds), TREES)
         trees.write.mode("overwrite").parquet(f"{folder}/horizon={horizon}")
 
     with ThreadPool(len(horizons)) as pool:

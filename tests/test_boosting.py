@@ -58,12 +58,12 @@ def test_trees_are_those_of_the_library(spark, rows):
         assert len(set(want)) > 100
 
 
-def test_rows_dealt_to_tasks(spark, rows, monkeypatch):
-    """Many tasks add up their sums: the same trees as in one."""
+def test_rows_spread_over_tasks(spark, rows, monkeypatch):
+    """More rows than a task holds: the same trees as in one."""
     scores = []
     for held in (1 << 21, 1500):
         monkeypatch.setattr(forecast, "FIT_ROWS", held)
-        folder = fresh_path(spark, "t-tasks")
+        folder = fresh_path(spark, "t-spread")
         scored = forecast.score_models(rows, folder, forecast.fit_models(rows, folder, rounds=5))
         scores.append([r.m1 for r in scored.orderBy("horizon", "bucket").collect()])
     assert scores[0] == pytest.approx(scores[1], abs=1e-9)
@@ -166,6 +166,6 @@ def test_a_level_counts_half_of_the_rows_at_most(monkeypatch):
         node = np.random.default_rng(level).integers(0, width, len(label))
         sums = boosting.Sums(ranges, sizes)
         before = count(sums, node >> 1, max(width // 2, 1), slice(None), np.ones(len(label)), label * 1.0) if level else None
-        got = sums.next_level(before, node, width, np.ones(len(label)), label * 1.0, lambda x: x)
+        got = sums.next_level(before, node, width, np.ones(len(label)), label * 1.0)
         for a, b in zip(got, count(sums, node, width, slice(None), np.ones(len(label)), label * 1.0), strict=True):
             assert a == pytest.approx(b, abs=1e-9)
